@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import WORD, stored
 
 #: Rows of the shuffled order in one slice of a source, and of the schedule in one bin, about.
-SLICE_ROWS, BIN_ROWS = 20_000, 5_000
+SLICE_ROWS, BIN_ROWS = 2_000, 5_000
 
 
 def source_targets(sizes: DataFrame, weights: list[float], share: float, max_repeats: int) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, html_extract, language_id, mixing, toxicity, url_filter
+from . import decontaminate, fingerprint, html_extract, language_id, mixing, near_dedup, quality, token_output, toxicity, url_filter
 
 #: The rules that the url query applies, as (verdict, host, path).
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -14,6 +14,13 @@ URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow",
 SOURCE_WEIGHTS = [5, 2, 1]
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """The vocabulary file of a public tokenizer, where the installed package keeps it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -26,14 +33,30 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents"), SOURCE_WEIGHTS).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.encode_and_read_back(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=2)
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_likeness(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -43,7 +66,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op2_html_extraction, op4_mixing, op6_fingerprints, op9_url_filter, op10_language_id]
+    found = [op1_toxicity, op2_html_extraction, op3_near_dedup, op4_mixing, op5_token_output, op6_fingerprints, op7_decontamination, op8_quality_classifier, op9_url_filter, op10_language_id]
     return {f.__name__: f for f in found}
 
 
