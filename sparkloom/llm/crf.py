@@ -8,12 +8,15 @@ equal those of a plain forward-backward pass over the whole text, however long i
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterable
 from zlib import crc32
 
 import numpy as np
 
 CHUNK = 64
+#: Words whose messages are held at once while fitting.
+TRAIN_WORDS = 100_000
 RENORM = 8
 CLIP = 40.0
 
@@ -149,19 +152,23 @@ class CRF:
             ptr, idx = self.index(fresh)
             while len(self._table) < base + len(fresh):
                 self._table = np.concatenate([self._table, np.zeros_like(self._table)])
-            for a in range(0, len(fresh), 20_000):
-                b = min(a + 20_000, len(fresh))
-                self._table[base + a : base + b] = np.add.reduceat(self.w[idx[ptr[a] : ptr[b]]], ptr[a:b] - ptr[a], axis=0)
+            self._table[base : base + len(fresh)] = self._sums(self.w, ptr, idx)
             known.update(zip(fresh, range(base, base + len(fresh)), strict=True))
             ids = [known[w] for w in words]
         return self._table[np.array(ids, dtype=np.int64)].astype(np.float64)
 
     def index(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Feature lists as (offsets, concatenated indices)."""
-        each = [self.features(w) for w in words]
-        ptr = np.zeros(len(each) + 1, np.int64)
-        np.cumsum([len(x) for x in each], out=ptr[1:])
-        return ptr, np.fromiter((i for x in each for i in x), np.int64, int(ptr[-1]))
+        ptr, idx = np.zeros(len(words) + 1, np.int64), array("i")
+        for k, w in enumerate(words):
+            idx.extend(self.features(w))
+            ptr[k + 1] = len(idx)
+        return ptr, np.frombuffer(idx, np.int32) if idx else np.zeros(0, np.int32)
+
+    @staticmethod
+    def _sums(w: np.ndarray, ptr: np.ndarray, idx: np.ndarray, step: int = 20_000) -> np.ndarray:
+        """Sums of the rows of w that each word's features name."""
+        return np.concatenate([np.add.reduceat(w[idx[ptr[a] : ptr[min(a + step, len(ptr) - 1)]]], ptr[a : min(a + step, len(ptr) - 1)] - ptr[a], axis=0) for a in range(0, len(ptr) - 1, step)])
 
     def marginals(self, words: list[str], lengths: np.ndarray) -> np.ndarray:
         return forward_backward(self.word_scores(words), lengths, self.trans, self.start, full=False)[0]
@@ -190,16 +197,24 @@ class CRF:
         np.add.at(seen, (gold[:-1][~last[:-1]], gold[1:][~last[:-1]]), 1)
         seen0 = np.bincount(gold[first], minlength=s).astype(float)
         target = np.stack([np.bincount(ids[gold == j], minlength=len(vocab)) for j in range(s)], axis=1).astype(float)
+        bounds = np.concatenate([[0], np.cumsum(lengths)])
+        group = np.maximum.accumulate(bounds[:-1] // TRAIN_WORDS)
+        cuts = [*np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])).tolist(), len(lengths)]
         params = [w, self.trans.copy(), self.start.copy()]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         for k in range(1, rounds + 1):
-            table = np.add.reduceat(params[0][idx], ptr[:-1], axis=0)
-            post, fwd, eb = forward_backward(table[ids], lengths, params[1], params[2])
-            expect = np.stack([np.bincount(ids, weights=post[:, j], minlength=len(vocab)) for j in range(s)], axis=1)
+            table = self._sums(params[0], ptr, idx)
+            expect, pairs, opened = np.zeros_like(target), np.zeros((s, s)), np.zeros(s)
+            for i, j in zip(cuts, cuts[1:], strict=False):  # groups of sequences, so that messages of all words needn't be held
+                words, own = ids[bounds[i] : bounds[j]], lengths[i:j]
+                post, fwd, eb = forward_backward(table[words], own, params[1], params[2])
+                for y in range(s):
+                    expect[:, y] += np.bincount(words, weights=post[:, y], minlength=len(vocab))
+                pairs += pair_marginals(fwd, eb, own, params[1])
+                opened += post[np.cumsum(own) - own].sum(axis=0)
             err = target - expect
-            grad = np.stack([np.bincount(idx, weights=np.repeat(err[:, j], counts), minlength=len(used)) for j in range(s)], axis=1)
-            pairs = pair_marginals(fwd, eb, lengths, params[1])
-            grads = [grad, seen - pairs, seen0 - post[first].sum(axis=0)]
+            grad = np.stack([np.bincount(idx, weights=np.repeat(err[:, y], counts), minlength=len(used)) for y in range(s)], axis=1)
+            grads = [grad, seen - pairs, seen0 - opened]
             for i, (p, g) in enumerate(zip(params, grads, strict=True)):
                 g = g / len(ids) - decay * p / 100
                 m[i] = 0.9 * m[i] + 0.1 * g

@@ -24,7 +24,7 @@ from .crf import CRF, hashed
 
 BUCKETS = 1 << 17
 #: Documents of each language that the model is fitted on, at most (about).
-ROWS_PER_LANGUAGE = 350
+ROWS_PER_LANGUAGE = 250
 BATCH_WORDS = 200_000
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
