@@ -26,6 +26,8 @@ BUCKETS = 1 << 17
 #: Documents of each language that the model is fitted on, at most (about).
 ROWS_PER_LANGUAGE = 250
 BATCH_WORDS = 200_000
+#: The answer for texts without a language.
+NONE = "und"
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
@@ -118,7 +120,7 @@ def label(crf: CRF | None, states: list[str], texts: list[str | None]) -> list[t
         for total in sums[ends] - sums[ends - np.array(lengths)]:
             best = int(total.argmax())
             all_words = total.sum()
-            out.append(("und", 0.0, []) if all_words <= 0 else (states[best], min(1.0, float(total[best] / all_words)), total.tolist()))
+            out.append((NONE, 0.0, []) if all_words <= 0 else (states[best], min(1.0, float(total[best] / all_words)), total.tolist()))
         words.clear()
         lengths.clear()
 

@@ -94,13 +94,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 4
     return w
 
 
+def _stems(word: str) -> set[str]:
+    """A word without signs at its edges, and its first five letters as a stem."""
+    w = _EDGE.sub("", word)
+    return {w, "^" + w[:5]} - {"", "^"} if len(w) > 5 else {w} - {""}
+
+
 def seed_words(texts: list[str], toxic: list[int], least: int = 4, ratio: float = 12.0) -> set[str]:
-    """Words in at least `least` toxic documents whose document rate there is `ratio` times the clean one."""
+    """Words and stems in at least `least` toxic documents whose document rate there is `ratio` times the clean one."""
     bad, good = Counter(), Counter()
     for text, y in zip(texts, toxic, strict=True):
-        (bad if y else good).update({_EDGE.sub("", w) for w in text.lower().split()} - {""})
+        (bad if y else good).update(set().union(*map(_stems, set(text.lower().split()))))
     nb, ng = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
-    return {w for w, n in bad.items() if n >= least and n / nb >= ratio * (good[w] + 0.5) / ng}
+    return {w for w, n in bad.items() if n >= least + w.startswith("^") and n / nb >= ratio * (good[w] + 0.5) / ng}
 
 
 def fit(texts: list[str], toxic: list[int]) -> ToxicityModel:
@@ -110,7 +116,7 @@ def fit(texts: list[str], toxic: list[int]) -> ToxicityModel:
         return ToxicityModel(crf, np.zeros(4))
     seeds = seed_words(texts, toxic)
     words = [t.lower().split() for t in texts]
-    tags = [[int(bool(y) and _EDGE.sub("", w) in seeds) for w in ws] for ws, y in zip(words, toxic, strict=True)]
+    tags = [[int(bool(y) and not seeds.isdisjoint(_stems(w))) for w in ws] for ws, y in zip(words, toxic, strict=True)]
     crf.fit(list(zip(words, tags, strict=True)), rounds=14, rate=0.4)
     model = ToxicityModel(crf, np.zeros(4))
     p = model.tag(texts)
