@@ -44,10 +44,18 @@ def _words(text: Column, valued: bool) -> Column:
 
 
 def _windows(words: Column) -> Column:
-    """Hashes of all windows of WIDTH words, in order."""
-    last = F.size(words) - WIDTH
-    spots = F.when(last >= 0, F.sequence(F.lit(1), last + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(spots, lambda i: F.xxhash64(F.slice(words, i, WIDTH)))
+    """Hashes of all windows of WIDTH words, in order.
+
+    The words are bound to a variable by an outer transform: named twice as an expression, they
+    would be made anew for each window.
+    """
+
+    def hashes(w: Column) -> Column:
+        last = F.size(w) - WIDTH
+        spots = F.when(last >= 0, F.sequence(F.lit(1), last + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(spots, lambda i: F.xxhash64(F.slice(w, i, WIDTH)))
+
+    return F.flatten(F.transform(F.array(words), hashes))
 
 
 def _template(words: Column) -> Column:
