@@ -39,12 +39,11 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
 
 def drop_stored(df: DataFrame) -> None:
     """Delete the folder of a frame made by stored(), once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        if "/sparkloom/" in f:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsc.sc().hadoopConfiguration() if hasattr(spark, "_jsc") else spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    context = df.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/sparkloom/" in folder:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold(doc_id: Column | str, parts: int) -> Column:

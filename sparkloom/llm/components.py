@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_stored, stored
 
 #: Links that a task turns into a forest at once.
 FOREST_LINKS = 500_000
@@ -80,9 +80,11 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         joined = large.join(low, F.col("a") == F.col("_a"))
         small = joined.select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
         star = stored(_thinned(small.select("x.a", "x.b").where("a != b")).distinct(), "links")
-        # Done when every node has one parent and no parent has a parent.
-        n = star.agg(F.count("*"), F.count_distinct("a")).first()
-        if n[0] == n[1] and star.select(F.col("b").alias("_b")).join(star, F.col("_b") == F.col("a"), "left_semi").isEmpty():
+        # Done when every node has one parent and no node is both a parent and a child.
+        roles = star.select(F.col("a").alias("v"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(star.select(F.col("b").alias("v"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+        both = roles.groupBy("v").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+        done = both.where("child > 1 or (child > 0 and parent > 0)").isEmpty()
+        drop_stored(before)
+        if done:
             return star.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        del before
     raise RuntimeError(f"components not found in {rounds} rounds")

@@ -14,7 +14,8 @@ is one tree of the forest. Candidates are found in two passes:
 A pair of the second pass must agree in enough of two bits of each hash (packed in longs) before
 the full sets are fetched and intersected. No pair is capped or sampled; a pair with the similarity
 sought is missed only when no tree joins it: at 0.8 with a chance of (1 - 0.8^BASE)^TREES, which
-is below one in ten million, and below three in a thousand in regions read at the greatest depth.
+is below one in two hundred thousand, and about one in a hundred in regions read at the greatest
+depth (where many documents that aren't similar share eight minimum hashes in one tree).
 
 Edge cases: null texts and texts without words have an empty set and no links; texts with fewer
 words than a shingle have one shingle of all words; a null doc_id is left out of links (it is its
@@ -34,11 +35,10 @@ from pyspark.sql import functions as F
 from .common import mix64, stored
 from .components import components
 
-TREES, BASE, STEP, DEEPEST = 32, 4, 2, 8
+TREES, BASE, STEP, DEEPEST = 24, 4, 2, 8
 HASHES = TREES * BASE
 #: Pairs across components that one prefix group may stand for before it is read deeper.
 GROUP_PAIRS = 20_000
-#: Rows of a tree that are sorted in one task, about.
 _SEED = np.random.default_rng(20240229)
 _A = (_SEED.integers(1, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _SEED.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -77,24 +77,23 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return low
 
 
-def sketch_words(sig: np.ndarray) -> list[int]:
-    """Two bits of each minimum hash, packed in signed longs."""
-    mixed = mix64(sig.astype(np.uint64) + np.arange(HASHES, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
-    bits = np.concatenate([(mixed & np.uint64(1)), (mixed >> np.uint64(17)) & np.uint64(1)]).astype(np.uint8)
-    return np.packbits(bits).view(np.int64).tolist()
+def sketch_words(sigs: np.ndarray) -> np.ndarray:
+    """Two bits of each minimum hash of each row, packed in SIGNATURE_WORDS signed longs."""
+    mixed = mix64(sigs.astype(np.uint64) + np.arange(HASHES, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
+    bits = np.concatenate([mixed & np.uint64(1), (mixed >> np.uint64(17)) & np.uint64(1)], axis=1).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(np.int64)
 
 
-def tree_paths(sig: np.ndarray) -> np.ndarray:
-    """Of each tree, hashes of its prefixes: (TREES, 3) of depth BASE, BASE + STEP, DEEPEST as longs."""
-    out = np.empty((TREES, 3), np.uint64)
+def tree_paths(sigs: np.ndarray) -> np.ndarray:
+    """Of each row and tree, hashes of its prefixes: (rows, TREES, 3) of depth BASE, BASE + STEP, DEEPEST as longs."""
+    out = np.empty((len(sigs), TREES, 3), np.uint64)
     order = (np.arange(TREES)[:, None] * BASE + np.arange(DEEPEST)) % HASHES
-    s = sig.astype(np.uint64)[order]
     with np.errstate(over="ignore"):
-        acc = np.arange(TREES, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)
+        acc = np.broadcast_to(np.arange(TREES, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25), (len(sigs), TREES))
         for d in range(DEEPEST):
-            acc = mix64(acc + s[:, d] + np.uint64(d + 1))
+            acc = mix64(acc + sigs[:, order[:, d]] + np.uint64(d + 1))
             if d + 1 in (BASE, BASE + STEP, DEEPEST):
-                out[:, (d + 1 - BASE) // STEP] = acc
+                out[:, :, (d + 1 - BASE) // STEP] = acc
     return out.view(np.int64)
 
 
@@ -124,20 +123,36 @@ def signatures(documents: DataFrame, width: int) -> DataFrame:
     return own.mapInArrow(run, schema)
 
 
-def _forest_rows(reps: DataFrame) -> DataFrame:
-    """A row per representative and tree: id, n, path0..path2 (prefix hashes by depth), sketch s0..s3."""
-    names = ["id", "n", "p0", "p1", "p2", *[f"s{i}" for i in range(SIGNATURE_WORDS)]]
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Signatures of a batch as rows of a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
+
+
+def _forest_rows(reps: DataFrame, carried: list[str]) -> DataFrame:
+    """A row per representative and tree: prefix hashes p0, p1, p2 by depth, and the columns to carry along (longs)."""
+    names = ["p0", "p1", "p2", *carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
                 part = batch.slice(a, 2000)
-                sigs = [np.frombuffer(x, np.uint32) for x in part.column("sig").to_pylist()]
-                paths = np.concatenate([tree_paths(s) for s in sigs])
-                sketch = np.repeat(np.array([sketch_words(s) for s in sigs], np.int64), TREES, axis=0)
-                cols = [np.repeat(part.column("id").to_numpy(), TREES), np.repeat(part.column("n").to_numpy(), TREES), *paths.T, *sketch.T]
+                paths = tree_paths(_matrix(part.column("sig"))).reshape(-1, 3)
+                cols = [*paths.T, *[np.repeat(part.column(c).to_numpy(), TREES) for c in carried]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=names)
 
+    return reps.select(*carried, "sig").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+
+
+def _sketches(reps: DataFrame) -> DataFrame:
+    """id, n and sketch s0.. of every representative."""
+    names = ["id", "n", *[f"s{i}" for i in range(SIGNATURE_WORDS)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sketch = sketch_words(_matrix(batch.column("sig")))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), *[pa.array(np.ascontiguousarray(c)) for c in sketch.T]], names=names)
+
     return reps.select("id", "n", "sig").mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
@@ -147,7 +162,23 @@ def _agree(x: str, y: str, least: float):
     return same <= int(2 * HASHES * (1 - least))
 
 
-def _neighbours(rows: DataFrame) -> DataFrame:
+def _side(sketches: DataFrame, k: str) -> DataFrame:
+    """The sketches with column names of one side of a pair."""
+    return sketches.select(F.col("id").alias(f"{k}id"), F.col("n").alias(f"{k}n"), *[F.col(f"s{i}").alias(f"{k}s{i}") for i in range(SIGNATURE_WORDS)])
+
+
+def _alike():
+    """Whether sizes and sketches of sides x and y allow a similarity of 0.8."""
+    return (5 * F.least("xn", "yn") >= 4 * F.greatest("xn", "yn")) & _agree("x", "y", AGREE)
+
+
+def _promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a similarity of 0.8."""
+    both = pairs.select(F.col("a").alias("xid"), F.col("b").alias("yid")).join(_side(sketches, "x"), "xid").join(_side(sketches, "y"), "yid")
+    return both.where(_alike()).select(F.col("xid").alias("a"), F.col("yid").alias("b"))
+
+
+def _neighbours(reps: DataFrame) -> DataFrame:
     """Pairs (a, b) of neighbours in a tree's order that share a prefix of BASE hashes.
 
     Rows are range-partitioned and sorted by the whole path, so no prefix group meets in one task;
@@ -155,21 +186,15 @@ def _neighbours(rows: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        p, i = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            p, i = batch.column("p0").to_numpy(), batch.column("id").to_numpy()
-            n = batch.column("n").to_numpy()
-            s = np.stack([batch.column(f"s{k}").to_numpy() for k in range(SIGNATURE_WORDS)])
-            if last is not None:
-                p, i, n, s = np.concatenate([last[0], p]), np.concatenate([last[1], i]), np.concatenate([last[2], n]), np.concatenate([last[3], s], axis=1)
-            last = p[-1:], i[-1:], n[-1:], s[:, -1:]
-            differ = np.bitwise_count((s[:, 1:] ^ s[:, :-1]).view(np.uint64)).sum(axis=0)
-            small, large = np.minimum(n[1:], n[:-1]), np.maximum(n[1:], n[:-1])
-            hit = (p[1:] == p[:-1]) & (i[1:] != i[:-1]) & (differ <= 2 * HASHES * (1 - AGREE)) & (small * 5 >= large * 4)
+            p, i = np.concatenate([p[-1:], batch.column("p0").to_numpy()]), np.concatenate([i[-1:], batch.column("id").to_numpy()])
+            hit = (p[1:] == p[:-1]) & (i[1:] != i[:-1])
             a, b = i[1:][hit], i[:-1][hit]
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
-    laid = rows.select("p0", "p1", "p2", "id", "n", *[f"s{i}" for i in range(SIGNATURE_WORDS)]).repartitionByRange("p0", "p1", "p2", "id").sortWithinPartitions("p0", "p1", "p2", "id")
+    path = ["p0", "p1", "p2", "id"]
+    laid = _forest_rows(reps, ["id"]).repartitionByRange(*path).sortWithinPartitions(*path)
     return laid.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -199,31 +224,35 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, width: int, percent: int)
     return both.where(100 * common >= percent * (F.size("xa") + F.size("xb") - common)).select("a", "b")
 
 
-def _across(rows: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a prefix group, deeper where groups are large."""
-    sketch = [f"s{i}" for i in range(SIGNATURE_WORDS)]
-    named = rows.join(label.select(F.col("node").alias("_n"), "component"), F.col("id") == F.col("_n"), "left").withColumn("c", F.coalesce("component", "id")).drop("_n", "component")
-    left = named
+def _across(reps: DataFrame, sketches: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a prefix group, deeper where groups are large.
+
+    Joins by prefix are merge joins at every size: which side is small changes with the data, and a
+    plan that switches would shuffle more than in proportion.
+    """
+    named = reps.join(label.select(F.col("node").alias("_n"), "component"), F.col("id") == F.col("_n"), "left").withColumn("c", F.coalesce("component", "id"))
+    left = _forest_rows(named.select("id", "c", "sig"), ["id", "c"])
     found = None
     depths = range((DEEPEST - BASE) // STEP + 1)
     for d in depths:
         p = f"p{d}"
         # Groups with several components, found with partial aggregation only.
         mixed = left.groupBy(p).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select(F.col(p).alias("_p"))
-        inside = stored(left.join(mixed, F.col(p) == F.col("_p"), "left_semi"), "forest-groups")
+        inside = stored(left.join(mixed.hint("merge"), F.col(p) == F.col("_p"), "left_semi"), "forest-groups")
         counts = inside.groupBy(p, "c").agg(F.count("*").alias("k")).groupBy(F.col(p).alias("_p")).agg(F.sum("k").alias("m"), F.max(F.struct("k", "c")).alias("top"))
-        sized = inside.join(counts.select("_p", "m", F.col("top.k").alias("k"), F.col("top.c").alias("most")), F.col(p) == F.col("_p"))
-        heavy = (F.col("m") - F.col("k")) * F.col("m") > GROUP_PAIRS
+        counts = stored(counts.select("_p", "m", F.col("top.k").alias("k"), F.col("top.c").alias("most")), "forest-counts")
         deeper = d + 1 < len(depths)
-        here = sized.where(~heavy) if deeper else sized
-        # One side of each pair lies outside its group's most frequent component.
-        x = here.where("c != most").select(F.col(p).alias("xp"), F.col("id").alias("xid"), F.col("c").alias("xc"), F.col("n").alias("xn"), *[F.col(s).alias("x" + s) for s in sketch])
-        y = here.select(F.col(p).alias("yp"), F.col("id").alias("yid"), F.col("c").alias("yc"), F.col("n").alias("yn"), (F.col("c") == F.col("most")).alias("ymost"), *[F.col(s).alias("y" + s) for s in sketch])
-        close = (F.col("xp") == F.col("yp")) & (F.col("xc") != F.col("yc")) & (F.col("ymost") | (F.col("xid") < F.col("yid"))) & (5 * F.least("xn", "yn") >= 4 * F.greatest("xn", "yn")) & _agree("x", "y", AGREE)
-        pairs = x.join(y, close).select(F.greatest("xid", "yid").alias("a"), F.least("xid", "yid").alias("b"))
+        heavy = (F.col("m") - F.col("k")) * F.col("m") > GROUP_PAIRS
+        here = counts.where(~heavy) if deeper else counts
+        # One side of each pair lies outside its group's most frequent component; sketches are held
+        # against each other inside the join, so only promising pairs leave it.
+        x = inside.join(here, (F.col(p) == F.col("_p")) & (F.col("c") != F.col("most"))).select(F.col("_p").alias("xp"), F.col("id").alias("xid"), F.col("c").alias("xc"), "most").join(_side(sketches, "x"), "xid")
+        y = inside.select(F.col(p).alias("yp"), F.col("id").alias("yid"), F.col("c").alias("yc")).join(_side(sketches, "y"), "yid")
+        other = (F.col("xp") == F.col("yp")) & (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("most")) | (F.col("xid") < F.col("yid")))
+        pairs = x.join(y, other & _alike()).select(F.greatest("xid", "yid").alias("a"), F.least("xid", "yid").alias("b"))
         found = pairs if found is None else found.unionByName(pairs)
         if deeper:
-            left = sized.where(heavy).select(*named.columns)
+            left = inside.join(counts.where(heavy).select("_p"), F.col(p) == F.col("_p"), "left_semi")
     return found.distinct()
 
 
@@ -234,11 +263,11 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     classes = full.groupBy("set_lo", "set_hi", "n_shingles").agg(F.min("doc_id").alias("id"))
     # Signatures of equal sets are equal: each class takes that of its smallest id.
     reps = full.join(classes.select(F.col("id").alias("_id"), F.col("n_shingles").alias("n")), (F.col("doc_id") == F.col("_id")) & (F.col("n_shingles") == F.col("n")), "inner").select(F.col("_id").alias("id"), "n", "sig").dropDuplicates(["id"])
-    rows = stored(_forest_rows(reps), "forest")
-    near = _confirmed(_neighbours(rows), documents, width, percent)
-    near = stored(near, "links")
+    reps = stored(reps, "representatives")
+    sketches = stored(_sketches(reps), "sketches")
+    near = stored(_confirmed(stored(_promising(_neighbours(reps), sketches), "candidates"), documents, width, percent), "links")
     label = components(near)
-    more = stored(_across(rows, label), "candidates")
+    more = stored(_across(reps, sketches, label), "candidates")
     if not more.isEmpty():
         more = stored(_confirmed(more, documents, width, percent), "links")
         if not more.isEmpty():
