@@ -150,12 +150,16 @@ def template_pattern(c: Column) -> Column:
     return F.concat(F.lit("^"), F.regexp_replace(literal, r"\{[^}]*\}", "[^/]+"), F.lit("$"))
 
 
-@F.pandas_udf("array<string>")
-def line_diff(before: pd.Series, after: pd.Series) -> pd.Series:
-    """Changed lines with three lines of context, as unified diff lines."""
-    import difflib
+def line_diff(before: Column, after: Column) -> Column:
+    """Changed lines with three lines of context, as unified diff lines; batches go through pandas."""
 
-    return pd.Series([list(difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), lineterm="", n=3))[2:] for a, b in zip(before, after, strict=True)])
+    @F.pandas_udf("array<string>")
+    def diff(x: pd.Series, y: pd.Series) -> pd.Series:
+        import difflib
+
+        return pd.Series([list(difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), lineterm="", n=3))[2:] for a, b in zip(x, y, strict=True)])
+
+    return diff(before, after)
 
 
 def json_text(c: Column, is_text: bool = False) -> Column:

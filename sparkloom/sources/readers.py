@@ -42,8 +42,9 @@ def csv_records(lines: DataFrame, column: str, width: int, key: int) -> DataFram
 def csv_fields(c: Column, width: int) -> Column:
     """The first `width` fields of a line, by the engine's own CSV parser."""
     schema = ", ".join(f"f{i} string" for i in range(width))
-    row = F.from_csv(c, schema, {"escape": '"', "mode": "PERMISSIVE", "emptyValue": "", "nullValue": "\x00"})
-    return F.filter(F.array(*[row[f"f{i}"] for i in range(width)]), lambda x: x.isNotNull())
+    row = F.from_csv(c, schema, {"escape": '"', "mode": "PERMISSIVE"})
+    held = F.size(F.split(F.regexp_replace(c, r'"([^"]|"")*"', ""), ","))
+    return F.slice(F.array(*[F.coalesce(row[f"f{i}"], F.lit("")) for i in range(width)]), F.lit(1), F.least(held, F.lit(width)))
 
 
 def json_body(c: Column, schema: str) -> Column:
