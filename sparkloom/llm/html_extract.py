@@ -39,10 +39,10 @@ _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _PUNCT = re.compile(r"[.,;:!?…。，、！？؟،]")
 
 
-def _boiler(tag: str, markup: str) -> bool:
+def _boiler(tag: str, markup: str, by_words: bool) -> bool:
     if tag in BOILER_TAGS:
         return True
-    if tag in ("html", "body", "main", "article"):
+    if not by_words or tag in ("html", "body", "main", "article"):
         return False
     for name, value in _ATTR.findall(markup[len(tag) + 1 :]):
         name, value = name.lower(), value.strip("\"'")
@@ -63,7 +63,7 @@ class _Node:
         self.boiler = boiler or bool(parent and parent.boiler)
 
 
-def blocks_of(html: str) -> list[tuple[_Node, str]]:
+def blocks_of(html: str, by_words: bool = True) -> list[tuple[_Node, str]]:
     """Text blocks in page order: the block element they stand in, and their white-space-folded text."""
     top = node = _Node("", None, False)
     out: list[tuple[_Node, str]] = []
@@ -138,7 +138,7 @@ def blocks_of(html: str) -> list[tuple[_Node, str]]:
                 pos = end.end() if end else n
                 continue
             if not token.endswith("/>") or tag in BLOCKS:
-                node = _Node(tag, node, _boiler(tag, token))
+                node = _Node(tag, node, _boiler(tag, token, by_words))
         home = node
         while home is not top and home.tag not in BLOCKS and not (home.boiler and not home.parent.boiler):
             home = home.parent
@@ -184,6 +184,9 @@ def extract(html: str | None) -> str:
     """The page's main text: content blocks joined by newlines."""
     blocks = blocks_of(html or "")
     scores = path_scores(blocks)
+    if not scores and blocks:  # a class or id of an outer element named a part of the page: go by tags alone
+        blocks = blocks_of(html, by_words=False)
+        scores = path_scores(blocks)
     if not scores:
         return ""
     mean = sum(scores.values()) / len(scores)

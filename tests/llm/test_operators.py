@@ -141,6 +141,7 @@ def test_code_switching():
         ("<html><head><title>t</title></head><body><header>Site</header><nav><a>x</a></nav><article><h1>T</h1><p><b>One, two. Three.<br><p>Four.</article><footer>f</footer>", "T\nOne, two. Three.\nFour."),
         ("<body><div class='menu'>a b c</div><div id=main><h2>Title</h2><p>One two three, four. Five six.</p><p>Short</p><div class='cookie-notice'>Cookies, ok.</div><ul><li>x one<li>y</ul><form>Name <input></form></div><div id=comments><p>Great, really great, I say.</p></div><aside>side</aside></body>", "Title\nOne two three, four. Five six.\nShort\nx one\ny"),
         ("<article><p>Some words, here.</p><!-- cut off", "Some words, here."),
+        ("<body><div class=\"wrap has-sidebar\"><nav>x</nav><p>Hello, you. There.</p><p>b</p></div></body>", "Hello, you. There.\nb"),
     ],
 )
 def test_html(html, text):
