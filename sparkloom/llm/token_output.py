@@ -12,6 +12,7 @@ are written one after the other; an empty table gives no files.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -43,7 +44,8 @@ class Encoder:
     tokens, are encoded whole.
     """
 
-    def __init__(self, path: str, end_id: int, cache: int = 400_000):
+    def __init__(self, path: str, end_id: int, cache: int = 200_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -56,45 +58,70 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _fill(self, pieces: list[str | None]) -> None:
+    def _letters(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts that are a space and letters: encoded as one text, whose words they are."""
+        e = self.tokenizer.encode("".join(parts), add_special_tokens=False)
+        words = np.array(e.word_ids)
+        ends = np.flatnonzero(np.diff(words, append=-1)) + 1
+        if len(ends) != len(parts):
+            return self.whole(parts)
+        raw = np.array(e.ids, "<u4").tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def _fill(self, pieces: list[str]) -> None:
         """Ids of new pieces, by way of their runs of letters, digits and other signs."""
         split = [_RUNS.findall(" " + p) for p in pieces]
         parts = self.parts
-        fresh = list({r for runs in split for r in runs if r not in parts})
-        if len(parts) + len(fresh) > self.cache:
+        if len(parts) > self.cache:
             parts.clear()
-            fresh = list({r for runs in split for r in runs})
-        parts.update(zip(fresh, self.whole(fresh), strict=True))
-        if len(self.known) > self.cache // 2:
-            self.older, self.known = self.known, {}
+        fresh = {r for runs in split for r in runs}.difference(parts)
+        letters = [r for r in fresh if r[0] == " " and r[1:].isalpha()]
+        for a in range(0, len(letters), 1000):
+            some = letters[a : a + 1000]
+            parts.update(zip(some, self._letters(some), strict=True))
+        rest = list(fresh.difference(letters))
+        parts.update(zip(rest, self.whole(rest), strict=True))
         self.known.update((p, b"".join([parts[r] for r in runs])) for p, runs in zip(pieces, split, strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text with the end id, as little-endian 32-bit integers."""
-        out: list[bytes] = []
-        for text in texts:
+        out: list[bytes] = [self.end] * len(texts)
+        cut: list[tuple[int, list[str]]] = []
+        new: set[str] = set()
+        for i, text in enumerate(texts):
             if not text:
-                out.append(self.end)
                 continue
             if "<|" in text or " ".join(text.split()) != text.replace("\n", " "):
-                out.append(self.whole([text])[0] + self.end)
+                out[i] = self.whole([text])[0] + self.end
                 continue
             pieces = text.split(" ")
-            first = self.whole([pieces[0]])[0]
-            get = self.known.get
-            found = [get(p) for p in pieces]
-            found[0] = first
-            if None in found:
-                old = self.older.get
-                new = {p: old(p) for p, x in zip(pieces, found, strict=True) if x is None}
-                self._fill([p for p, x in new.items() if x is None])
-                self.known.update((p, x) for p, x in new.items() if x is not None)
-                known = self.known
-                found = [known[p] if x is None else x for p, x in zip(pieces, found, strict=True)]
-            out.append(b"".join(found) + self.end)
+            cut.append((i, pieces))
+            new.update(pieces[1:])
+        if len(self.known) > self.cache:
+            self.older, self.known = self.known, {}
+        absent = new.difference(self.known)
+        older = self.older
+        self.known.update([(p, older[p]) for p in absent if p in older])
+        absent = absent.difference(older)
+        if absent:
+            self._fill(list(absent))
+        firsts = self.whole([pieces[0] for _, pieces in cut])
+        known = self.known.__getitem__
+        for (i, pieces), first in zip(cut, firsts, strict=True):
+            out[i] = first + b"".join(map(known, pieces[1:])) + self.end
         return out
 
 
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder_of(path: str, end_id: int) -> Encoder:
+    """The worker process's encoder: its cache serves all tasks that the process runs."""
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS[path, end_id] = Encoder(path, end_id)
+    return _ENCODERS[path, end_id]
+
+
 def _prepared(documents: DataFrame) -> DataFrame:
     return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
@@ -124,7 +151,7 @@ def tokenized(documents: DataFrame, folder: str, tokenizer: str, end_id: int, vo
     narrow = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, end_id)
+        encoder = encoder_of(tokenizer, end_id)
         part, path = _by_task(folder, "ids")
         counts = np.zeros(vocabulary, np.int64)
         sink = writer = None
