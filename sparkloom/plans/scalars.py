@@ -55,9 +55,9 @@ def m09(spark, d):
     return table(spark, d, "nation").select("n_nationkey", numbers.random_int(1, 7).alias("dice"), numbers.random_id(8).alias("id"))
 
 
-@query("d01_formats", "SELECT event_id, strftime(ts, '%Y%m%d%H%M%S') AS compact, strftime(ts, '%H%M') AS hour, strftime(ts, '%m/%d/%Y') AS us_day, strftime(ts, '%Y/%m/%d %H:%M:%S') AS full FROM events")
+@query("d01_formats", "SELECT event_id, strftime(ts, '%Y%m%d%H%M%S') AS compact, strftime(ts, '%H%M') AS hhmm, strftime(ts, '%m/%d/%Y') AS us_day, strftime(ts, '%Y/%m/%d %H:%M:%S') AS stamp FROM events")
 def d01(spark, d):
-    return table(spark, d, "events").select("event_id", *[dates.formatted(F.col("ts"), n).alias(n) for n in ("compact", "hour", "us_day", "full")])
+    return table(spark, d, "events").select("event_id", *[dates.formatted(F.col("ts"), n).alias(a) for n, a in (("compact", "compact"), ("hour", "hhmm"), ("us_day", "us_day"), ("full", "stamp"))])
 
 
 @query("d02_from_millis", "SELECT o_orderkey, strftime(make_timestamp((o_orderkey * 1000003 + 1700000000000) * 1000), '%Y/%m/%d %H:%M:%S') AS shown FROM orders")

@@ -33,5 +33,6 @@ def rows_of(found):
 
 def same(df, sql, connection):
     cols = sorted(df.columns)
-    theirs = connection.sql(f"select {', '.join(cols)} from ({sql.strip()})")
+    quoted = ", ".join(f'"{c}"' for c in cols)
+    theirs = connection.sql(f"select {quoted} from ({sql.strip()})")
     return cols == sorted(connection.sql(sql).columns) and rows_of(df.select(*cols).collect()) == rows_of(theirs.fetchall())
