@@ -173,7 +173,7 @@ def tokenized(documents: DataFrame, folder: str, tokenizer: str, end_id: int, vo
             pairs = pa.StructArray.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["id", "n"])
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([path]), pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), pairs)], names=["part", "path", "counts"])
 
-    laid = _prepared(documents).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    laid = _prepared(documents).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return stored(laid.mapInArrow(run, "part int, path string, counts array<struct<id:int,n:long>>"), "token-files")
 
 
