@@ -16,8 +16,10 @@ from sparkloom.llm.queries import SOURCE_WEIGHTS, table, tokenizer_file
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: documents without a language (no text, or no letter in it) go."""
+    """Operator 10: documents without a language (no text, or no letter in it) go; without labelled rows all stay."""
     model = language_id.train(docs.where(fold("doc_id", 4) != 2))
+    if model is None:
+        return docs
     found = language_id.predict(docs, model, keep=docs.columns)
     return found.where(F.col("lang_pred") != language_id.NONE).select(*docs.columns)
 

@@ -106,6 +106,8 @@ def predict(documents: DataFrame, model: CRF | None, keep: list[str] | None = No
 
 def label(crf: CRF | None, states: list[str], texts: list[str | None]) -> list[tuple[str, float, list[float]]]:
     """(language, share of the words with letters, expected words of each language) of each text."""
+    if not states:
+        return [(NONE, 0.0, [])] * len(texts)
     out: list[tuple[str, float, list[float]]] = []
     words: list[str] = []
     lengths: list[int] = []
@@ -125,7 +127,7 @@ def label(crf: CRF | None, states: list[str], texts: list[str | None]) -> list[t
         lengths.clear()
 
     for text in texts:
-        own = text.lower().split() if states and has_letter(text) else []
+        own = text.lower().split() if has_letter(text) else []
         words += own
         lengths.append(len(own))
         if len(words) >= BATCH_WORDS:
