@@ -182,8 +182,17 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int = 2, vo
     spark = documents.sparkSession
     plain = tokenized(documents, folder + "-plain", tokenizer, end_id, vocabulary)
     counts = np.zeros(vocabulary, np.int64)
-    # Global counts: at most `vocabulary` sums reach the driver.
-    for r in plain.select(F.inline("counts")).groupBy("id").agg(F.sum("n").alias("n")).collect():
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(vocabulary, np.int64)
+        for batch in batches:
+            for own in batch.column("counts"):
+                total[own.values.field("id").to_numpy()] += own.values.field("n").to_numpy()
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["id", "n"])
+
+    # Global counts: a few tasks add up the files' counts, and at most `vocabulary` sums reach the driver.
+    for r in plain.select("counts").repartition(4).mapInArrow(merged, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts)
     shared = spark.sparkContext.broadcast(lengths)
