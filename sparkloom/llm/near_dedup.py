@@ -7,15 +7,17 @@ is one tree of the forest. Candidates are found in two passes:
 1. neighbours in every tree's sort order whose longest common prefix has `BASE` hashes or more;
    those that hold on the full sets are linked, and links are gathered to components;
 2. the prefix groups that still hold several components: their pairs across components, found by a
-   join on the prefix. A region where a prefix stands for too many pairs is read deeper, two more
-   hashes at a time, down to `DEEPEST`. In a group, members of its most frequent component aren't
-   paired with each other, so a large family of copies costs one pass over its members.
+   join on the prefix. The members of all groups that stand for too many pairs are joined by a prefix
+   filter over their shingles instead: each set names its rarest `n - ceil(0.8 n) + 1` shingles in one
+   order for all, and two sets of the similarity sought always share one of these. In a group, members
+   of its most frequent component aren't paired with each other, so a large family of copies costs one
+   pass over its members.
 
 A pair of the second pass must agree in enough of two bits of each hash (packed in longs) before
-the full sets are fetched and intersected. No pair is capped or sampled; a pair with the similarity
-sought is missed only when no tree joins it: at 0.8 with a chance of (1 - 0.8^BASE)^TREES, which
-is below one in two hundred thousand, and about one in a hundred in regions read at the greatest
-depth (where many documents that aren't similar share eight minimum hashes in one tree).
+the full sets are fetched and intersected. No pair is capped or sampled. At similarity 0.8 a pair that
+no third set links is missed when no tree joins it, with a chance of (1 - 0.8^BASE)^TREES = 3.2e-6
+(trees share no hashes), or when its sketches differ by chance in more bits than `_most_unlike`
+allows, five deviations; the prefix filter itself misses none.
 
 Edge cases: null texts and texts without words have an empty set and no links; texts with fewer
 words than a shingle have one shingle of all words; a null doc_id is left out of links (it is its
@@ -35,10 +37,12 @@ from pyspark.sql import functions as F
 from .common import mix64, stored
 from .components import components
 
-TREES, BASE, STEP, DEEPEST = 24, 4, 2, 8
+TREES, BASE, STEP, DEEPEST = 24, 4, 2, 8  # the greater depths only sort neighbours
 HASHES = TREES * BASE
-#: Pairs across components that one prefix group may stand for before it is read deeper.
+#: Pairs across components that one prefix group may stand for before its members are joined by their shingles.
 GROUP_PAIRS = 20_000
+#: Counters of shingles; how often a counter was hit gives the order of the prefix filter, exact counts aren't needed.
+COUNTERS = 1 << 18
 _SEED = np.random.default_rng(20240229)
 _A = (_SEED.integers(1, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _SEED.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -156,10 +160,19 @@ def _sketches(reps: DataFrame) -> DataFrame:
     return reps.select("id", "n", "sig").mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
-def _agree(x: str, y: str, least: float):
+def _most_unlike() -> int:
+    """Bits in which the sketches of a candidate pair may differ: five deviations above what similarity 0.8 gives.
+
+    A hash differs with a chance of 0.2, and each of its two bits then with one half: the number of
+    bits of one hash has mean 0.2 and variance 0.3 - 0.04.
+    """
+    return int(0.2 * HASHES + 5 * (0.26 * HASHES) ** 0.5)
+
+
+def _agree(x: str, y: str):
     """Whether two sketches agree in enough bits: a share of (1 + similarity) / 2 is expected."""
     same = sum((F.bit_count(F.col(f"{x}s{i}").bitwiseXOR(F.col(f"{y}s{i}"))) for i in range(SIGNATURE_WORDS)), F.lit(0))
-    return same <= int(2 * HASHES * (1 - least))
+    return same <= _most_unlike()
 
 
 def _side(sketches: DataFrame, k: str) -> DataFrame:
@@ -169,7 +182,7 @@ def _side(sketches: DataFrame, k: str) -> DataFrame:
 
 def _alike():
     """Whether sizes and sketches of sides x and y allow a similarity of 0.8."""
-    return (5 * F.least("xn", "yn") >= 4 * F.greatest("xn", "yn")) & _agree("x", "y", AGREE)
+    return (5 * F.least("xn", "yn") >= 4 * F.greatest("xn", "yn")) & _agree("x", "y")
 
 
 def _promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -198,13 +211,8 @@ def _neighbours(reps: DataFrame) -> DataFrame:
     return laid.mapInArrow(run, "a long, b long").distinct()
 
 
-#: Share of sketch bits in which a candidate pair must agree: four to five deviations below that of similarity 0.8.
-AGREE = 0.80
-
-
-def _confirmed(pairs: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+def _shingle_sets(ids: DataFrame, documents: DataFrame, width: int) -> DataFrame:
+    """id and items (the shingle set) of the documents whose id is in ids(_id)."""
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = own.join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
 
@@ -216,7 +224,13 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, width: int, percent: int)
                 sets = [shingle_set(t, width, known).view(np.int64) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "items"])
 
-    sets = stored(texts.mapInArrow(run, "id long, items array<long>").dropDuplicates(["id"]), "shingle-sets")
+    return texts.mapInArrow(run, "id long, items array<long>")
+
+
+def _confirmed(pairs: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs whose full shingle sets have 100 * intersection >= percent * union."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    sets = stored(_shingle_sets(ids, documents, width).dropDuplicates(["id"]), "shingle-sets")
     x = sets.select(F.col("id").alias("a"), F.col("items").alias("xa"))
     y = sets.select(F.col("id").alias("b"), F.col("items").alias("xb"))
     both = pairs.join(x, "a").join(y, "b")
@@ -224,35 +238,65 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, width: int, percent: int)
     return both.where(100 * common >= percent * (F.size("xa") + F.size("xb") - common)).select("a", "b")
 
 
-def _across(reps: DataFrame, sketches: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a prefix group, deeper where groups are large.
+def _mixed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (p, id, c) those in groups of p with several components, and of each such group its size m and its most frequent component with its size k."""
+    # Groups with several components, found with partial aggregation only.
+    mixed = rows.groupBy("p").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select(F.col("p").alias("_p"))
+    inside = stored(rows.join(mixed.hint("merge"), F.col("p") == F.col("_p"), "left_semi"), "forest-groups")
+    counts = inside.groupBy("p", "c").agg(F.count("*").alias("k")).groupBy(F.col("p").alias("_p")).agg(F.sum("k").alias("m"), F.max(F.struct("k", "c")).alias("top"))
+    return inside, stored(counts.select("_p", "m", F.col("top.k").alias("k"), F.col("top.c").alias("most")), "forest-counts")
+
+
+def _paired(inside: DataFrame, counts: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Promising pairs (a, b) across components in the groups that counts names.
+
+    One side of each pair lies outside its group's most frequent component; sketches are held
+    against each other inside the join, so only promising pairs leave it.
+    """
+    x = inside.join(counts, (F.col("p") == F.col("_p")) & (F.col("c") != F.col("most"))).select(F.col("_p").alias("xp"), F.col("id").alias("xid"), F.col("c").alias("xc"), "most").join(_side(sketches, "x"), "xid")
+    y = inside.select(F.col("p").alias("yp"), F.col("id").alias("yid"), F.col("c").alias("yc")).join(_side(sketches, "y"), "yid")
+    other = (F.col("xp") == F.col("yp")) & (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("most")) | (F.col("xid") < F.col("yid")))
+    return x.join(y, other & _alike()).select(F.greatest("xid", "yid").alias("a"), F.least("xid", "yid").alias("b"))
+
+
+def _rarest(crowd: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """Rows (p, id, c) for the members (id, c) of crowd: p are the shingles of the set's prefix, rarest first.
+
+    The prefix is as long as the filter needs for `percent`; shingles that only one member has are left out.
+    """
+    sets = stored(_shingle_sets(crowd.select(F.col("id").alias("_id")), documents, width), "shingle-sets")
+    hits = sets.select(F.explode("items").alias("p")).groupBy(F.pmod("p", F.lit(COUNTERS)).cast("int").alias("slot")).agg(F.count("*").alias("n")).toArrow()
+    often = np.zeros(COUNTERS, np.int64)
+    often[hits.column("slot").to_numpy()] = hits.column("n").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, size = [np.zeros(0, np.int64)], []
+            for items in batch.column("items"):
+                x = items.values.to_numpy(zero_copy_only=False)
+                n = often[x % COUNTERS]
+                first = np.lexsort((x, n))[: len(x) + percent * len(x) // -100 + 1]
+                found.append(x[first][n[first] > 1])
+                size.append(len(found[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), *[pa.array(np.repeat(batch.column(k).to_numpy(), size)) for k in ("id", "c")]], names=["p", "id", "c"])
+
+    labelled = sets.join(crowd.select(F.col("id").alias("_id"), "c"), F.col("id") == F.col("_id")).select("id", "c", "items")
+    return labelled.mapInArrow(run, "p long, id long, c long")
+
+
+def _across(reps: DataFrame, sketches: DataFrame, label: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a prefix group of the forest or, where groups are large, of the prefix filter.
 
     Joins by prefix are merge joins at every size: which side is small changes with the data, and a
     plan that switches would shuffle more than in proportion.
     """
     named = reps.join(label.select(F.col("node").alias("_n"), "component"), F.col("id") == F.col("_n"), "left").withColumn("c", F.coalesce("component", "id"))
-    left = _forest_rows(named.select("id", "c", "sig"), ["id", "c"])
-    found = None
-    depths = range((DEEPEST - BASE) // STEP + 1)
-    for d in depths:
-        p = f"p{d}"
-        # Groups with several components, found with partial aggregation only.
-        mixed = left.groupBy(p).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select(F.col(p).alias("_p"))
-        inside = stored(left.join(mixed.hint("merge"), F.col(p) == F.col("_p"), "left_semi"), "forest-groups")
-        counts = inside.groupBy(p, "c").agg(F.count("*").alias("k")).groupBy(F.col(p).alias("_p")).agg(F.sum("k").alias("m"), F.max(F.struct("k", "c")).alias("top"))
-        counts = stored(counts.select("_p", "m", F.col("top.k").alias("k"), F.col("top.c").alias("most")), "forest-counts")
-        deeper = d + 1 < len(depths)
-        heavy = (F.col("m") - F.col("k")) * F.col("m") > GROUP_PAIRS
-        here = counts.where(~heavy) if deeper else counts
-        # One side of each pair lies outside its group's most frequent component; sketches are held
-        # against each other inside the join, so only promising pairs leave it.
-        x = inside.join(here, (F.col(p) == F.col("_p")) & (F.col("c") != F.col("most"))).select(F.col("_p").alias("xp"), F.col("id").alias("xid"), F.col("c").alias("xc"), "most").join(_side(sketches, "x"), "xid")
-        y = inside.select(F.col(p).alias("yp"), F.col("id").alias("yid"), F.col("c").alias("yc")).join(_side(sketches, "y"), "yid")
-        other = (F.col("xp") == F.col("yp")) & (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("most")) | (F.col("xid") < F.col("yid")))
-        pairs = x.join(y, other & _alike()).select(F.greatest("xid", "yid").alias("a"), F.least("xid", "yid").alias("b"))
-        found = pairs if found is None else found.unionByName(pairs)
-        if deeper:
-            left = inside.join(counts.where(heavy).select("_p"), F.col(p) == F.col("_p"), "left_semi")
+    inside, counts = _mixed(_forest_rows(named.select("id", "c", "sig"), ["id", "c"]).select(F.col("p0").alias("p"), "id", "c"))
+    heavy = (F.col("m") - F.col("k")) * F.col("m") > GROUP_PAIRS
+    found = _paired(inside, counts.where(~heavy), sketches)
+    crowd = stored(inside.join(counts.where(heavy), F.col("p") == F.col("_p"), "left_semi").select("id", "c").distinct(), "forest-crowd")
+    if not crowd.isEmpty():
+        found = found.unionByName(_paired(*_mixed(_rarest(crowd, documents, width, percent)), sketches))
     return found.distinct()
 
 
@@ -267,7 +311,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     sketches = stored(_sketches(reps), "sketches")
     near = stored(_confirmed(stored(_promising(_neighbours(reps), sketches), "candidates"), documents, width, percent), "links")
     label = components(near)
-    more = stored(_across(reps, sketches, label), "candidates")
+    more = stored(_across(reps, sketches, label, documents, width, percent), "candidates")
     if not more.isEmpty():
         more = stored(_confirmed(more, documents, width, percent), "links")
         if not more.isEmpty():

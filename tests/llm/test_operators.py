@@ -196,6 +196,22 @@ def test_near_duplicates_read_deeper(spark, corpus, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == {k: v[0] for k, v in brute_components(corpus, 2).items()}
 
 
+def test_large_groups_lose_no_pairs(spark, monkeypatch):
+    # Six hundred pairs of similarity 0.8 to 0.82 and nothing linked yet: no region may be read in a way that misses some.
+    monkeypatch.setattr(near_dedup, "GROUP_PAIRS", 0)
+    rng = random.Random(11)
+    rows = []
+    for k in range(600):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(100)]
+        other = [w if j % 10 else w + "x" for j, w in enumerate(words)]  # ten of a hundred words differ: 90 of 110
+        rows += [(2 * k, " ".join(words), "en", "a"), (2 * k + 1, " ".join(other), "en", "a")]
+    docs = documents(spark, rows)
+    sigs = near_dedup.signatures(docs, 1).selectExpr("doc_id as id", "n_shingles as n", "sig").localCheckpoint()
+    label = spark.createDataFrame([], "node long, component long")
+    got = {(r["a"], r["b"]) for r in near_dedup._across(sigs, near_dedup._sketches(sigs), label, docs, 1, 80).collect()}
+    assert got >= {(2 * k + 1, 2 * k) for k in range(600)}
+
+
 def test_deduplicate_and_empty_table(spark, corpus):
     df = documents(spark, corpus)
     kept = near_dedup.deduplicate(df, 5, 80)
