@@ -25,9 +25,11 @@ WIDTH, PLAIN, SHARE = 5, 3, 0.5
 BROADCAST_WINDOWS = 500_000
 # Units of measure and money that may follow a number.
 UNITS = "mm cm dm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t lb lbs pound pounds oz ounce ounces ton tons ml cl dl l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent dollar dollars cent cents euro euros usd eur gbp hz khz mhz ghz w kw mw v kv a ma j kj cal kcal pa kpa bar k c f mph kmh".split()
-_NUMBER = r"(?<![\p{L}\p{N}#=])(\d+(?:[.,:/]\d+)*)(?![\p{L}\p{N}])"
+_UNITS = "(?i:" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + r"|%|€|\$|£|°)(?![\p{L}\p{N}])"
+# A number ends at a sign or space, or where a unit is glued to it.
+_NUMBER = r"(?<![\p{L}\p{N}#=])(\d+(?:[.,:/]\d+)*)(?:(?![\p{L}\p{N}])|(?=" + _UNITS + "))"
 _NAME = r"(?<=[^.!?:\s]\s)(\p{Lu}\p{Ll}+)(?!\p{L})"
-_UNIT = r"(#num\S*)\s?(" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + r"|%|€|\$|£|°)(?![\p{L}\p{N}])"
+_UNIT = r"(#num\S*)\s*(" + _UNITS + ")"
 
 
 def _words(text: Column, valued: bool) -> Column:
@@ -36,8 +38,8 @@ def _words(text: Column, valued: bool) -> Column:
     text = F.regexp_replace(text, _NAME, F.lit("#name=$1" if valued else "#name"))
     # Signs inside a number would cut its value in two.
     text = F.regexp_replace(text, _NUMBER, F.lit(" #num=$1 " if valued else " #num "))
-    if valued:
-        text = F.regexp_replace(text, r"(?<=\d)[.,:/](?=\d)", "_")
+    # In both forms, so that their words stay in step.
+    text = F.regexp_replace(text, r"(?<=\d)[.,:/](?=\d)", "_")
     text = F.regexp_replace(text, _UNIT, F.lit("$1 #unit=$2 " if valued else "$1 #unit "))
     text = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}#=_%€$£°]+", " "))
     return F.filter(F.split(text, " "), lambda w: w != "")

@@ -411,6 +411,16 @@ def test_inconsistent_slots_do_not_match(spark):
     assert got == {1: True, 2: False}
 
 
+def test_changed_and_glued_units_match(spark):
+    text = "a runner covers 5 km before breakfast and another 8 km after lunch so how far did she run"
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    copies = [text, text.replace("km", "miles"), text.replace(" km", "km"), text.replace(" km", "miles"), text.replace("km", " KM"), text.replace(" km", "%")]
+    got = {r["doc_id"]: (r["contaminated"], r["coverage"]) for r in decontaminate.contaminated(documents(spark, [(i, c, None, None) for i, c in enumerate(copies)]), bench).collect()}
+    assert got == {i: (True, 1.0) for i in range(len(copies))}
+    mixed = text.replace("5 km", "6 miles")  # one unit of the item can't stand for two
+    assert decontaminate.contaminated(documents(spark, [(1, mixed, None, None)]), bench).where("contaminated").count() == 0
+
+
 # Quality
 
 
