@@ -4,23 +4,27 @@ Texts become templates: numbers, names (capitalised words inside a sentence) and
 numbers turn into typed placeholders, the other words are lower-cased, signs go. Windows of five
 template words are hashed and joined with those of the benchmark items, so that a question with
 other numbers or names still matches. For the pairs that match, the values in the placeholders are
-held against each other: one value of the item must always stand for one value of the document.
-A document is contaminated by an item if at least half of the item's windows occur in it and the
+held against each other: one value of the item must always stand for one value of the document,
+within one occurrence of the item: windows on one alignment (place less spot), or windows in the
+item's order with up to `DRIFT` words put in or left out, or else all windows of the document. A document
+is contaminated by an item if in one of these at least half of the item's windows occur and the
 placeholders are consistent.
 
 Edge cases: null or empty texts are clean; items with fewer than five template words, and windows
-with fewer than three plain words, match nothing; repeated doc_ids share their matches; null
-doc_ids are taken as one document; empty tables give no rows, or no contaminated ones.
+with fewer than three plain words, match nothing; repeated doc_ids share their matches, but
+each text is judged by itself; null doc_ids are taken as one document; empty tables give no rows, or no contaminated ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
 WIDTH, PLAIN, SHARE = 5, 3, 0.5
+#: Words by which the alignment may shift from one matching window to the next of the same occurrence.
+DRIFT = 20
 #: Benchmark windows up to which they are broadcast (16 bytes each); beyond, both sides are shuffled.
 BROADCAST_WINDOWS = 500_000
 # Units of measure and money that may follow a number.
@@ -73,6 +77,23 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return own.where(F.size(F.filter("window", lambda w: ~w.startswith("#"))) >= PLAIN)
 
 
+_PAIR = ["doc_id", "copy", "item_id"]
+
+
+def _occurrences(hits: DataFrame) -> DataFrame:
+    """The hits in each occurrence they belong to, named by kind and nr: alignments, runs in the item's order, and all hits of a text."""
+    kind = lambda name, df, nr: df.select(*_PAIR, "spot", "at", F.lit(name).alias("kind"), nr.cast("long").alias("nr"))
+    diagonal = F.col("at") - F.col("spot")
+    # A window that the item has at several spots counts, in runs, for the spot of its most frequent alignment.
+    voted = hits.withColumn("votes", F.count("*").over(Window.partitionBy(*_PAIR, diagonal)))
+    best = voted.withColumn("n", F.row_number().over(Window.partitionBy(*_PAIR, "at").orderBy(F.desc("votes"), "spot"))).where("n = 1")
+    order = Window.partitionBy(*_PAIR).orderBy("at")
+    shift = F.abs(diagonal - F.lag(diagonal).over(order))
+    starts = best.withColumn("starts", F.coalesce((F.col("spot") <= F.lag("spot").over(order)) | (shift > DRIFT), F.lit(True)).cast("int"))
+    runs = starts.withColumn("run", F.sum("starts").over(order))
+    return kind("alignment", hits, diagonal).unionByName(kind("run", runs, F.col("run"))).unionByName(kind("all", hits, F.lit(0)))
+
+
 def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, coverage and consistent of every document and item that share windows to the share asked."""
     windows = stored(benchmark_windows(benchmark), "benchmark-windows")
@@ -81,23 +102,26 @@ def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     keys = windows.select("hash", "item_id", "spot")
     if size <= BROADCAST_WINDOWS:
         keys, totals = F.broadcast(keys), F.broadcast(totals)
-    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
-    own = docs.select("doc_id", F.posexplode(_windows(_words(F.col("text"), False))).alias("at", "hash"))
-    hits = own.join(keys, "hash").select("doc_id", "item_id", "spot", "at")
-    hits = stored(hits, "benchmark-hits")
-    enough = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("spot").alias("found")).join(totals, "item_id").where(F.col("found") >= SHARE * F.col("total"))
-    enough = stored(enough.select("doc_id", "item_id", (F.col("found") / F.col("total")).alias("coverage")), "benchmark-pairs")
-    # Placeholder values, of the matching pairs only and of windows that have placeholders.
+    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("copy"), "text")
+    own = docs.select("doc_id", "copy", F.posexplode(_windows(_words(F.col("text"), False))).alias("at", "hash"))
+    hits = stored(own.join(keys, "hash").select(*_PAIR, "spot", "at").distinct(), "benchmark-hits")
+    one = [*_PAIR, "kind", "nr"]
+    placed = stored(_occurrences(hits), "benchmark-occurrences")
+    enough = placed.groupBy(*one).agg(F.count_distinct("spot").alias("found")).join(totals, "item_id").where(F.col("found") >= SHARE * F.col("total"))
+    enough = stored(enough.select(*one, (F.col("found") / F.col("total")).alias("coverage")), "benchmark-pairs")
+    # Placeholder values, of the matching occurrences only and of windows that have placeholders.
     slots = windows.where(F.exists("window", lambda w: w.startswith("#")))
-    asked = hits.join(enough.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").join(slots.select("item_id", "spot", "window"), ["item_id", "spot"])
-    ids = enough.select(F.col("doc_id").alias("_id")).distinct()
-    valued = docs.join(ids, F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", _words(F.col("text"), True).alias("valued"))
-    both = asked.join(valued, "doc_id").select("doc_id", "item_id", F.explode(F.arrays_zip(F.col("window").alias("mine"), F.slice("valued", F.col("at") + 1, WIDTH).alias("theirs"))).alias("x"))
-    pairs = both.select("doc_id", "item_id", F.col("x.mine").alias("mine"), F.col("x.theirs").alias("theirs")).where(F.col("mine").startswith("#"))
-    values = pairs.groupBy("doc_id", "item_id", "mine").agg(F.min("theirs").alias("lo"), F.max("theirs").alias("hi"), F.max(F.col("mine") == F.col("theirs")).alias("same"))
+    asked = placed.join(enough.select(*one), one, "left_semi").join(slots.select("item_id", "spot", "window"), ["item_id", "spot"])
+    ids = enough.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")).distinct()
+    valued = docs.join(ids, (F.col("doc_id") == F.col("_id")) & (F.col("copy") == F.col("_copy")), "left_semi").select("doc_id", "copy", _words(F.col("text"), True).alias("valued"))
+    both = asked.join(valued, ["doc_id", "copy"]).select(*one, F.explode(F.arrays_zip(F.col("window").alias("mine"), F.slice("valued", F.col("at") + 1, WIDTH).alias("theirs"))).alias("x"))
+    pairs = both.select(*one, F.col("x.mine").alias("mine"), F.col("x.theirs").alias("theirs")).where(F.col("mine").startswith("#"))
+    values = pairs.groupBy(*one, "mine").agg(F.min("theirs").alias("lo"), F.max("theirs").alias("hi"), F.max(F.col("mine") == F.col("theirs")).alias("same"))
     # An item whose own values stand in the document is contained as it is, whatever else matches.
-    judged = values.groupBy("doc_id", "item_id").agg((F.bool_and(F.col("lo") == F.col("hi")) | F.bool_and("same")).alias("ok"))
-    return enough.join(judged, ["doc_id", "item_id"], "left").select("doc_id", "item_id", "coverage", F.coalesce("ok", F.lit(True)).alias("consistent"))
+    judged = values.groupBy(*one).agg((F.bool_and(F.col("lo") == F.col("hi")) | F.bool_and("same")).alias("ok"))
+    found = enough.join(judged, one, "left").withColumn("ok", F.coalesce("ok", F.lit(True)))
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.when(F.col("ok"), F.col("coverage"))).alias("held"), F.max("coverage").alias("most"), F.bool_or("ok").alias("consistent"))
+    return best.select("doc_id", "item_id", F.coalesce("held", "most").alias("coverage"), "consistent")
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

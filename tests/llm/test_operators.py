@@ -421,6 +421,24 @@ def test_changed_and_glued_units_match(spark):
     assert decontaminate.contaminated(documents(spark, [(1, mixed, None, None)]), bench).where("contaminated").count() == 0
 
 
+def test_slots_are_judged_by_occurrence(spark):
+    text = "the farmer pays 3 coins for the red apples and his sister Anna later pays 5 coins for the red apples too"
+    long = "if 5 workers paint the tall fence in one day then how many of them would be needed for the whole street"
+    bench = spark.createDataFrame([(1, text), (2, long)], "item_id long, text string")
+    other = text.replace("3", "7").replace("5", "9")
+    again = long.replace("5", "8")
+    rows = [
+        (1, other, None, None),  # one window at two spots
+        (2, again + " and so on " + long.replace("5", "12"), None, None),  # twice, with other numbers
+        (3, again + " far away " + "x y " * 40 + "if 6 workers paint the old barn", None, None),  # a window by chance
+        (4, again.replace("tall fence", "tall and wide fence") + " z " * 60 + long.replace("5", "9").replace("tall fence", "tall white fence"), None, None),  # twice, with words put in
+        (None, again, None, None),
+        (None, long.replace("5", "7"), None, None),
+    ]
+    got = [(r["doc_id"], r["items"]) for r in decontaminate.contaminated(documents(spark, rows), bench).collect()]
+    assert sorted(got, key=str) == sorted([(1, [1]), (2, [2]), (3, [2]), (4, [2]), (None, [2]), (None, [2])], key=str)
+
+
 # Quality
 
 
