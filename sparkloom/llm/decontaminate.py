@@ -7,11 +7,12 @@ other numbers or names still matches. For the pairs that match, the values in th
 held against each other: one value of the item must always stand for one value of the document,
 within one occurrence of the item: windows on one alignment (place less spot), or windows in the
 item's order with up to `DRIFT` words put in or left out, or else all windows of the document. A document
-is contaminated by an item if in one of these at least half of the item's windows occur and the
-placeholders are consistent.
+is contaminated by an item if in one occurrence at least `RUN` of the item's windows or half of them
+occur (for all windows of the document together: half) and the placeholders are consistent. An item
+without any usable window is one window as a whole, and matches with its own values only.
 
-Edge cases: null or empty texts are clean; items with fewer than five template words, and windows
-with fewer than three plain words, match nothing; repeated doc_ids share their matches, but
+Edge cases: null or empty texts are clean; items with fewer than five template words match
+nothing; windows with fewer than three plain words don't count; repeated doc_ids share their matches, but
 each text is judged by itself; null doc_ids are taken as one document; empty tables give no rows, or no contaminated ones.
 """
 
@@ -25,6 +26,8 @@ from .common import stored
 WIDTH, PLAIN, SHARE = 5, 3, 0.5
 #: Words by which the alignment may shift from one matching window to the next of the same occurrence.
 DRIFT = 20
+#: Matching windows in one occurrence that suffice however long the item is: thirteen words in a row.
+RUN = 9
 #: Benchmark windows up to which they are broadcast (16 bytes each); beyond, both sides are shuffled.
 BROADCAST_WINDOWS = 500_000
 # Units of measure and money that may follow a number.
@@ -49,17 +52,21 @@ def _words(text: Column, valued: bool) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
-def _windows(words: Column) -> Column:
-    """Hashes of all windows of WIDTH words, in order.
+def _hash(window: Column) -> Column:
+    return F.xxhash64(window)
+
+
+def _windows(words: Column, width: int = WIDTH) -> Column:
+    """Hashes of all windows of width words, in order.
 
     The words are bound to a variable by an outer transform: named twice as an expression, they
     would be made anew for each window.
     """
 
     def hashes(w: Column) -> Column:
-        last = F.size(w) - WIDTH
+        last = F.size(w) - width
         spots = F.when(last >= 0, F.sequence(F.lit(1), last + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(spots, lambda i: F.xxhash64(F.slice(w, i, WIDTH)))
+        return F.transform(spots, lambda i: _hash(F.slice(w, i, width)))
 
     return F.flatten(F.transform(F.array(words), hashes))
 
@@ -69,12 +76,15 @@ def _template(words: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, spot, hash, valued window and number of windows of every benchmark item."""
+    """item_id, spot, hash, valued window and whole (whether the window is the whole item, for want of others) of every benchmark item."""
     items = benchmark.select("item_id", _words(F.col("text"), True).alias("valued")).where(F.size("valued") >= WIDTH)
     items = items.withColumn("words", _template(F.col("valued")))
     own = items.select("item_id", "valued", F.posexplode(_windows(F.col("words"))).alias("spot", "hash"))
     own = own.withColumn("window", F.slice("valued", F.col("spot") + 1, WIDTH)).drop("valued")
-    return own.where(F.size(F.filter("window", lambda w: ~w.startswith("#"))) >= PLAIN)
+    own = own.where(F.size(F.filter("window", lambda w: ~w.startswith("#"))) >= PLAIN)
+    rest = items.join(own.select("item_id").distinct(), "item_id", "left_anti")
+    whole = rest.select("item_id", F.lit(0).alias("spot"), _hash(F.col("words")).alias("hash"), F.col("valued").alias("window"), F.lit(True).alias("whole"))
+    return own.withColumn("whole", F.lit(False)).unionByName(whole)
 
 
 _PAIR = ["doc_id", "copy", "item_id"]
@@ -104,21 +114,23 @@ def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         keys, totals = F.broadcast(keys), F.broadcast(totals)
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("copy"), "text")
     own = docs.select("doc_id", "copy", F.posexplode(_windows(_words(F.col("text"), False))).alias("at", "hash"))
+    for n in sorted(r["n"] for r in windows.where("whole").select(F.size("window").alias("n")).distinct().collect() if r["n"] != WIDTH):
+        own = own.unionByName(docs.select("doc_id", "copy", F.posexplode(_windows(_words(F.col("text"), False), n)).alias("at", "hash")))
     hits = stored(own.join(keys, "hash").select(*_PAIR, "spot", "at").distinct(), "benchmark-hits")
     one = [*_PAIR, "kind", "nr"]
     placed = stored(_occurrences(hits), "benchmark-occurrences")
-    enough = placed.groupBy(*one).agg(F.count_distinct("spot").alias("found")).join(totals, "item_id").where(F.col("found") >= SHARE * F.col("total"))
+    enough = placed.groupBy(*one).agg(F.count_distinct("spot").alias("found")).join(totals, "item_id").where((F.col("found") >= SHARE * F.col("total")) | ((F.col("kind") != "all") & (F.col("found") >= RUN)))
     enough = stored(enough.select(*one, (F.col("found") / F.col("total")).alias("coverage")), "benchmark-pairs")
     # Placeholder values, of the matching occurrences only and of windows that have placeholders.
     slots = windows.where(F.exists("window", lambda w: w.startswith("#")))
-    asked = placed.join(enough.select(*one), one, "left_semi").join(slots.select("item_id", "spot", "window"), ["item_id", "spot"])
+    asked = placed.join(enough.select(*one), one, "left_semi").join(slots.select("item_id", "spot", "window", "whole"), ["item_id", "spot"])
     ids = enough.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")).distinct()
     valued = docs.join(ids, (F.col("doc_id") == F.col("_id")) & (F.col("copy") == F.col("_copy")), "left_semi").select("doc_id", "copy", _words(F.col("text"), True).alias("valued"))
-    both = asked.join(valued, ["doc_id", "copy"]).select(*one, F.explode(F.arrays_zip(F.col("window").alias("mine"), F.slice("valued", F.col("at") + 1, WIDTH).alias("theirs"))).alias("x"))
-    pairs = both.select(*one, F.col("x.mine").alias("mine"), F.col("x.theirs").alias("theirs")).where(F.col("mine").startswith("#"))
-    values = pairs.groupBy(*one, "mine").agg(F.min("theirs").alias("lo"), F.max("theirs").alias("hi"), F.max(F.col("mine") == F.col("theirs")).alias("same"))
+    both = asked.join(valued, ["doc_id", "copy"]).select(*one, F.explode(F.arrays_zip(F.col("window").alias("mine"), F.slice("valued", F.col("at") + 1, F.size("window")).alias("theirs"))).alias("x"), "whole")
+    pairs = both.select(*one, F.col("x.mine").alias("mine"), F.col("x.theirs").alias("theirs"), "whole").where(F.col("mine").startswith("#"))
+    values = pairs.groupBy(*one, "mine").agg(F.min("theirs").alias("lo"), F.max("theirs").alias("hi"), F.max(F.col("mine") == F.col("theirs")).alias("same"), F.max("whole").alias("whole"))
     # An item whose own values stand in the document is contained as it is, whatever else matches.
-    judged = values.groupBy(*one).agg((F.bool_and(F.col("lo") == F.col("hi")) | F.bool_and("same")).alias("ok"))
+    judged = values.groupBy(*one).agg((F.bool_and((F.col("lo") == F.col("hi")) & ~F.col("whole")) | F.bool_and("same")).alias("ok"))
     found = enough.join(judged, one, "left").withColumn("ok", F.coalesce("ok", F.lit(True)))
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.when(F.col("ok"), F.col("coverage"))).alias("held"), F.max("coverage").alias("most"), F.bool_or("ok").alias("consistent"))
     return best.select("doc_id", "item_id", F.coalesce("held", "most").alias("coverage"), "consistent")

@@ -439,6 +439,16 @@ def test_slots_are_judged_by_occurrence(spark):
     assert sorted(got, key=str) == sorted([(1, [1]), (2, [2]), (3, [2]), (4, [2]), (None, [2]), (None, [2])], key=str)
 
 
+def test_passages_of_long_items_and_number_heavy_items(spark):
+    rng = random.Random(3)
+    long, sums = prose(rng, 500), "What is 12 + 7 * 3 - 4 / 2 ?"
+    bench = spark.createDataFrame([(1, long), (2, sums), (3, prose(rng, 59))], "item_id long, text string")
+    part = lambda i, n: " ".join(bench.where(f"item_id = {i}").first()["text"].split()[20 : 20 + n])
+    texts = [part(1, 200), part(3, 30), part(1, 6), "Tell me. " + sums + " Quickly now", sums.replace("12", "13"), prose(rng, 300)]
+    got = {r["doc_id"]: r["items"] for r in decontaminate.contaminated(documents(spark, [(i, x, None, None) for i, x in enumerate(texts)]), bench).collect()}
+    assert got == {0: [1], 1: [3], 2: [], 3: [2], 4: [], 5: []}
+
+
 # Quality
 
 
