@@ -4,7 +4,9 @@ Every text node of a page belongs to a root-to-leaf tag path. Per path the text
 punctuation of its nodes are summed; both are put over the path's tag count, smoothed over the
 paths in page order, fused by multiplication and held against a threshold. The paths above it
 name the content container; its other paths (headings, short paragraphs, lists) come along unless
-they lie in an element that is boilerplate by its tag, role or class.
+they lie in an element that is boilerplate by its tag, role or class. Such a name gives way where the
+element holds most of the page's <article> or <main> text, or, for roles, classes and forms, most of
+its text; and all roles and classes do where they would take more of the high-scoring text than they leave.
 
 Edge cases: null or empty html and pages without text give an empty text; unclosed and stray tags
 are repaired as a browser would (a block closes an open paragraph); a page cut off inside a tag,
@@ -27,6 +29,8 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title noscript template iframe svg math".split())
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 BOILER_TAGS = set("head nav header footer aside form menu button select dialog script style noscript template iframe object svg math textarea label fieldset option title".split())
+#: Of these, elements that may wrap a page's content.
+WRAPPERS = set("nav header footer aside form menu fieldset".split())
 BOILER_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 # Words in class names and ids that name boilerplate.
 BOILER_WORDS = set("ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus discussion footer form gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification pagination pager paywall popup promo promoted promotion reactions recommended related replies reply respond search share sharing sidebar signup sitenav skip social sponsor sponsored subscribe subscription tags teaser toolbar widget widgets".split())
@@ -39,33 +43,66 @@ _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _PUNCT = re.compile(r"[.,;:!?…。，、！？؟،]")
 
 
-def _boiler(tag: str, markup: str, by_words: bool) -> bool:
+def _mark(tag: str, markup: str, by_words: bool) -> str:
+    """What names an element as boilerplate: "tag", "word" (a class, id, role or hidden attribute) or nothing."""
     if tag in BOILER_TAGS:
-        return True
+        return "tag"
     if not by_words or tag in ("html", "body", "main", "article"):
-        return False
+        return ""
     for name, value in _ATTR.findall(markup[len(tag) + 1 :]):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return "word"
         words = _SPLIT.split(_CAMEL.sub(" ", value).lower())
         if not BOILER_WORDS.isdisjoint(words) if name != "role" else not BOILER_ROLES.isdisjoint(words):
-            return True
-    return False
+            return "word"
+    return ""
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "path", "boiler")
+    __slots__ = ("tag", "parent", "path", "mark", "boiler")
 
-    def __init__(self, tag: str, parent: _Node | None, boiler: bool):
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: _Node | None, mark: str):
+        self.tag, self.parent, self.mark = tag, parent, mark
         self.path = f"{parent.path}/{tag}" if parent else tag
-        self.boiler = boiler or bool(parent and parent.boiler)
+        self.boiler = bool(mark) or bool(parent and parent.boiler)
+
+
+def _settle(blocks: list[tuple[_Node, str]]) -> None:
+    """Free the marked elements that hold most of the page's content, and what isn't marked itself inside them."""
+    lines = []
+    total = named = 0
+    for node, text in blocks:
+        line = [node]
+        while line[-1].parent is not None:
+            line.append(line[-1].parent)
+        inside = any(x.tag in ("article", "main") for x in line)
+        # Text of the page's body: not in a navigation or the like, though maybe in a form.
+        plain = not any(x.mark == "tag" and x.tag != "form" for x in line)
+        lines.append((line, len(text), inside, plain))
+        total += len(text) * plain
+        named += len(text) * inside
+    held: dict[int, list] = {}
+    for line, n, inside, plain in lines:
+        for x in line:
+            if x.mark:
+                h = held.setdefault(id(x), [x, 0, 0])
+                h[1] += n * plain
+                h[2] += n * inside
+    freed = False
+    for x, body, own in held.values():
+        wraps = 2 * own > named and (x.mark == "word" or x.tag in WRAPPERS)
+        if wraps or ((x.mark == "word" or x.tag == "form") and 2 * body > total and 4 * (named - own) < total):
+            x.mark, freed = "", True
+    if freed:
+        for line, *_ in lines:
+            for x in reversed(line):
+                x.boiler = bool(x.mark) or bool(x.parent and x.parent.boiler)
 
 
 def blocks_of(html: str, by_words: bool = True) -> list[tuple[_Node, str]]:
     """Text blocks in page order: the block element they stand in, and their white-space-folded text."""
-    top = node = _Node("", None, False)
+    top = node = _Node("", None, "")
     out: list[tuple[_Node, str]] = []
     parts: list[str] = []
     at: _Node | None = None
@@ -138,11 +175,13 @@ def blocks_of(html: str, by_words: bool = True) -> list[tuple[_Node, str]]:
                 pos = end.end() if end else n
                 continue
             if not token.endswith("/>") or tag in BLOCKS:
-                node = _Node(tag, node, _boiler(tag, token, by_words))
+                node = _Node(tag, node, _mark(tag, token, by_words))
         home = node
-        while home is not top and home.tag not in BLOCKS and not (home.boiler and not home.parent.boiler):
+        while home is not top and home.tag not in BLOCKS and not home.mark:
             home = home.parent
     flush()
+    if any(x.boiler for x, _ in out):
+        _settle(out)
     return out
 
 
@@ -180,18 +219,36 @@ def path_scores(blocks: list[tuple[_Node, str]]) -> dict[str, float]:
     return out
 
 
+def _high(scores: dict[str, float]) -> set[str]:
+    """The paths above the threshold."""
+    mean = sum(scores.values()) / len(scores)
+    deviation = math.sqrt(sum((v - mean) ** 2 for v in scores.values()) / len(scores))
+    return {p for p, v in scores.items() if v >= min(mean + 0.5 * deviation, max(scores.values()))}
+
+
+def _taken_and_left(blocks: list[tuple[_Node, str]], by_tags: list[tuple[_Node, str]]) -> bool:
+    """Whether words take more text of high-scoring paths than they leave, and leave no article or main."""
+    if any(not x.boiler and re.search(r"/(article|main)(/|$)", x.path) for x, _ in blocks):
+        return False
+    scores = path_scores(by_tags)
+    if not scores:
+        return False
+    high = _high(scores)
+    mass = lambda found: sum(len(t) for x, t in found if not x.boiler and x.path in high)
+    return mass(by_tags) > 2 * mass(blocks)
+
+
 def extract(html: str | None) -> str:
     """The page's main text: content blocks joined by newlines."""
     blocks = blocks_of(html or "")
     scores = path_scores(blocks)
-    if not scores and blocks:  # a class or id of an outer element named a part of the page: go by tags alone
-        blocks = blocks_of(html, by_words=False)
-        scores = path_scores(blocks)
+    if any(x.boiler for x, _ in blocks):
+        by_tags = blocks_of(html, by_words=False)
+        if not scores or _taken_and_left(blocks, by_tags):  # classes or ids named the content itself: go by tags alone
+            blocks, scores = by_tags, path_scores(by_tags)
     if not scores:
         return ""
-    mean = sum(scores.values()) / len(scores)
-    deviation = math.sqrt(sum((v - mean) ** 2 for v in scores.values()) / len(scores))
-    chosen = {p for p, v in scores.items() if v >= min(mean + 0.5 * deviation, max(scores.values()))}
+    chosen = _high(scores)
     mass: dict[int, list] = {}
     total = 0
     for node, text in blocks:
@@ -201,9 +258,9 @@ def extract(html: str | None) -> str:
             while x is not None:
                 mass.setdefault(id(x), [x, 0])[1] += len(text)
                 x = x.parent
-    # The container: the innermost <article> or <main> with most of the chosen text, or else the innermost element with nearly all of it.
+    # The container: the innermost <article> or <main> with nearly all of the chosen text, or else the innermost such element.
     deep = sorted(mass.values(), key=lambda m: m[0].path.count("/"))
-    named = [m for m in deep if m[0].tag in ("article", "main") and m[1] >= 0.5 * total]
+    named = [m for m in deep if m[0].tag in ("article", "main") and m[1] >= 0.9 * total]
     box = (named or [m for m in deep if m[0].tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "td", "b", "span", "blockquote", "a", "ul", "ol", "strong", "em", "i") and m[1] >= 0.9 * total] or deep[:1])[-1][0]
     kept = []
     for node, text in blocks:
