@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
+from .storage import stored
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -36,14 +37,14 @@ def sparse_cosine(counts: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
 def close_texts(texts: DataFrame, key: str, text: str, rate: float, within: list[str]) -> DataFrame:
     """Pairs (a, b), a < b, with the same `within` columns and a matching rate of at least `rate` percent.
 
-    The columns are the blocking key, and lengths are joined in bands: texts of one pair can't differ
-    in length by more than the rate allows.
+    The columns, if any, are a condition of the pairs sought, and lengths are joined in bands: texts of
+    one pair can't differ in length by more than the rate (one decimal, rounded) allows.
     """
     from ..functions.texts import matching_rate
 
     band = 1 / (1 - rate / 100)
     n = F.greatest(F.length(text), F.lit(1))
-    grown = texts.withColumn("_band", F.floor(F.log(n) / F.log(F.lit(max(1.05, rate and 100 / rate)))).cast("int"))
+    grown = texts.withColumn("_band", F.floor(F.log(n) / F.log(F.lit(max(1.05, rate and 100 / (rate - 0.05))))).cast("int"))
     assert band > 0
     x = grown.select(*[F.col(c).alias(f"x_{c}") for c in within], F.col(key).alias("a"), F.col(text).alias("ta"), F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)).alias("_band"))
     y = grown.select(*[F.col(c).alias(f"y_{c}") for c in within], F.col(key).alias("b"), F.col(text).alias("tb"), F.col("_band").alias("_band_b"))
@@ -59,11 +60,35 @@ def groups(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")), nodes)
 
 
-def density_clusters(points: DataFrame, key: str, vector: str, eps: float, within: str) -> DataFrame:
-    """(node, component) of points with another point within eps (Euclidean) in the same block; isolated points are noise and dropped."""
-    x = points.select(F.col(within).alias("_x"), F.col(key).alias("a"), F.col(vector).alias("va"))
-    y = points.select(F.col(within).alias("_y"), F.col(key).alias("b"), F.col(vector).alias("vb"))
+def text_groups(texts: DataFrame, key: str, text: str, rate: float) -> DataFrame:
+    """(node, component): groups of all texts that pairs with a matching rate of at least `rate` percent link.
+
+    Equal texts are one representative, their least key; all representatives are compared.
+    """
+    filled = texts.where(F.length(text) > 0).select(F.col(key).alias("b"), F.col(text).alias("_text"))
+    reps = filled.groupBy("_text").agg(F.min("b").alias("a"))
+    equal = filled.join(reps, "_text").where("a != b").select("a", "b")
+    return groups(close_texts(reps, "a", "_text", rate, []).unionByName(equal), texts.select(F.col(key).alias("node")))
+
+
+#: Parts that all pairs are dealt over on each side: BLOCKS * BLOCKS groups.
+BLOCKS = 8
+
+
+def density_clusters(points: DataFrame, key: str, vector: str, eps: float) -> DataFrame:
+    """(node, component) of points with another point within eps (Euclidean); isolated points are noise and dropped.
+
+    Equal vectors are one representative, their least key; all pairs of representatives are compared, dealt in blocks.
+    """
+    filled = points.where(F.col(vector).isNotNull()).select(F.col(key).alias("b"), F.col(vector).alias("_vector"))
+    reps = filled.groupBy("_vector").agg(F.min("b").alias("a"))
+    equal = filled.join(reps, "_vector").where("a != b").select("a", "b")
+    part = F.pmod(F.hash("a"), F.lit(BLOCKS))
+    every = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+    x = reps.select("a", F.col("_vector").alias("va"), part.alias("_x"), every.alias("_y")).repartition(BLOCKS * BLOCKS, "_x", "_y")
+    y = reps.select(F.col("a").alias("b"), F.col("_vector").alias("vb"), part.alias("_y"), every.alias("_x")).repartition(BLOCKS * BLOCKS, "_x", "_y")
     far = F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v.cast("double")))
-    pairs = x.join(y, (F.col("_x") == F.col("_y")) & (F.col("a") < F.col("b"))).where(far <= eps).select("a", "b")
+    pairs = x.hint("merge").join(y, ["_x", "_y"]).where((F.col("a") < F.col("b")) & (far <= eps)).select("a", "b").unionByName(equal)
+    pairs = stored(pairs)
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     return groups(pairs, nodes)

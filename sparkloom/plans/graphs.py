@@ -180,14 +180,12 @@ def x01_tokens(spark, d):
 
 @query("x02_density_clusters")
 def x02(spark, d):
-    return similarity.density_clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 0.5, "label")
+    return similarity.density_clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 0.5)
 
 
 @query("x03_text_groups")
 def x03(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_type", "p_brand", "p_size")
-    pairs = similarity.close_texts(p, "p_partkey", "p_type", 80.0, ["p_brand", "p_size"])
-    return similarity.groups(pairs, p.select(F.col("p_partkey").alias("node")))
+    return similarity.text_groups(table(spark, d, "part"), "p_partkey", "p_type", 80.0)
 
 
 @query("r05_gaps", """SELECT event_id, round(gap, 3) AS gap FROM (SELECT event_id, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 1000000.0 AS gap FROM events) WHERE gap > 3600""")
