@@ -29,21 +29,39 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/sparkloom/{kind}-{uuid.uuid4().hex}"
 
 
+#: Spark deletes a write's shuffle files when it ends: what was written is read from there.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, kind: str) -> DataFrame:
     """Write df below the shared folder and read it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = new_folder(spark, kind)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Delete the folder of a frame made by stored(), once nothing reads it any more."""
-    context = df.sparkSession.sparkContext
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/sparkloom/" in folder:
-            path = context._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._sparkloom_path = path
+    return found
+
+
+def inner(name: str) -> str:
+    """The name of a column that an operator adds for itself: no column of a caller's table is called so."""
+    return f"__sparkloom_{name}"
+
+
+def drop_stored(*frames: DataFrame) -> None:
+    """Delete the folders of frames made by stored(), or selected from one, once nothing reads them any more."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        own = getattr(df, "_sparkloom_path", None)
+        for folder in [own] if own else {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/sparkloom/" in folder:
+                path = context._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold(doc_id: Column | str, parts: int) -> Column:

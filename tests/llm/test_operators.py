@@ -206,26 +206,72 @@ def test_near_duplicates(spark, corpus, width):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
-def test_near_duplicates_read_deeper(spark, corpus, monkeypatch):
-    monkeypatch.setattr(near_dedup, "GROUP_PAIRS", 1)
-    got = near_dedup.near_duplicates(documents(spark, corpus), 2, 80).collect()
-    assert {r["doc_id"]: r["component_id"] for r in got} == {k: v[0] for k, v in brute_components(corpus, 2).items()}
-
-
-def test_large_groups_lose_no_pairs(spark, monkeypatch):
-    # Six hundred pairs of similarity 0.8 to 0.82 and nothing linked yet: no region may be read in a way that misses some.
-    monkeypatch.setattr(near_dedup, "GROUP_PAIRS", 0)
+@pytest.mark.parametrize("block", [3, 17])
+def test_near_duplicates_in_cut_regions(spark, corpus, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    for width in (2, 5):
+        got = near_dedup.near_duplicates(documents(spark, corpus), width, 80).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == {k: v[0] for k, v in brute_components(corpus, width).items()}
+
+
+@pytest.mark.parametrize("percent, differ, block", [(80, 10, 2000), (80, 10, 2), (50, 30, 2000), (95, 2, 2000)])
+def test_pairs_at_the_limit_are_found(spark, monkeypatch, percent, differ, block):
+    # Six hundred pairs just over the similarity asked, which nothing else links.
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rng = random.Random(11)
     rows = []
     for k in range(600):
         words = [f"w{rng.randrange(10**9)}" for _ in range(100)]
-        other = [w if j % 10 else w + "x" for j, w in enumerate(words)]  # ten of a hundred words differ: 90 of 110
+        other = [w + "x" if j < differ else w for j, w in enumerate(words)]
         rows += [(2 * k, " ".join(words), "en", "a"), (2 * k + 1, " ".join(other), "en", "a")]
-    docs = documents(spark, rows)
-    sigs = near_dedup.signatures(docs, 1).selectExpr("doc_id as id", "n_shingles as n", "sig").localCheckpoint()
-    label = spark.createDataFrame([], "node long, component long")
-    got = {(r["a"], r["b"]) for r in near_dedup._across(sigs, near_dedup._sketches(sigs), label, docs, 1, 80).collect()}
-    assert got >= {(2 * k + 1, 2 * k) for k in range(600)}
+    got = near_dedup.near_duplicates(documents(spark, rows), 1, percent).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i // 2 * 2 for i in range(1200)}
+
+
+def test_families_of_edited_copies(spark):
+    # Copies with one to thirty of 120 words changed: some link to each other, some to nothing.
+    rng = random.Random(17)
+    rows = []
+    for f in range(3):
+        base = prose(rng, 120).split()
+        for _ in range(90):
+            words = list(base)
+            for j in rng.sample(range(120), rng.randint(1, 30)):
+                words[j] = rng.choice(WORDS) + rng.choice(WORDS)
+            rows.append((len(rows), " ".join(words), "en", "a"))
+    for width, percent in ((1, 80), (2, 80), (2, 60)):
+        got = near_dedup.near_duplicates(documents(spark, rows), width, percent).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == {k: v[0] for k, v in brute_components(rows, width, percent).items()}
+
+
+def test_sketches_reject_no_pair():
+    rng = np.random.default_rng(4)
+    for n in (5, 300, 1000, 1100, 4000, 9000):
+        sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for _ in range(40)]
+        most = int(n * 2 * 20 / 180)  # shingles that may differ at 0.8
+        pairs = [(s, np.unique(np.concatenate([s[most - most // 2 :], rng.integers(0, 1 << 63, max(0, most // 2 - 1)).astype(np.uint64)]))) for s in sets]
+        pairs += [(s, s[: max(1, -(-8 * len(s) // 10))]) for s in sets]
+        flat = [x for p in pairs for x in p]
+        table = {"p": np.repeat(np.arange(len(pairs)), 2), "block": np.zeros(len(flat), int), "id": np.arange(len(flat)), "c": np.arange(len(flat)), "n": [len(x) for x in flat], "v": [len(x) for x in flat], "odd": [near_dedup.sketch(x) for x in flat]}
+        import pyarrow as pa
+
+        own = near_dedup._Rows(pa.table(table), 80)
+        even = np.arange(0, len(flat), 2)
+        assert (own.ratio(even, even + 1) <= 1).all()
+        assert (own.ratio(even[:-1], even[1:]) > 1).all() or n < 10
+
+
+def test_layout_keeps_recall():
+    for percent in (30, 50, 80, 95):
+        trees, base = near_dedup.layout(percent)
+        assert trees * base <= near_dedup.HASHES and (1 - (percent / 100) ** base) ** trees <= near_dedup.MISS
+    assert near_dedup.layout(80) == (32, 4)
+
+
+def test_repeated_ids_with_different_texts(spark, corpus):
+    rows = [(1, "a b c d e f", "en", "a"), (1, "q r s t u v", "en", "a"), (2, "q r s t u v", "en", "a"), (3, "a b c d e f", "en", "a"), (4, "z", "en", "a")]
+    seen = {tuple(sorted((r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(documents(spark, rows).repartition(k), 2, 80).collect())) for k in (1, 3, 4)}
+    assert seen == {((1, 1), (1, 1), (2, 1), (3, 1), (4, 4))}
 
 
 def test_deduplicate_and_empty_table(spark, corpus):
