@@ -53,15 +53,19 @@ def inner(name: str) -> str:
     return f"__sparkloom_{name}"
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder below the shared one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_stored(*frames: DataFrame) -> None:
     """Delete the folders of frames made by stored(), or selected from one, once nothing reads them any more."""
     for df in frames:
-        context = df.sparkSession.sparkContext
         own = getattr(df, "_sparkloom_path", None)
         for folder in [own] if own else {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/sparkloom/" in folder:
-                path = context._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+                drop_folder(df.sparkSession, folder)
 
 
 def fold(doc_id: Column | str, parts: int) -> Column:

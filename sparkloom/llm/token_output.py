@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyarrow import fs
@@ -25,23 +26,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder, stored
+from .common import drop_folder, drop_stored, new_folder, stored
 from .huffman import Codebook, code_lengths, pack, unpack
 
 NO_ID = -(1 << 63)
 #: Ids after which a block ends with the document at hand, and bytes of text that are encoded at once.
 BLOCK_IDS = 1 << 18
+#: Signs that often follow a word; each is a run of its own behind letters.
+_SIGNS = tuple(".,;:!?")
 # Fixed value: how a byte-level tokenizer cuts text into runs that it encodes one by one.
 _RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
+# Fixed value: texts with marks of special tokens, or other white space than single spaces and newlines between words.
+_WHOLE = r"<\||^[ \n]|[ \n]$|[ \n][ \n]|[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 class Encoder:
-    """Whole-text encoding with a cache of the pieces between spaces.
+    """Whole-text encoding with a cache of the pieces between spaces and newlines.
 
     A single space between other characters always begins a new piece for a byte-level tokenizer
-    whose pieces carry at most one leading space, so the pieces' ids, joined, are the text's ids.
-    Texts with other white space than single spaces and newlines, and texts with marks of special
-    tokens, are encoded whole.
+    whose pieces carry at most one leading space, and a single newline is a piece of its own, so the
+    pieces' ids, joined, are the text's ids. Other texts (see `_WHOLE`) are encoded whole. Texts are
+    split and their distinct pieces found in Arrow; a text's ids are gathered from those of its pieces.
     """
 
     def __init__(self, path: str, end_id: int, cache: int = 200_000):
@@ -51,66 +58,93 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end_id], "<u4").tobytes()
         self.cache = cache
-        self.known: dict[str, bytes] = {}  # ids of a space and this piece
+        self.known: dict[str, bytes] = {}  # ids of a space and this piece; of pieces that begin with a newline or NUL, without a space
         self.older: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}  # ids of runs
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _letters(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts that are a space and letters: encoded as one text, whose words they are."""
-        e = self.tokenizer.encode("".join(parts), add_special_tokens=False)
-        words = np.array(e.word_ids)
-        ends = np.flatnonzero(np.diff(words, append=-1)) + 1
-        if len(ends) != len(parts):
-            return self.whole(parts)
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, each behind a space: encoded as one text, whose words they are."""
+        e = self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False)
+        own = np.array(e.word_ids)
+        ends = np.flatnonzero(np.diff(own, append=-1)) + 1
+        if len(ends) != len(words):
+            return self.whole([" " + w for w in words])
         raw = np.array(e.ids, "<u4").tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def _fill(self, pieces: list[str]) -> None:
-        """Ids of new pieces, by way of their runs of letters, digits and other signs."""
-        split = [_RUNS.findall(" " + p) for p in pieces]
-        parts = self.parts
+        """Ids of new pieces: words of letters, such words with a sign behind them, and others by way of their runs."""
+        known, parts = self.known, self.parts
+        plain = {p for p in pieces if p.isalpha()}
+        signed = [p for p in pieces if p[-1:] in _SIGNS and p[:-1].isalpha()]
+        fresh = list(plain.union([p[:-1] for p in signed]).difference(known))
+        for a in range(0, len(fresh), 2000):
+            some = fresh[a : a + 2000]
+            known.update(zip(some, self._letters(some), strict=True))
+        split = {p: _RUNS.findall(p[1:] if p[:1] == "\0" else p if p[:1] == "\n" else " " + p) for p in set(pieces).difference(plain, signed)}
+        runs = set(_SIGNS).union(*split.values())
         if len(parts) > self.cache:
             parts.clear()
-        fresh = {r for runs in split for r in runs}.difference(parts)
-        letters = [r for r in fresh if r[0] == " " and r[1:].isalpha()]
-        for a in range(0, len(letters), 1000):
-            some = letters[a : a + 1000]
-            parts.update(zip(some, self._letters(some), strict=True))
-        rest = list(fresh.difference(letters))
-        parts.update(zip(rest, self.whole(rest), strict=True))
-        self.known.update((p, b"".join([parts[r] for r in runs])) for p, runs in zip(pieces, split, strict=True))
+        absent = list(runs.difference(parts))
+        parts.update(zip(absent, self.whole(absent), strict=True))
+        known.update((p, known[p[:-1]] + parts[p[-1]]) for p in signed)
+        known.update((p, b"".join([parts[r] for r in own])) for p, own in split.items())
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text with the end id, as little-endian 32-bit integers."""
-        out: list[bytes] = [self.end] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
-        new: set[str] = set()
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if "<|" in text or " ".join(text.split()) != text.replace("\n", " "):
-                out[i] = self.whole([text])[0] + self.end
-                continue
-            pieces = text.split(" ")
-            cut.append((i, pieces))
-            new.update(pieces[1:])
+    def _blobs(self, pieces: list[str]) -> list[bytes]:
         if len(self.known) > self.cache:
             self.older, self.known = self.known, {}
-        absent = new.difference(self.known)
-        older = self.older
-        self.known.update([(p, older[p]) for p in absent if p in older])
-        absent = absent.difference(older)
+        known, older = self.known, self.older
+        out = list(map(known.get, pieces))
+        absent = [i for i, x in enumerate(out) if x is None]
         if absent:
-            self._fill(list(absent))
-        firsts = self.whole([pieces[0] for _, pieces in cut])
-        known = self.known.__getitem__
-        for (i, pieces), first in zip(cut, firsts, strict=True):
-            out[i] = first + b"".join(map(known, pieces[1:])) + self.end
+            names = [pieces[i] for i in absent]
+            back = list(map(older.get, names))
+            known.update((p, x) for p, x in zip(names, back, strict=True) if x is not None)
+            self._fill([p for p, x in zip(names, back, strict=True) if x is None])
+            for i, p in zip(absent, names, strict=True):
+                out[i] = known[p]
         return out
 
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, each with the end id; where each text ends)."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _WHOLE)
+        apart = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        lines = pc.replace_substring(pc.if_else(odd, "", texts), "\n", " \n")
+        lists = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\0"), lines, pa.scalar("")), " ")
+        coded = lists.values.dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        blobs = self._blobs(pieces)
+        blobs.append(self.end)
+        blobs += self.whole(texts.take(pa.array(apart)).to_pylist()) if len(apart) else []
+        at = coded.indices.to_numpy().copy()
+        offsets = lists.offsets.to_numpy()
+        at[offsets[apart]] = len(pieces) + 1 + np.arange(len(apart))
+        at = np.insert(at, offsets[1:], len(pieces))
+        starts = np.zeros(len(blobs) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, blobs), np.int64, len(blobs)) >> 2, out=starts[1:])
+        own = pa.LargeListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(blobs), "<u4"))).take(pa.array(at))
+        ends = own.offsets.to_numpy()
+        return own.values.to_numpy()[ends[0] :], ends[offsets[1:] + np.arange(1, len(offsets))]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text with the end id, as little-endian 32-bit integers."""
+        found, ends = self.ids(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(found, ends[:-1])] if texts else []
+
+
+def _by_bytes(texts: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
+    """(from, length) of slices of about so many bytes, one text at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + most, "right")))
+        yield a, b - a
+        a = b
+
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
@@ -147,8 +181,8 @@ def tokenized(documents: DataFrame, folder: str, tokenizer: str, end_id: int, vo
 
     Returns a row for each file: part, path, and the file's counts of ids.
     """
-    kind = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
-    narrow = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    narrow = pa.uint16() if vocabulary <= 1 << 16 else pa.uint32()
+    kind = pa.schema([("doc_id", pa.int64()), ("ids", pa.large_list(narrow))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer, end_id)
@@ -156,16 +190,14 @@ def tokenized(documents: DataFrame, folder: str, tokenizer: str, end_id: int, vo
         counts = np.zeros(vocabulary, np.int64)
         sink = writer = None
         for batch in batches:
-            for a in range(0, batch.num_rows, 200):
-                found = [np.frombuffer(x, "<u4") for x in encoder.encode(batch.column("text").slice(a, 200).to_pylist())]
-                for x in found:
-                    counts += np.bincount(x, minlength=vocabulary) if len(x) > vocabulary // 8 else 0
-                few = [x for x in found if len(x) <= vocabulary // 8]
-                counts += np.bincount(np.concatenate(few), minlength=vocabulary) if few else 0
+            for a, n in _by_bytes(batch.column("text")):
+                found, ends = encoder.ids(batch.column("text").slice(a, n))
+                counts += np.bincount(found, minlength=vocabulary)
                 if writer is None:
                     sink = _output(path)
                     writer = pa.ipc.new_stream(sink, kind, options=pa.ipc.IpcWriteOptions(compression="zstd"))
-                writer.write_batch(pa.record_batch([batch.column("doc_id").slice(a, 200), pa.array([x.astype(narrow).tobytes() for x in found], pa.binary())], schema=kind))
+                lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], ends])), pa.array(found.astype(narrow.to_pandas_dtype())))
+                writer.write_batch(pa.record_batch([batch.column("doc_id").slice(a, n), lists], schema=kind))
         if writer is not None:
             writer.close()
             sink.close()
@@ -196,7 +228,6 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int = 2, vo
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts)
     shared = spark.sparkContext.broadcast(lengths)
-    narrow = "<u2" if vocabulary <= 1 << 16 else "<u4"
     schema = "part int, block int, path string, at long, bytes long, digest string, docs long, ids long"
 
     def coded(book: Codebook, part: int, source: str) -> list[tuple]:
@@ -219,10 +250,12 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int = 2, vo
                 own.clear()
 
             for batch in reader:
-                for doc, x in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                ids = batch.column("ids")
+                ends = ids.offsets.to_numpy()
+                for doc, a, b in zip(batch.column("doc_id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                     docs.append(doc)
-                    own.append(np.frombuffer(x, narrow))
-                    held += len(own[-1])
+                    own.append(ids.values[a:b].to_numpy())
+                    held += b - a
                     if held >= BLOCK_IDS:
                         flush()
             if docs:
@@ -238,7 +271,10 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int = 2, vo
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
     files = plain.select("part", "path").repartition(max(1, plain.count()), "part")
-    return stored(files.mapInArrow(run, schema), "manifest"), lengths
+    manifest = stored(files.mapInArrow(run, schema), "manifest")
+    drop_folder(spark, folder + "-plain")
+    drop_stored(plain)
+    return manifest, lengths
 
 
 def read(manifest: DataFrame, lengths: np.ndarray) -> DataFrame:
