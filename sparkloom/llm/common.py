@@ -68,6 +68,16 @@ def drop_stored(*frames: DataFrame) -> None:
                 drop_folder(df.sparkSession, folder)
 
 
+#: Code points of a text that a model may be fitted on; longer ones are left out of the sample (never of the results).
+TRAIN_CHARS = 100_000
+
+
+def bounded(rows: DataFrame, most: int) -> DataFrame:
+    """At most so many rows of (doc_id, text, ...), those of the smallest hash of id and text: a sample for the driver that repeated ids can't swell."""
+    short = rows.where(F.length("text") <= TRAIN_CHARS)
+    return short.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text", *[c for c in rows.columns if c not in ("doc_id", "text")]).limit(most)
+
+
 def fold(doc_id: Column | str, parts: int) -> Column:
     """crc32 of the id's decimal text modulo parts; a null id falls into fold 0."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

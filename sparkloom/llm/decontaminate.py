@@ -12,8 +12,8 @@ occur (for all windows of the document together: half) and the placeholders are
 without any usable window is one window as a whole, and matches with its own values only.
 
 Edge cases: null or empty texts are clean; items with fewer than five template words match
-nothing; windows with fewer than three plain words don't count; repeated doc_ids share their matches, but
-each text is judged by itself; null doc_ids are taken as one document; empty tables give no rows, or no contaminated ones.
+nothing; windows with fewer than three plain words don't count; rows are judged each by its own text, also where a
+doc_id is null or repeats with another text; empty tables give no rows, or no contaminated ones.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import inner, stored
 
 WIDTH, PLAIN, SHARE = 5, 3, 0.5
 #: Words by which the alignment may shift from one matching window to the next of the same occurrence.
@@ -104,15 +104,21 @@ def _occurrences(hits: DataFrame) -> DataFrame:
     return kind("alignment", hits, diagonal).unionByName(kind("run", runs, F.col("run"))).unionByName(kind("all", hits, F.lit(0)))
 
 
+def _row(prefix: str = "") -> list[Column]:
+    """doc_id (a number for null) and copy, which name a row's text."""
+    own = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.col("text").cast("string"))]
+    return [c.alias(prefix + n) for c, n in zip(own, ("doc_id", "copy"), strict=True)]
+
+
 def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, coverage and consistent of every document and item that share windows to the share asked."""
+    """doc_id, copy (hash of the text), item_id, coverage and consistent of every text and item that share windows to the share asked."""
     windows = stored(benchmark_windows(benchmark), "benchmark-windows")
     size = windows.count()
     totals = windows.groupBy("item_id").agg(F.count("*").alias("total"))
     keys = windows.select("hash", "item_id", "spot")
     if size <= BROADCAST_WINDOWS:
         keys, totals = F.broadcast(keys), F.broadcast(totals)
-    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("copy"), "text")
+    docs = documents.select(*_row(), F.col("text").cast("string").alias("text"))
     own = docs.select("doc_id", "copy", F.posexplode(_windows(_words(F.col("text"), False))).alias("at", "hash"))
     for n in sorted(r["n"] for r in windows.where("whole").select(F.size("window").alias("n")).distinct().collect() if r["n"] != WIDTH):
         own = own.unionByName(docs.select("doc_id", "copy", F.posexplode(_windows(_words(F.col("text"), False), n)).alias("at", "hash")))
@@ -132,20 +138,22 @@ def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     # An item whose own values stand in the document is contained as it is, whatever else matches.
     judged = values.groupBy(*one).agg((F.bool_and((F.col("lo") == F.col("hi")) & ~F.col("whole")) | F.bool_and("same")).alias("ok"))
     found = enough.join(judged, one, "left").withColumn("ok", F.coalesce("ok", F.lit(True)))
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.when(F.col("ok"), F.col("coverage"))).alias("held"), F.max("coverage").alias("most"), F.bool_or("ok").alias("consistent"))
-    return best.select("doc_id", "item_id", F.coalesce("held", "most").alias("coverage"), "consistent")
+    best = found.groupBy(*_PAIR).agg(F.max(F.when(F.col("ok"), F.col("coverage"))).alias("held"), F.max("coverage").alias("most"), F.bool_or("ok").alias("consistent"))
+    return best.select(*_PAIR, F.coalesce("held", "most").alias("coverage"), "consistent")
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, items (sorted item_ids), coverage (the highest) of every document."""
     found = matches(documents, benchmark).where("consistent")
-    per = found.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set("item_id")).alias("_items"), F.max("coverage").alias("_coverage"))
-    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"))
-    joined = own.join(per, F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))) == F.col("_id"), "left")
+    per = found.groupBy(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")).agg(F.sort_array(F.collect_set("item_id")).alias("_items"), F.max("coverage").alias("_coverage"))
+    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *_row("_row_"))
+    joined = own.join(per, (F.col("_row_doc_id") == F.col("_id")) & (F.col("_row_copy") == F.col("_copy")), "left")
     return joined.select("doc_id", F.col("_id").isNotNull().alias("contaminated"), F.coalesce("_items", F.array().cast(per.schema["_items"].dataType)).alias("items"), F.coalesce("_coverage", F.lit(0.0)).alias("coverage"))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that no benchmark item contaminates, with the columns given."""
-    bad = matches(documents, benchmark).where("consistent").select(F.col("doc_id").alias("_id")).distinct()
-    return documents.join(bad, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) == F.col("_id"), "left_anti")
+    doc, copy = inner("doc"), inner("copy")
+    bad = matches(documents, benchmark).where("consistent").select(F.col("doc_id").alias(doc), F.col("copy").alias(copy)).distinct()
+    row = _row()
+    return documents.join(bad, (row[0] == F.col(doc)) & (row[1] == F.col(copy)), "left_anti")

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-from .common import fold
+from .common import bounded, fold
 from .crf import CRF, hashed
 
 BUCKETS = 1 << 17
@@ -38,7 +39,7 @@ def features(word: str) -> list[int]:
         return [0]
     v = f"<{w}>"
     out = ["=" + w, "^" + w[:2], "$" + w[-2:], "$" + w[-4:]]
-    out += [v[i : i + 3] for i in range(min(len(v) - 2, 12))]
+    out += [v[i : i + 3] for i in range(len(v) - 2)]
     out += [c for c in set(w) if c > "\x7f"]
     return [hashed(x, BUCKETS - 1) + 1 for x in out]
 
@@ -69,36 +70,37 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> CRF | None:
 
 
 def train(documents: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> CRF | None:
-    """Fit on about so many rows of each language, chosen by a hash of the id over the whole table."""
+    """Fit on about so many rows of each language (twice as many at most), chosen by a hash of id and text over the whole table."""
     own = documents.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
     counts = {r[0]: r[1] for r in own.groupBy("lang").count().collect()}
     if not counts:
         return None
-    share = F.coalesce(F.xxhash64("doc_id").bitwiseAND((1 << 30) - 1), F.lit(0)) / float(1 << 30)
+    share = F.xxhash64("doc_id", "text").bitwiseAND((1 << 30) - 1) / float(1 << 30)
     bound = F.lit(0.0)
     for lang, n in sorted(counts.items()):
         bound = F.when(F.col("lang") == lang, rows_per_language / n).otherwise(bound)
-    rows = sorted(own.where(share < bound).collect(), key=lambda r: (r.doc_id if r.doc_id is not None else -1, r.text))
+    some = bounded(own.where(share < bound), 2 * rows_per_language * len(counts))
+    rows = sorted(some.collect(), key=lambda r: (r.doc_id if r.doc_id is not None else -1, r.text))
     return fit([r.text for r in rows], [r.lang for r in rows])
 
 
-def predict(documents: DataFrame, model: CRF | None, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, lang_pred, score and words_by_lang (expected words of each language); `keep` names columns to carry along."""
+def predict(documents: DataFrame, model: CRF | None, keep: list[str] | None = None, names: tuple[str, str, str] = ("lang_pred", "score", "words_by_lang")) -> DataFrame:
+    """doc_id and, as names say, the language, its score and the expected words of each language; `keep` names columns to carry along instead of doc_id."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
     states = model.states if model else []
-    kept = documents.select(*(keep or [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]))
+    kept = documents.select(*([F.col(f"`{c}`") for c in keep] if keep else [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]))
     fields = [f for f in kept.schema.fields if keep or f.name == "doc_id"]
-    schema = kept.select(*[f.name for f in fields]).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "words_by_lang": F.array(F.lit(0.0))}).schema
+    schema = StructType([*fields, *[StructField(n, k) for n, k in zip(names, (StringType(), DoubleType(), ArrayType(DoubleType())), strict=True)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = shared.value
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                found = label(crf, states, part.column("text").to_pylist())
+                found = label(crf, states, part.column("text").cast(pa.string()).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(f.name) for f in fields] + [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.list_(pa.float64()))],
-                    names=[*[f.name for f in fields], "lang_pred", "score", "words_by_lang"],
+                    names=[*[f.name for f in fields], *names],
                 )
 
     return kept.mapInArrow(run, schema)

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, inner, stored
 
 #: Rows of the shuffled order in one slice of a source, and of the schedule in one bin, about.
 SLICE_ROWS, BIN_ROWS = 2_000, 5_000
@@ -101,7 +101,8 @@ def mix(documents: DataFrame, weights: list[float], share: float = 1.5, max_repe
 
     Rows that agree in doc_id, source and size are taken alike.
     """
-    plan = schedule(documents, weights, share, max_repeats).where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size")).agg(F.min("copies").alias("_copies"))
+    doc, source, words, copies, nr = (inner(x) for x in ("doc", "source", "size", "copies", "nr"))
+    plan = schedule(documents, weights, share, max_repeats).where("copies > 0").groupBy(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("size").alias(words)).agg(F.min("copies").alias(copies))
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    joined = documents.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (size == F.col("_size")))
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*documents.columns)
+    joined = documents.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & F.col("source").cast("string").eqNullSafe(F.col(source)) & (size == F.col(words)))
+    return joined.withColumn(nr, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(doc, source, words, copies, nr)

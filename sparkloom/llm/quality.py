@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import bounded, fold
 from .crf import hashed
 
 BUCKETS = 1 << 16
@@ -31,7 +31,7 @@ ROWS = 3000
 def shape(word: str) -> str:
     """A word's outline: runs of capitals, small letters and digits as one sign each."""
     out = []
-    for c in word[:24]:
+    for c in word:
         k = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
         if not out or out[-1] != k:
             out.append(k)
@@ -116,12 +116,14 @@ def train(documents: DataFrame, ratings: DataFrame, rating: str = "quality", row
     """Fit on about so many rated rows, chosen by a hash of the id over the whole table."""
     own = ratings.select(F.col("doc_id").alias("_id"), F.col(rating).cast("double").alias("_grade")).where("_grade is not null and doc_id is not null")
     counts = {r[0]: r[1] for r in own.groupBy("_grade").count().collect()}
+    most = 2 * rows
     share = F.xxhash64("_id").bitwiseAND((1 << 30) - 1) / float(1 << 30)
     bound = F.lit(0.0)
     for g, n in sorted(counts.items()):
         bound = F.when(F.col("_grade") == g, rows / len(counts) / n).otherwise(bound)
-    found = documents.select("doc_id", "text").join(F.broadcast(own.where(share < bound)), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_grade").collect()
-    found = sorted(found, key=lambda r: (r.doc_id, r._grade, r.text or ""))
+    few = own.where(share < bound).distinct().orderBy(F.xxhash64("_id"), "_id", "_grade").limit(most)
+    found = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_grade")
+    found = sorted(bounded(found, most).collect(), key=lambda r: (r.doc_id, r._grade, r.text))
     return fit([r.text or "" for r in found], [r._grade for r in found])
 
 

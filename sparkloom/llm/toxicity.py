@@ -7,7 +7,7 @@ document score is a logistic function of the marginals' sum, maximum and share.
 
 Edge cases: null or empty texts score like a document without toxic words and have no spans;
 texts of any length are read whole; repeated rows give repeated results; an empty table gives
-an empty result; no labelled rows give a constant score of 0.5 of both classes' prior (0.5).
+an empty result; without labelled rows all scores are 0, and where all labels agree all scores are that label.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import bounded, fold
 from .crf import CRF, hashed
 
 BUCKETS = 1 << 17
@@ -54,10 +54,12 @@ def summary(p: np.ndarray) -> list[float]:
 class ToxicityModel:
     """A fitted tagger with its document-level calibration."""
 
-    def __init__(self, crf: CRF, weights: np.ndarray):
-        self.crf, self.weights = crf, weights
+    def __init__(self, crf: CRF, weights: np.ndarray, constant: float | None = None):
+        self.crf, self.weights, self.constant = crf, weights, constant
 
     def document_score(self, p: np.ndarray) -> float:
+        if self.constant is not None:
+            return self.constant
         return float(1 / (1 + np.exp(-np.clip(np.dot(self.weights, summary(p)), -30, 30))))
 
     def tag(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -113,7 +115,7 @@ def fit(texts: list[str], toxic: list[int]) -> ToxicityModel:
     """Fit on whole labelled texts; see the module's docstring."""
     crf = CRF(["clean", "toxic"], BUCKETS, features)
     if not 0 < sum(toxic) < len(toxic):
-        return ToxicityModel(crf, np.zeros(4))
+        return ToxicityModel(crf, np.zeros(4), float(bool(toxic) and sum(toxic) > 0))
     seeds = seed_words(texts, toxic)
     words = [t.lower().split() for t in texts]
     tags = [[int(bool(y) and not seeds.isdisjoint(_stems(w))) for w in ws] for ws, y in zip(words, toxic, strict=True)]
@@ -135,10 +137,11 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, toxic_rows: int, cl
     n = {r[0]: r[1] for r in own.groupBy("_toxic").count().collect()}
     share = F.xxhash64("doc_id").bitwiseAND((1 << 30) - 1) / float(1 << 30)
     bound = F.when(F.col("_toxic") > 0, toxic_rows / max(1, sum(v for k, v in n.items() if k > 0))).otherwise(clean_rows / max(1, n.get(0, 0)))
-    few = own.where(share < bound).select(F.col("doc_id").alias("_id"), "_toxic")
-    # `few` holds about toxic_rows + clean_rows ids, whatever the size of the tables.
-    rows = documents.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_toxic").collect()
-    return sorted(rows, key=lambda r: (r.doc_id, r._toxic, r.text or ""))
+    most = 2 * (toxic_rows + clean_rows)
+    # About toxic_rows + clean_rows ids, whatever the size of the tables; rows of repeated ids are bounded as well.
+    few = own.where(share < bound).select(F.col("doc_id").alias("_id"), "_toxic").distinct().orderBy(F.xxhash64("_id"), "_id", "_toxic").limit(most)
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_toxic")
+    return sorted(bounded(rows, most).collect(), key=lambda r: (r.doc_id, r._toxic, r.text))
 
 
 def train(documents: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> ToxicityModel:

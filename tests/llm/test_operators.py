@@ -16,7 +16,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 def documents(spark, rows, extra=True):
     """(doc_id, text, lang, source) rows, with columns whose names operators use inside."""
     df = spark.createDataFrame([(i, t, lang, s, len(t or "")) for i, t, lang, s in rows], DOCS)
-    return df.selectExpr("*", "'x' as score", "1 as size", "2 as component", "3 as at", "4 as range", "5 as kept", "6 as id", "7 as key") if extra else df
+    return df.selectExpr("*", "'x' as score", "1 as size", "2 as component", "3 as at", "4 as range", "5 as kept", "6 as id", "7 as key", "8 as _id", "9 as _size", "10 as _copies", "11 as _src", "'z' as lang_pred", "map('a', 1) as tags", "12 as copy", "13 as item_id") if extra else df
 
 
 WORDS = [a + b for a in "ba ce di fo gu ha je ki lo mu".split() for b in "n r s t l".split()]
@@ -511,6 +511,52 @@ def test_passages_of_long_items_and_number_heavy_items(spark):
     assert got == {0: [1], 1: [3], 2: [], 3: [2], 4: [], 5: []}
 
 
+def test_texts_are_judged_by_themselves(spark):
+    item = "the farmer carries seven heavy baskets of ripe plums over the narrow bridge before the evening bell rings twice"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    words = item.split()
+    halves = [" ".join(words[:8]), " ".join(words[8:])]
+    rows = [(None, halves[0], None, None), (None, halves[1], None, None), (None, item, None, None), (3, item, None, None), (3, "quite another text", None, None)]
+    got = sorted((r["doc_id"] is None, r["contaminated"]) for r in decontaminate.contaminated(documents(spark, rows), bench).collect())
+    assert got == [(False, False), (False, True), (True, False), (True, False), (True, True)]
+    assert sorted(r["text"] for r in decontaminate.decontaminate(documents(spark, rows), bench).collect()) == sorted([*halves, "quite another text"])
+
+
+# The pipeline
+
+
+def test_stages_on_odd_rows(spark, corpus, monkeypatch):
+    import corpus_pipeline
+
+    item = "the old lamp burned through the quiet night while seven birds slept above the narrow door of the mill"
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: spark.createDataFrame([(1, item)], "item_id long, text string"))
+    rows = [*corpus, (None, None, None, None), (None, "a text without an id", None, None), (None, "a text without an id", None, None), (300, "before " + item, "en", "a")]
+    for make in (lambda: rows, lambda: []):
+        docs, held = documents(spark, make()), {r[0]: r[1] for r in make()}
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            before = docs
+            docs = stage(spark, before, "")
+            if name == "token_output":
+                break
+            assert docs.columns == columns and [f.dataType for f in docs.schema.fields] == [f.dataType for f in before.schema.fields]
+            left, kept = sorted(((r["doc_id"], r["text"]) for r in before.collect()), key=str), sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str)
+            assert all(held.get(i) == t or i is None for i, t in kept)
+            if name == "language_id":
+                assert kept == [(i, t) for i, t in left if t and any(map(str.isalpha, t))]
+            elif name == "near_dedup":
+                least = {v[0] for v in brute_components([r for r in left if r[0] is not None], 5).values()}
+                assert kept == sorted([*{(i, t) for i, t in left if i in least}, *[x for x in left if x[0] is None]], key=str)
+            elif name == "decontamination":
+                assert kept == [x for x in left if item not in x[1]]
+            else:
+                count = lambda xs: {x: xs.count(x) for x in xs}
+                assert all(n <= 2 * left.count(x) for x, n in count(kept).items()) and set(kept) <= set(left) and bool(kept) == bool(left)
+        want = sorted((i is not None, i or 0, t or "") for i, t in ((r["doc_id"], r["text"]) for r in before.collect()))
+        got = sorted((r["start"], r["doc_id"]) for r in docs.collect())
+        assert [i for _, i in got] == [i if known else None for known, i, _ in want]
+
+
 # Quality
 
 
