@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-from .common import bounded, fold
+from .common import bounded, fold, release
 from .crf import CRF, hashed
 
 BUCKETS = 1 << 17
@@ -102,6 +102,7 @@ def predict(documents: DataFrame, model: CRF | None, keep: list[str] | None = No
                     [part.column(f.name) for f in fields] + [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.list_(pa.float64()))],
                     names=[*[f.name for f in fields], *names],
                 )
+        release()
 
     return kept.mapInArrow(run, schema)
 

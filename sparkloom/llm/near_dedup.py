@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, inner, mix64, stored
+from .common import drop_stored, inner, mix64, release, stored
 from .components import components
 
 HASHES = 128
@@ -140,6 +140,8 @@ def signatures(documents: DataFrame, width: int) -> DataFrame:
                 rows.append((len(s), *set_digest(s), signature(s).tobytes(), sketch(s)) if len(s) else (0, 0, 0, None, None))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)]], names=["doc_id", "n_shingles", "set_lo", "set_hi", "sig", "odd"])
+        known.clear()
+        release()
 
     return _texts(documents).mapInArrow(run, schema)
 

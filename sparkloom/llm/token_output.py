@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_folder, drop_stored, new_folder, stored
+from .common import drop_folder, drop_stored, new_folder, release, stored
 from .huffman import Codebook, code_lengths, pack, unpack
 
 NO_ID = -(1 << 63)
@@ -51,7 +51,7 @@ class Encoder:
     split and their distinct pieces found in Arrow; a text's ids are gathered from those of its pieces.
     """
 
-    def __init__(self, path: str, end_id: int, cache: int = 200_000):
+    def __init__(self, path: str, end_id: int, cache: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         from tokenizers import Tokenizer
 
@@ -86,7 +86,7 @@ class Encoder:
             known.update(zip(some, self._letters(some), strict=True))
         split = {p: _RUNS.findall(p[1:] if p[:1] == "\0" else p if p[:1] == "\n" else " " + p) for p in set(pieces).difference(plain, signed)}
         runs = set(_SIGNS).union(*split.values())
-        if len(parts) > self.cache:
+        if len(parts) > self.cache // 4:
             parts.clear()
         absent = list(runs.difference(parts))
         parts.update(zip(absent, self.whole(absent), strict=True))
@@ -136,7 +136,7 @@ class Encoder:
         return [x.tobytes() for x in np.split(found, ends[:-1])] if texts else []
 
 
-def _by_bytes(texts: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
+def _by_bytes(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """(from, length) of slices of about so many bytes, one text at least."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
     a = 0
@@ -185,6 +185,7 @@ def tokenized(documents: DataFrame, folder: str, tokenizer: str, end_id: int, vo
     kind = pa.schema([("doc_id", pa.int64()), ("ids", pa.large_list(narrow))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         encoder = encoder_of(tokenizer, end_id)
         part, path = _by_task(folder, "ids")
         counts = np.zeros(vocabulary, np.int64)
@@ -198,6 +199,8 @@ def tokenized(documents: DataFrame, folder: str, tokenizer: str, end_id: int, vo
                     writer = pa.ipc.new_stream(sink, kind, options=pa.ipc.IpcWriteOptions(compression="zstd"))
                 lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], ends])), pa.array(found.astype(narrow.to_pandas_dtype())))
                 writer.write_batch(pa.record_batch([batch.column("doc_id").slice(a, n), lists], schema=kind))
+                del found, ends, lists
+                release()
         if writer is not None:
             writer.close()
             sink.close()
