@@ -1,16 +1,20 @@
 """HTML extraction by tag-path ratios.
 
-Every text node of a page belongs to a root-to-leaf tag path. Per path the text length and the
-punctuation of its nodes are summed; both are put over the path's tag count, smoothed over the
-paths in page order, fused by multiplication and held against a threshold. The paths above it
-name the content container; its other paths (headings, short paragraphs, lists) come along unless
-they lie in an element that is boilerplate by its tag, role or class. Such a name gives way where the
-element holds most of the page's <article> or <main> text, or, for roles, classes and forms, most of
-its text; and all roles and classes do where they would take more of the high-scoring text than they leave.
+Every text node of a page belongs to a root-to-leaf tag path; elements that are marked as boilerplate
+by their tag, role, class or id are steps of their own in it. Per path the text length and the
+punctuation of its nodes are summed; both are put over the path's tag count, smoothed over the paths
+in page order, fused by multiplication, weighed down by `MARKED` where the path is marked, and held
+against a threshold. The paths above it are content and name the content container; its unmarked
+other paths (headings, short paragraphs, lists) come along, paths below the threshold that are marked
+or stand outside of it go. A mark gives way where its element holds most of the page's <article> or
+<main> text, or, for roles, classes and forms, most of its text; and all roles and classes do where
+they would take more of the high-scoring text than they leave.
 
 Edge cases: null or empty html and pages without text give an empty text; unclosed and stray tags
-are repaired as a browser would (a block closes an open paragraph); a page cut off inside a tag,
-comment or script loses that piece of markup only; extra columns are ignored.
+are repaired as a browser would (a block closes an open paragraph); a tag without `>` ends at the next
+`<`, and a quote that is never closed is an ordinary character; a page cut off inside a tag, comment or
+script loses that piece of markup only; work grows with the page's length, also on broken or deeply
+nested markup; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,30 +30,32 @@ from pyspark.sql import functions as F
 
 # Tag names of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe svg math".split())
+RAW = set("script style textarea title noscript template iframe svg".split())
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-BOILER_TAGS = set("head nav header footer aside form menu button select dialog script style noscript template iframe object svg math textarea label fieldset option title".split())
+BOILER_TAGS = set("head nav header footer aside form menu button select dialog script style noscript template iframe object svg textarea label fieldset option title".split())
 #: Of these, elements that may wrap a page's content.
 WRAPPERS = set("nav header footer aside form menu fieldset".split())
 BOILER_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 # Words in class names and ids that name boilerplate.
 BOILER_WORDS = set("ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus discussion footer form gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification pagination pager paywall popup promo promoted promotion reactions recommended related replies reply respond search share sharing sidebar signup sitenav skip social sponsor sponsored subscribe subscription tags teaser toolbar widget widgets".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^<>]*$", re.S)
-_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: Weight of a marked path's score.
+MARKED = 0.02
+_TAG = re.compile(r"</?([a-zA-Z][^\s/><]*)((?:[^<>=]+|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>?")
+_ATTR = re.compile(r"""(?<![^\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?![^\s=/>])""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in RAW}
 _PUNCT = re.compile(r"[.,;:!?…。，、！？؟،]")
 
 
-def _mark(tag: str, markup: str, by_words: bool) -> str:
+def _mark(tag: str, attributes: str, by_words: bool) -> str:
     """What names an element as boilerplate: "tag", "word" (a class, id, role or hidden attribute) or nothing."""
     if tag in BOILER_TAGS:
         return "tag"
-    if not by_words or tag in ("html", "body", "main", "article"):
+    if not by_words or not attributes or tag in ("html", "body", "main", "article"):
         return ""
-    for name, value in _ATTR.findall(markup[len(tag) + 1 :]):
+    for name, value in _ATTR.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return "word"
@@ -60,49 +66,50 @@ def _mark(tag: str, markup: str, by_words: bool) -> str:
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "path", "mark", "boiler")
+    """An element: path is a number for its tag path, inside whether an <article> or <main> holds it."""
 
-    def __init__(self, tag: str, parent: _Node | None, mark: str):
+    __slots__ = ("tag", "parent", "path", "mark", "boiler", "depth", "inside", "plain", "body", "named", "block", "home")
+
+    def __init__(self, tag: str, parent: _Node | None, mark: str, paths: dict):
         self.tag, self.parent, self.mark = tag, parent, mark
-        self.path = f"{parent.path}/{tag}" if parent else tag
+        self.path = paths.setdefault((parent.path if parent else -1, tag, mark), len(paths))
+        self.depth = parent.depth + 1 if parent else 0
+        self.inside = tag in ("article", "main") or bool(parent and parent.inside)
+        # Not in a navigation or the like, though maybe in a form.
+        self.plain = not (mark == "tag" and tag != "form") and (parent is None or parent.plain)
         self.boiler = bool(mark) or bool(parent and parent.boiler)
+        self.body = self.named = 0
+        #: The innermost block element, and the innermost that is a block or marked.
+        self.block = self if parent is None or tag in BLOCKS else parent.block
+        self.home = self if self.block is self or mark else parent.home
 
 
-def _settle(blocks: list[tuple[_Node, str]]) -> None:
+def _settle(nodes: list[_Node], blocks: list[tuple[_Node, str]]) -> None:
     """Free the marked elements that hold most of the page's content, and what isn't marked itself inside them."""
-    lines = []
-    total = named = 0
-    for node, text in blocks:
-        line = [node]
-        while line[-1].parent is not None:
-            line.append(line[-1].parent)
-        inside = any(x.tag in ("article", "main") for x in line)
-        # Text of the page's body: not in a navigation or the like, though maybe in a form.
-        plain = not any(x.mark == "tag" and x.tag != "form" for x in line)
-        lines.append((line, len(text), inside, plain))
-        total += len(text) * plain
-        named += len(text) * inside
-    held: dict[int, list] = {}
-    for line, n, inside, plain in lines:
-        for x in line:
-            if x.mark:
-                h = held.setdefault(id(x), [x, 0, 0])
-                h[1] += n * plain
-                h[2] += n * inside
+    for x, text in blocks:
+        x.body += len(text) * x.plain
+        x.named += len(text) * x.inside
+    for x in reversed(nodes[1:]):  # a node comes after its parent
+        x.parent.body += x.body
+        x.parent.named += x.named
+    total, named = nodes[0].body, nodes[0].named
     freed = False
-    for x, body, own in held.values():
-        wraps = 2 * own > named and (x.mark == "word" or x.tag in WRAPPERS)
-        if wraps or ((x.mark == "word" or x.tag == "form") and 2 * body > total and 4 * (named - own) < total):
-            x.mark, freed = "", True
+    for x in nodes:
+        if x.mark:
+            wraps = 2 * x.named > named and (x.mark == "word" or x.tag in WRAPPERS)
+            if wraps or ((x.mark == "word" or x.tag == "form") and 2 * x.body > total and 4 * (named - x.named) < total):
+                x.mark, freed = "", True
     if freed:
-        for line, *_ in lines:
-            for x in reversed(line):
-                x.boiler = bool(x.mark) or bool(x.parent and x.parent.boiler)
+        for x in nodes:
+            x.boiler = bool(x.mark) or bool(x.parent and x.parent.boiler)
 
 
 def blocks_of(html: str, by_words: bool = True) -> list[tuple[_Node, str]]:
     """Text blocks in page order: the block element they stand in, and their white-space-folded text."""
-    top = node = _Node("", None, "")
+    paths: dict = {}
+    top = node = _Node("", None, "", paths)
+    nodes = [top]
+    standing: dict[str, list[_Node]] = {}  # open elements by tag
     out: list[tuple[_Node, str]] = []
     parts: list[str] = []
     at: _Node | None = None
@@ -123,36 +130,54 @@ def blocks_of(html: str, by_words: bool = True) -> list[tuple[_Node, str]]:
                 at = home
             parts.append(raw)
 
+    def leave(until: _Node) -> None:
+        """Close the open elements below until."""
+        nonlocal node
+        while node is not until:
+            standing[node.tag].pop()
+            node = node.parent
+
     home = top  # the innermost block element
     pos, n = 0, len(html)
     while pos < n:
-        m = _TOKEN.search(html, pos)
-        if m is None:
+        start = html.find("<", pos)
+        if start < 0:
             put(html[pos:])
             break
-        put(html[pos : m.start()])
+        put(html[pos:start])
+        after = html[start + 1 : start + 2]
+        if after in ("!", "?"):
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                pos = end + 3 if end >= 0 else n
+            elif html.startswith("<![CDATA[", start):
+                end = html.find("]]>", start)
+                put(html[start + 9 : end if end >= 0 else n].replace("&", "&amp;"))
+                pos = end + 3 if end >= 0 else n
+            else:
+                end = html.find(">", start)
+                pos = end + 1 if end >= 0 else n
+            continue
+        m = _TAG.match(html, start)
+        if m is None:
+            put("<")
+            pos = start + 1
+            continue
         pos = m.end()
         token = m.group()
-        name = _NAME.match(token)
-        if name is None:
-            if token.startswith("<![CDATA["):
-                put(token[9:].removesuffix("]]>").replace("&", "&amp;"))
-            continue
-        tag = name.group(1).lower()
+        tag = m.group(1).lower()
         if token[1] == "/":
             if tag in VOID:
                 put(" ")
                 continue
-            x = node
-            while x is not top and x.tag != tag:
-                x = x.parent
-            if x is top or (tag not in BLOCKS and _crosses(node, x)):
+            x = standing[tag][-1] if standing.get(tag) else top
+            if x is top or (tag not in BLOCKS and node.block.depth > x.depth):
                 if tag == "p":
                     flush()
                 continue
             if tag in BLOCKS:
                 flush()
-            node = x.parent
+            leave(x.parent)
         else:
             if tag in VOID:
                 if tag == "hr":
@@ -163,114 +188,109 @@ def blocks_of(html: str, by_words: bool = True) -> list[tuple[_Node, str]]:
             if tag in BLOCKS:
                 flush()
                 closes = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "p": "p"}.get(tag, "p").split()
-                x, inner = node, None
-                while x is not top and (x.tag not in BLOCKS or x.tag in closes or x.tag == "p"):
-                    if x.tag in closes or x.tag == "p":
-                        inner = x
-                    x = x.parent
+                x, inner = node.block, None
+                while x is not top and (x.tag in closes or x.tag == "p"):
+                    inner, x = x, x.parent.block
                 if inner is not None:
-                    node = inner.parent
+                    leave(inner.parent)
             if tag in RAW:
-                end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, pos)
+                end = _ENDS[tag].search(html, pos)
                 pos = end.end() if end else n
                 continue
             if not token.endswith("/>") or tag in BLOCKS:
-                node = _Node(tag, node, _mark(tag, token, by_words))
-        home = node
-        while home is not top and home.tag not in BLOCKS and not home.mark:
-            home = home.parent
+                node = _Node(tag, node, _mark(tag, m.group(2), by_words), paths)
+                nodes.append(node)
+                standing.setdefault(tag, []).append(node)
+        home = node.home
     flush()
     if any(x.boiler for x, _ in out):
-        _settle(out)
+        _settle(nodes, out)
     return out
 
 
-def _crosses(node: _Node, until: _Node) -> bool:
-    """Whether a block element lies between node and the inline element to close."""
-    while node is not until:
-        if node.tag in BLOCKS:
-            return True
-        node = node.parent
-    return False
-
-
-def path_scores(blocks: list[tuple[_Node, str]]) -> dict[str, float]:
-    """Fused, smoothed text and punctuation ratios of the tag paths that aren't boilerplate."""
-    length: dict[str, float] = {}
-    punct: dict[str, float] = {}
-    count: dict[str, int] = {}
+def path_scores(blocks: list[tuple[_Node, str]]) -> dict[tuple[int, bool], float]:
+    """Fused, smoothed and weighed text and punctuation ratios of the tag paths, by path and whether it is marked."""
+    sums: dict[tuple[int, bool], list] = {}
     for node, text in blocks:
-        if not node.boiler:
-            p = node.path
-            length[p] = length.get(p, 0) + len(text)
-            punct[p] = punct.get(p, 0) + len(_PUNCT.findall(text))
-            count[p] = count.get(p, 0) + 1
-    paths = list(length)
-    raw = [(length[p] / count[p], punct[p] / count[p]) for p in paths]
+        of = sums.setdefault((node.path, node.boiler), [0, 0, 0])
+        of[0] += len(text)
+        of[1] += len(_PUNCT.findall(text))
+        of[2] += 1
     out = {}
-    for i, p in enumerate(paths):
-        smooth = [0.0, 0.0]
-        total = 0.0
-        for d, weight in ((-1, 0.15), (0, 0.7), (1, 0.15)):
-            if 0 <= i + d < len(paths):
-                total += weight
-                smooth = [s + weight * v for s, v in zip(smooth, raw[i + d], strict=True)]
-        out[p] = (smooth[0] / total) * (1 + smooth[1] / total) * math.sqrt(count[p])
+    for marked in (False, True):  # a marked path's neighbours are marked ones: no content next to it lifts it
+        paths = [p for p in sums if p[1] == marked]
+        raw = [(sums[p][0] / sums[p][2], sums[p][1] / sums[p][2]) for p in paths]
+        for i, p in enumerate(paths):
+            near = [(raw[i + d], w) for d, w in ((-1, 0.15), (0, 0.7), (1, 0.15)) if 0 <= i + d < len(paths)]
+            total = sum(w for _, w in near)
+            length, punct = (sum(r[k] * w for r, w in near) / total for k in (0, 1))
+            out[p] = length * (1 + punct) * math.sqrt(sums[p][2]) * (MARKED if marked else 1)
     return out
 
 
-def _high(scores: dict[str, float]) -> set[str]:
-    """The paths above the threshold."""
-    mean = sum(scores.values()) / len(scores)
-    deviation = math.sqrt(sum((v - mean) ** 2 for v in scores.values()) / len(scores))
-    return {p for p, v in scores.items() if v >= min(mean + 0.5 * deviation, max(scores.values()))}
+def _high(scores: dict[tuple[int, bool], float]) -> set[tuple[int, bool]]:
+    """The paths above the threshold, which the unmarked ones set where there are any."""
+    values = [v for p, v in scores.items() if not p[1]] or list(scores.values())
+    mean = sum(values) / len(values)
+    deviation = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
+    return {p for p, v in scores.items() if v >= min(mean + 0.5 * deviation, max(values))}
 
 
 def _taken_and_left(blocks: list[tuple[_Node, str]], by_tags: list[tuple[_Node, str]]) -> bool:
     """Whether words take more text of high-scoring paths than they leave, and leave no article or main."""
-    if any(not x.boiler and re.search(r"/(article|main)(/|$)", x.path) for x, _ in blocks):
-        return False
-    scores = path_scores(by_tags)
-    if not scores:
+    if any(not x.boiler and x.inside for x, _ in blocks):
         return False
-    high = _high(scores)
-    mass = lambda found: sum(len(t) for x, t in found if not x.boiler and x.path in high)
-    return mass(by_tags) > 2 * mass(blocks)
+    high = _high(path_scores(by_tags))
+    taken = left = 0
+    for (x, text), (y, _) in zip(blocks, by_tags, strict=True):  # the same blocks, with and without marks by words
+        if not y.boiler and (y.path, False) in high:
+            taken += len(text)
+            left += len(text) * (not x.boiler)
+    return taken > 2 * left
+
+
+_NEVER_BOX = set("p li h1 h2 h3 h4 h5 h6 pre td b span blockquote a ul ol strong em i".split())
 
 
 def extract(html: str | None) -> str:
     """The page's main text: content blocks joined by newlines."""
     blocks = blocks_of(html or "")
-    scores = path_scores(blocks)
     if any(x.boiler for x, _ in blocks):
         by_tags = blocks_of(html, by_words=False)
-        if not scores or _taken_and_left(blocks, by_tags):  # classes or ids named the content itself: go by tags alone
-            blocks, scores = by_tags, path_scores(by_tags)
-    if not scores:
+        if all(x.boiler for x, _ in blocks) or _taken_and_left(blocks, by_tags):  # classes or ids named the content itself: go by tags alone
+            blocks = by_tags
+    if all(x.boiler and x.mark != "word" and not x.plain for x, _ in blocks):
         return ""
-    chosen = _high(scores)
+    high = _high(path_scores(blocks))
     mass: dict[int, list] = {}
     total = 0
     for node, text in blocks:
-        if not node.boiler and node.path in chosen:
+        if (node.path, node.boiler) in high:
             total += len(text)
-            x = node
-            while x is not None:
-                mass.setdefault(id(x), [x, 0])[1] += len(text)
-                x = x.parent
-    # The container: the innermost <article> or <main> with nearly all of the chosen text, or else the innermost such element.
-    deep = sorted(mass.values(), key=lambda m: m[0].path.count("/"))
-    named = [m for m in deep if m[0].tag in ("article", "main") and m[1] >= 0.9 * total]
-    box = (named or [m for m in deep if m[0].tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "td", "b", "span", "blockquote", "a", "ul", "ol", "strong", "em", "i") and m[1] >= 0.9 * total] or deep[:1])[-1][0]
+            mass.setdefault(id(node), [node, 0])[1] += len(text)
+    deep = [[] for _ in range(1 + max((m[0].depth for m in mass.values()), default=0))]
+    for m in mass.values():
+        deep[m[0].depth].append(m)
+    for d in range(len(deep) - 1, 0, -1):  # what an element holds counts for its parent
+        for x, n in deep[d]:
+            if id(x.parent) not in mass:
+                mass[id(x.parent)] = [x.parent, 0]
+                deep[d - 1].append(mass[id(x.parent)])
+            mass[id(x.parent)][1] += n
+    # The container: the innermost <article> or <main> with nearly all of the high-scoring text, or else the innermost such element.
+    held = [m[0] for row in deep for m in row if m[1] >= 0.9 * total]
+    box = ([x for x in held if x.tag in ("article", "main")] or [x for x in held if x.tag not in _NEVER_BOX] or [None])[-1]
+    inside = {id(box)}
     kept = []
     for node, text in blocks:
-        if node.boiler:
-            continue
-        x = node
-        while x is not None and x is not box:
+        way, x = [], node
+        while x is not None and id(x) not in inside and x.depth > (box.depth if box else -1):
+            way.append(x)
             x = x.parent
-        if x is box:
-            kept.append(text)
+        if x is not None and id(x) in inside:
+            inside.update(map(id, way))
+            if not node.boiler or (node.path, True) in high:
+                kept.append(text)
     return "\n".join(kept)
 
 

@@ -164,6 +164,39 @@ def test_html_words_give_way_to_content(html, text):
     assert got in (text.split("\n"), ["Site", *text.split("\n")])
 
 
+@pytest.mark.parametrize("html", ['<a "' * 25_000, "<a " * 30_000, '<a x="' * 20_000, "<a x='" * 20_000 + '"', "<div>" * 20_000 + "</b>" * 20_000, "<b><div>" + "<i>" * 20_000 + "</b>" * 20_000, "<b>" * 20_000 + "<p>x" * 5_000, "<!--" * 20_000, "<" * 100_000, "&" * 100_000])
+def test_broken_markup_takes_linear_time(html):
+    import time
+
+    began = time.process_time()
+    html_extract.extract(html)
+    assert time.process_time() - began < 5  # quadratic work on 100 KB takes minutes
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<p class=it's>Hello</p>", "Hello"),
+        ("<p data-x='un closed>Lost text", "Lost text"),
+        ("<p title='a > b' class=\"x\">c</p>", "c"),
+        ("<main><article><p>One, two three. Four.</p></article><article><p>Five, six seven. Eight.</p></article></main>", "One, two three. Four.\nFive, six seven. Eight."),
+        ("<body><p>tiny</p><div class='post-share-story'><p>Prose one, two. Three four five six.</p><p>More prose, here. And so on.</p></div></body>", "Prose one, two. Three four five six.\nMore prose, here. And so on."),
+        ("<article><p>E = <math><mi>m</mi><mi>c</mi></math>, done.</p></article>", "E = mc, done."),
+        ("<p>a < b, x <3 y</p>", "a < b, x <3 y"),
+        ("<div data-class='menu'>text here</div>", "text here"),
+    ],
+)
+def test_html_odd_markup(html, text):
+    assert html_extract.extract(html) == text
+
+
+def test_html_scores_decide(monkeypatch):
+    page = "<body><div class='nav'>Home, about. Links</div><div><p>One two three, four. Five six, seven.</p><p>Eight, nine ten.</p></div><div class='sidebar'><p>Other, things.</p></div></body>"
+    assert html_extract.extract(page) == "One two three, four. Five six, seven.\nEight, nine ten."
+    monkeypatch.setattr(html_extract, "path_scores", lambda blocks: {(x.path, x.boiler): 1.0 for x, _ in blocks})
+    assert "Other, things." in html_extract.extract(page)
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", "<p>a</p>"), (2, None, None), (2, None, None)], "page_id long, url string, html string")
     got = html_extract.extract_pages(df).collect()
