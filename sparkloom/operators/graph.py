@@ -6,10 +6,19 @@ stored, so that plans don't grow and a lost executor costs one round.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from .storage import Growing, stored
 
-from .storage import stored
+
+def _edges(edges: DataFrame) -> DataFrame:
+    """The edges, once each, stored: rounds read them instead of making them again."""
+    return stored(edges.select("src", "dst").distinct())
 
 
 def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 80, max_nodes: int | None = None) -> DataFrame:
@@ -18,18 +27,22 @@ def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 80, max_nodes:
     max_nodes stops the walk after the round in which so many nodes are known; all nodes of that
     round are kept, so the result doesn't depend on any order.
     """
-    e = edges.select("src", "dst").distinct()
-    seen = stored(roots.select("node").distinct().withColumn("depth", F.lit(0)))
-    frontier = seen
+    return _walk(_edges(edges), roots, max_depth, max_nodes)
+
+
+def _walk(e: DataFrame, roots: DataFrame, max_depth: int = 80, max_nodes: int | None = None) -> DataFrame:
+    """closure() over edges that are stored: each round adds its nodes to the folder of those known."""
+    seen = Growing(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, max_depth + 1):
+        known = seen.frame()
+        frontier = known.where(F.col("depth") == depth - 1)
         step = frontier.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = stored(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        seen.add(step.join(known.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        if seen.frame().where(F.col("depth") == depth).isEmpty():
             break
-        seen = stored(seen.unionByName(frontier))
-        if max_nodes is not None and seen.count() > max_nodes:
+        if max_nodes is not None and seen.frame().count() > max_nodes:
             break
-    return seen
+    return seen.frame()
 
 
 def typed_closure(edges: DataFrame, roots: DataFrame, types: list[str], excluded_prefixes: list[str], max_depth: int = 80) -> DataFrame:
@@ -50,8 +63,9 @@ def exclusive_nodes(edges: DataFrame, tree: DataFrame, entry: DataFrame) -> Data
 
 def removable_nodes(edges: DataFrame, roots: DataFrame, anchors: DataFrame | None = None, protect_roots: bool = True, max_depth: int = 80) -> DataFrame:
     """Greatest fixpoint: from the closure of roots, nodes with a caller outside or an anchor go until none is left to go."""
-    e = edges.select("src", "dst").where("src != dst").distinct()
-    left = stored(closure(edges, roots, max_depth).select("node"))
+    every = _edges(edges)
+    e = every.where("src != dst")
+    left = _walk(every, roots, max_depth).select("node")
     if anchors is not None:
         fixed = anchors.select("node").join(roots.select("node"), "node", "left_anti") if protect_roots else anchors.select("node")
         left = stored(left.join(fixed, "node", "left_anti"))
@@ -68,20 +82,21 @@ def removable_nodes(edges: DataFrame, roots: DataFrame, anchors: DataFrame | Non
 
 def cascade_nodes(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Least fixpoint: from seeds, a node joins when all its callers (itself aside) are in the set."""
-    e = edges.select("src", "dst").where("src != dst").distinct()
-    got = stored(seeds.select("node").distinct())
+    e = _edges(edges).where("src != dst")
+    got = Growing(seeds.select("node").distinct())
     while True:
-        inside = got.select(F.col("node").alias("src"), F.lit(True).alias("_in"))
+        known = got.frame()
+        inside = known.select(F.col("node").alias("src"), F.lit(True).alias("_in"))
         reached = e.join(inside, "src", "left").groupBy(F.col("dst").alias("node")).agg(F.bool_and(F.coalesce("_in", F.lit(False))).alias("ok")).where("ok").select("node")
-        new = stored(reached.join(got, "node", "left_anti"))
+        new = stored(reached.join(known, "node", "left_anti"))
         if new.isEmpty():
-            return got
-        got = stored(got.unionByName(new))
+            return known
+        got.add(new)
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component): the least node reachable along edges in either direction."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src != dst").distinct()
+    both = stored(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src != dst").distinct())
     label = stored(nodes.select("node").distinct().withColumn("component", F.col("node")))
     while True:
         low = both.join(label.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("_low"))
@@ -96,7 +111,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def shortest_paths(edges: DataFrame, source, rounds: int = 1000) -> DataFrame:
     """(node, dist) from source along edges(src, dst, w, pos); of edges given twice the last counts."""
-    last = edges.groupBy("src", "dst").agg(F.max_by("w", "pos").alias("w"))
+    last = stored(edges.groupBy("src", "dst").agg(F.max_by("w", "pos").alias("w")))
     dist = stored(edges.sparkSession.createDataFrame([(source, 0)], "node long, dist long"))
     for _ in range(rounds):
         step = dist.join(last, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"))
@@ -113,15 +128,43 @@ def network_delay(edges: DataFrame, nodes: DataFrame, source) -> DataFrame:
     return reached.agg(F.when(F.count_if(F.col("dist").isNull()) > 0, F.lit(-1)).otherwise(F.max("dist")).cast("long").alias("delay"))
 
 
+def _in_order(rows: DataFrame, fold, schema: StructType) -> DataFrame:
+    """Run fold(state, levels, positions) over the rows of each tree in order of pos; it gives a column or mask of the batch.
+
+    Rows stream through a task in sorted order: only the state of one tree is held, never a tree.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: list = []
+        tree = object()
+        for batch in batches:
+            out = []
+            for t, level, pos in zip(*(batch.column(c).to_pylist() for c in ("tree", "level", "pos")), strict=True):
+                if t != tree:
+                    tree, state = t, []
+                out.append(fold(state, level, pos))
+            if len(schema) == batch.num_columns:
+                yield batch.filter(pa.array(out, pa.bool_()))
+            else:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, batch.schema.field("pos").type)], names=schema.names)
+
+    return rows.repartition("tree").sortWithinPartitions("tree", "pos").mapInArrow(run, schema)
+
+
 def levelled_parents(rows: DataFrame) -> DataFrame:
     """rows(tree, pos, level, content) with parent_pos: the nearest earlier row of the tree with a smaller level.
 
-    A window per tree keeps, for each level, the last position seen; levels are few.
+    A stack holds the open rows, at most one for each level.
     """
-    w = Window.partitionBy("tree").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.collect_list(F.struct("level", "pos")).over(w)
-    parent = F.array_max(F.transform(F.filter(seen, lambda x: x.level < F.col("level")), lambda x: x.pos))
-    return rows.withColumn("parent_pos", parent)
+
+    def fold(stack: list, level: int, pos: int) -> int | None:
+        while stack and stack[-1][0] >= level:
+            stack.pop()
+        parent = stack[-1][1] if stack else None
+        stack.append((level, pos))
+        return parent
+
+    return _in_order(rows, fold, StructType([*rows.schema.fields, StructField("parent_pos", rows.schema["pos"].dataType)]))
 
 
 def leaf_paths(rows: DataFrame, separator: str = "&") -> DataFrame:
@@ -143,11 +186,14 @@ def leaf_paths(rows: DataFrame, separator: str = "&") -> DataFrame:
 
 def without_level_jumps(rows: DataFrame) -> DataFrame:
     """rows(tree, pos, level) without those more than one level below the last row kept: a fold in order, tree by tree."""
-    ordered = rows.groupBy("tree").agg(F.sort_array(F.collect_list(F.struct(*["pos", *[c for c in rows.columns if c not in ("tree", "pos")]]))).alias("all"))
-    kind = ordered.schema["all"].dataType.simpleString()
-    start = F.struct(F.lit(-1).alias("last"), F.array().cast(kind).alias("kept"))
-    fold = F.aggregate("all", start, lambda acc, x: F.when((acc["last"] >= 0) & (acc["last"] + 1 < x["level"]), acc).otherwise(F.struct(x["level"].cast("int").alias("last"), F.concat(acc["kept"], F.array(x)).alias("kept"))))
-    return ordered.select("tree", F.inline(fold["kept"])).select(*rows.columns)
+
+    def fold(last: list, level: int, pos: int) -> bool:
+        if last and last[0] + 1 < level:
+            return False
+        last[:] = [level]
+        return True
+
+    return _in_order(rows, fold, rows.schema)
 
 
 def annotated_tree(edges: DataFrame, roots: DataFrame, inside: DataFrame, retained: DataFrame, max_depth: int = 20) -> DataFrame:
@@ -156,7 +202,7 @@ def annotated_tree(edges: DataFrame, roots: DataFrame, inside: DataFrame, retain
     Children stay within inside(node); a node that stands on its own path is flagged as a cycle;
     neither it nor a retained node is expanded.
     """
-    e = edges.select("src", "dst").distinct().join(inside.select(F.col("node").alias("dst")), "dst", "left_semi")
+    e = stored(edges.select("src", "dst").distinct().join(inside.select(F.col("node").alias("dst")), "dst", "left_semi"))
     keep = retained.select("node", F.lit(True).alias("_kept")).distinct()
     level = roots.select(F.col("node").alias("root"), F.array("node").alias("path"), "node", F.lit(0).alias("depth"), F.lit(False).alias("cycle")).join(keep, "node", "left").withColumn("retained", F.coalesce("_kept", F.lit(False))).drop("_kept")
     level = stored(level)

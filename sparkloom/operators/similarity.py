@@ -42,10 +42,8 @@ def close_texts(texts: DataFrame, key: str, text: str, rate: float, within: list
     """
     from ..functions.texts import matching_rate
 
-    band = 1 / (1 - rate / 100)
     n = F.greatest(F.length(text), F.lit(1))
     grown = texts.withColumn("_band", F.floor(F.log(n) / F.log(F.lit(max(1.05, rate and 100 / (rate - 0.05))))).cast("int"))
-    assert band > 0
     x = grown.select(*[F.col(c).alias(f"x_{c}") for c in within], F.col(key).alias("a"), F.col(text).alias("ta"), F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)).alias("_band"))
     y = grown.select(*[F.col(c).alias(f"y_{c}") for c in within], F.col(key).alias("b"), F.col(text).alias("tb"), F.col("_band").alias("_band_b"))
     same = [F.col(f"x_{c}") == F.col(f"y_{c}") for c in within] + [F.col("_band") == F.col("_band_b")]

@@ -11,7 +11,7 @@ from .registry import query
 from .relational import table
 
 # part -> supplier -> nation -> region, and back from regions to a few parts, so that there are cycles.
-_EDGES = """e(src, dst) AS (SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_quantity > 40
+_EDGES = """e(src, dst) AS (SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem
 UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
 UNION SELECT 'r' || r_regionkey, 'p' || (r_regionkey + 1) FROM region)"""
 
@@ -19,7 +19,7 @@ UNION SELECT 'r' || r_regionkey, 'p' || (r_regionkey + 1) FROM region)"""
 def edges(spark, d) -> DataFrame:
     name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
     parts = [
-        table(spark, d, "lineitem").where("l_quantity > 40").select(name("p", "l_partkey").alias("src"), name("s", "l_suppkey").alias("dst")),
+        table(spark, d, "lineitem").select(name("p", "l_partkey").alias("src"), name("s", "l_suppkey").alias("dst")),
         table(spark, d, "supplier").select(name("s", "s_suppkey").alias("src"), name("n", "s_nationkey").alias("dst")),
         table(spark, d, "nation").select(name("n", "n_nationkey").alias("src"), name("r", "n_regionkey").alias("dst")),
         table(spark, d, "region").withColumn("next", F.col("r_regionkey") + 1).select(name("r", "r_regionkey").alias("src"), name("p", "next").alias("dst")),
@@ -39,33 +39,42 @@ def g01(spark, d):
     return graph.closure(edges(spark, d), _roots(spark, "p1")).select("node")
 
 
-@query("g02_capped_tree")
+@query("g02_capped_tree", f"""WITH RECURSIVE {_EDGES}, c(node, depth) AS (SELECT 'p1', 0 UNION SELECT dst, depth + 1 FROM c JOIN e ON node = src WHERE depth < 80), d AS (SELECT node, min(depth)::INTEGER AS depth FROM c GROUP BY node),
+n AS (SELECT depth, sum(count(*)) OVER (ORDER BY depth) AS known FROM d GROUP BY depth) SELECT node, depth FROM d WHERE depth <= coalesce((SELECT min(depth) FROM n WHERE known > 120 AND depth > 0), 80)""")
 def g02(spark, d):
     return graph.closure(edges(spark, d), _roots(spark, "p1"), max_nodes=120)
 
 
-@query("g03_depth_capped", f"WITH RECURSIVE {_EDGES}, c(node, depth) AS (SELECT 'p1', 0 UNION SELECT dst, depth + 1 FROM c JOIN e ON node = src WHERE depth < 3) SELECT node, min(depth)::INTEGER AS depth FROM c GROUP BY node")
+@query("g03_depth_capped", f"WITH RECURSIVE {_EDGES}, c(node, depth) AS (SELECT 'p1', 0 UNION SELECT dst, depth + 1 FROM c JOIN e ON node = src WHERE depth < 120) SELECT node, min(depth)::INTEGER AS depth FROM c GROUP BY node")
 def g03(spark, d):
-    return graph.closure(edges(spark, d), _roots(spark, "p1"), max_depth=3)
+    return graph.closure(edges(spark, d), _roots(spark, "p1"), max_depth=120)
 
 
-@query("g04_exclusive", f"WITH RECURSIVE {_EDGES}, c(node, depth) AS (SELECT 'p1', 0 UNION SELECT dst, depth + 1 FROM c JOIN e ON node = src WHERE depth < 3) SELECT dst AS node FROM e WHERE dst <> 'p1' GROUP BY dst HAVING bool_and(src IN (SELECT node FROM c)) AND dst IN (SELECT node FROM c)")
+@query("g04_exclusive", f"WITH RECURSIVE {_EDGES}, c(node, depth) AS (SELECT 'p1', 0 UNION SELECT dst, depth + 1 FROM c JOIN e ON node = src WHERE depth < 80) SELECT dst AS node FROM e WHERE dst <> 'p1' GROUP BY dst HAVING bool_and(src IN (SELECT node FROM c)) AND dst IN (SELECT node FROM c)")
 def g04(spark, d):
     e = edges(spark, d)
-    return graph.exclusive_nodes(e, graph.closure(e, _roots(spark, "p1"), 3).select("node"), _roots(spark, "p1"))
+    return graph.exclusive_nodes(e, graph.closure(e, _roots(spark, "p1")).select("node"), _roots(spark, "p1"))
 
 
-@query("g05_removable")
+def _removable(roots: str, anchors: str, free: str) -> str:
+    """What nodes outside of the closure call goes, and so does all that it calls; free: a condition of the nodes that may go."""
+    return f"""WITH RECURSIVE {_EDGES}, f AS (SELECT * FROM e WHERE src <> dst), c(node) AS (SELECT unnest({roots}) UNION SELECT dst FROM c JOIN e ON node = src),
+gone(node) AS (SELECT node FROM c WHERE node IN ({anchors}) AND {free} UNION SELECT dst FROM f WHERE dst IN (SELECT node FROM c) AND src NOT IN (SELECT node FROM c) AND {free.replace("node", "dst")}
+UNION SELECT dst FROM gone JOIN f ON node = src WHERE dst IN (SELECT node FROM c) AND {free.replace("node", "dst")}) SELECT node FROM c WHERE node NOT IN (SELECT node FROM gone)"""
+
+
+@query("g05_removable", _removable("['p1', 'p2', 'p3']", "'n3'", "node NOT IN ('p1', 'p2', 'p3')"))
 def g05(spark, d):
     return graph.removable_nodes(edges(spark, d), _roots(spark, "p1", "p2", "p3"), _roots(spark, "n3"))
 
 
-@query("g05b_removable_roots_open")
+@query("g05b_removable_roots_open", _removable("['p1', 'p2', 'p3']", "'p2'", "node <> ''"))
 def g05b(spark, d):
     return graph.removable_nodes(edges(spark, d), _roots(spark, "p1", "p2", "p3"), _roots(spark, "p2"), protect_roots=False)
 
 
-@query("g06_cascade")
+@query("g06_cascade", f"""WITH RECURSIVE {_EDGES}, f AS (SELECT * FROM e WHERE src <> dst), r(a, b) AS (SELECT src, dst FROM f UNION SELECT a, dst FROM r JOIN f ON b = src),
+bad AS (SELECT b AS node FROM r WHERE a IN (SELECT a FROM r WHERE a = b)) SELECT node FROM (SELECT src AS node FROM e UNION SELECT dst FROM e) WHERE node NOT IN (SELECT node FROM bad)""")
 def g06(spark, d):
     e = edges(spark, d)
     seeds = e.select(F.col("src").alias("node")).distinct().join(e.select(F.col("dst").alias("node")), "node", "left_anti")
@@ -94,7 +103,9 @@ def g09(spark, d):
     return graph.levelled_parents(_tree(spark, d)).select("tree", "pos", "parent_pos")
 
 
-@query("w03_no_level_jumps")
+@query("w03_no_level_jumps", f"""WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY pos) AS nr FROM ({_TREE})),
+w(tree, nr, last, kept) AS (SELECT tree, nr, level, true FROM t WHERE nr = 1 UNION ALL SELECT t.tree, t.nr, CASE WHEN w.last + 1 < t.level THEN w.last ELSE t.level END, w.last + 1 >= t.level FROM w JOIN t ON t.tree = w.tree AND t.nr = w.nr + 1)
+SELECT t.tree, t.pos, t.level, t.content FROM t JOIN w ON w.tree = t.tree AND w.nr = t.nr WHERE kept""")
 def w03(spark, d):
     return graph.without_level_jumps(_tree(spark, d))
 
@@ -118,19 +129,22 @@ def _weighted(spark, d) -> DataFrame:
     return one.unionByName(two)
 
 
-@query("g11_shortest_paths")
+_DIST = f"{_W}, l AS (SELECT src, dst, max_by(w, pos) AS w FROM (SELECT *, row_number() OVER () AS pos FROM w) GROUP BY src, dst), p(node, dist) AS (SELECT 0::BIGINT, 0::BIGINT UNION SELECT dst, dist + w FROM p JOIN l ON node = src WHERE dist < 150), d AS (SELECT node, min(dist)::BIGINT AS dist FROM p GROUP BY node)"
+
+
+@query("g11_shortest_paths", f"WITH RECURSIVE {_DIST} SELECT node, dist FROM d")
 def g11(spark, d):
     return graph.shortest_paths(_weighted(spark, d), 0)
 
 
-@query("g11_network_delay")
+@query("g11_network_delay", f"WITH RECURSIVE {_DIST} SELECT CASE WHEN count(*) FILTER (WHERE dist IS NULL) > 0 THEN -1 ELSE max(dist) END::BIGINT AS delay FROM nation LEFT JOIN d ON node = n_nationkey")
 def g11_delay(spark, d):
     return graph.network_delay(_weighted(spark, d), table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("node")), 0)
 
 
-@query("g12_impact_by_depth", f"WITH RECURSIVE {_EDGES}, c(node, depth) AS (SELECT 'p1', 0 UNION SELECT dst, depth + 1 FROM c JOIN e ON node = src WHERE depth < 5) SELECT depth::INTEGER AS depth, list_sort(list(node)) AS nodes FROM (SELECT node, min(depth) AS depth FROM c GROUP BY node) GROUP BY depth")
+@query("g12_impact_by_depth", f"WITH RECURSIVE {_EDGES}, c(node, depth) AS (SELECT 'p1', 0 UNION SELECT dst, depth + 1 FROM c JOIN e ON node = src WHERE depth < 80) SELECT depth::INTEGER AS depth, list_sort(list(node)) AS nodes FROM (SELECT node, min(depth) AS depth FROM c GROUP BY node) GROUP BY depth")
 def g12(spark, d):
-    return graph.closure(edges(spark, d), _roots(spark, "p1"), 5).groupBy("depth").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    return graph.closure(edges(spark, d), _roots(spark, "p1")).groupBy("depth").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
 
 
 @query("g13_typed_closure", f"WITH RECURSIVE {_EDGES}, t AS (SELECT * FROM e WHERE NOT starts_with(dst, 'r')), c(node) AS (SELECT 'p1' UNION SELECT dst FROM c JOIN t ON node = src) SELECT node FROM c")
@@ -151,12 +165,14 @@ def g15(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max_by("l_linenumber", score).alias("pick"))
 
 
-@query("g16_permutations", "SELECT [a.r_name, b.r_name, c.r_name] AS perm FROM region a JOIN region b ON b.r_name <> a.r_name JOIN region c ON c.r_name NOT IN (a.r_name, b.r_name) WHERE a.r_regionkey < 3 AND b.r_regionkey < 3 AND c.r_regionkey < 3")
+@query("g16_permutations", "SELECT [a.r_name, b.r_name, c.r_name, d.r_name, e.r_name] AS perm FROM region a JOIN region b ON b.r_name <> a.r_name JOIN region c ON c.r_name NOT IN (a.r_name, b.r_name) JOIN region d ON d.r_name NOT IN (a.r_name, b.r_name, c.r_name) JOIN region e ON e.r_name NOT IN (a.r_name, b.r_name, c.r_name, d.r_name)")
 def g16(spark, d):
-    return graph.permutations(table(spark, d, "region").where("r_regionkey < 3").select("r_name"), "r_name")
+    return graph.permutations(table(spark, d, "region").select("r_name"), "r_name")
 
 
-@query("g17_annotated_tree")
+@query("g17_annotated_tree", f"""WITH RECURSIVE {_EDGES}, c(node, depth) AS (SELECT unnest(['n1', 'n2']), 0 UNION SELECT dst, depth + 1 FROM c JOIN e ON node = src WHERE depth < 3), i AS (SELECT * FROM e WHERE dst IN (SELECT node FROM c)),
+t(root, path, node, depth, cycle, retained) AS (SELECT x, [x], x, 0, false, x = 's1' FROM (SELECT unnest(['n1', 'n2']) AS x) UNION ALL SELECT root, list_append(path, dst), dst, depth + 1, list_contains(path, dst), dst = 's1' FROM t JOIN i ON node = src WHERE NOT cycle AND NOT retained AND depth < 4)
+SELECT root, path, node, depth::INTEGER AS depth, cycle, retained FROM t""")
 def g17(spark, d):
     e = edges(spark, d)
     inside = graph.closure(e, _roots(spark, "n1", "n2"), 3).select("node")
@@ -170,7 +186,9 @@ def x01(spark, d):
     return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(similarity.cosine(F.col("va"), F.col("vb")), 6).alias("cosine"))
 
 
-@query("x01_token_cosine")
+@query("x01_token_cosine", r"""WITH t AS (SELECT item_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS token FROM benchmark), c AS (SELECT item_id, token, count(*) AS n FROM t WHERE token <> '' GROUP BY item_id, token),
+m AS (SELECT item_id, sqrt(sum(n * n)::DOUBLE) AS norm FROM c GROUP BY item_id), d AS (SELECT x.item_id AS a, y.item_id AS b, sum(x.n * y.n)::DOUBLE AS dot FROM c x JOIN c y ON y.item_id = x.item_id + 1 AND y.token = x.token GROUP BY ALL)
+SELECT p.item_id AS a, p.item_id + 1 AS b, coalesce(dot / (ma.norm * mb.norm), 0.0) AS cosine FROM benchmark p LEFT JOIN d ON d.a = p.item_id LEFT JOIN m ma ON ma.item_id = p.item_id LEFT JOIN m mb ON mb.item_id = p.item_id + 1""")
 def x01_tokens(spark, d):
     items = table(spark, d, "benchmark").select("item_id", "text")
     counts = similarity.token_counts(items, "item_id", "text")
@@ -183,7 +201,8 @@ def x02(spark, d):
     return similarity.density_clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 0.5)
 
 
-@query("x03_text_groups")
+@query("x03_text_groups", """WITH RECURSIVE t AS (SELECT p_type, min(p_partkey) AS low FROM part WHERE p_type <> '' GROUP BY p_type), l AS (SELECT a.low AS a, b.low AS b FROM t a JOIN t b ON round((1 - levenshtein(a.p_type, b.p_type)::DOUBLE / greatest(length(a.p_type), length(b.p_type))) * 100, 1) >= 80),
+g(a, b) AS (SELECT a, b FROM l UNION SELECT g.a, l.b FROM g JOIN l ON l.a = g.b) SELECT p_partkey AS node, coalesce((SELECT min(b) FROM g JOIN t ON g.a = t.low WHERE t.p_type = p.p_type), p_partkey) AS component FROM part p""")
 def x03(spark, d):
     return similarity.text_groups(table(spark, d, "part"), "p_partkey", "p_type", 80.0)
 
