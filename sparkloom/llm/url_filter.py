@@ -1,8 +1,8 @@
 """URL filters: a sorted array of 64-bit digests, memory-mapped and probed by vectorised binary search.
 
 A rule is a host and a path prefix. The array holds xxhash64 of each rule's `host + path`; a url is
-probed with every parent domain of its host and every prefix of its path that has the length of
-some rule's path. A hit counts only when the rule's stored full string equals the probe, so
+probed with every parent domain of its host that has as many labels as some rule's host and every
+prefix of its path that has the length of some rule's path. A hit counts only when the rule's stored full string equals the probe, so
 colliding digests do no harm. The longest fitting rule decides; urls without one are allowed.
 
 Edge cases: null urls and urls without `://` have an empty host and path and no rule; rule lists
@@ -37,8 +37,10 @@ class DigestArray:
     def build(cls, rules: Iterable[tuple[str, str, str]]) -> DigestArray:
         """rules: (verdict 'allow' or 'block', host, path prefix); a rule given twice keeps its last verdict."""
         last: dict[str, tuple[str, int]] = {}
+        labels: set[int] = set()
         for verdict, host, path in rules:
             last[host.lower() + path] = (verdict, len(host))
+            labels.add(host.count(".") + 1)
             if len(last) > MAX_RULES:
                 raise ValueError(f"more than {MAX_RULES} rules")
         strings = [r.encode() for r in last]
@@ -50,8 +52,8 @@ class DigestArray:
         paths = np.unique(np.array([len(s.decode()) - values[i][1] for i, s in zip(order, strings, strict=True)], np.int64))
         offsets = np.zeros(len(strings) + 1, np.int64)
         np.cumsum([len(s) for s in strings], out=offsets[1:])
-        head = np.array([len(strings), len(paths)], np.int64)
-        return cls(b"".join([head.tobytes(), keys[order].tobytes(), offsets.tobytes(), paths.tobytes(), allow.tobytes(), *strings]))
+        head = np.array([len(strings), len(paths), len(labels)], np.int64)
+        return cls(b"".join([head.tobytes(), keys[order].tobytes(), offsets.tobytes(), paths.tobytes(), np.array(sorted(labels), np.int64).tobytes(), allow.tobytes(), *strings]))
 
     def __getstate__(self):
         return {"image": self.image}
@@ -66,13 +68,14 @@ class DigestArray:
                 f.write(self.image)
                 f.flush()
                 self._map = mmap.mmap(os.dup(f.fileno()), len(self.image), access=mmap.ACCESS_READ)
-            n, p = np.frombuffer(self._map, np.int64, 2)
-            at = 16
+            n, p, d = np.frombuffer(self._map, np.int64, 3)
+            at = 24
             self.keys = np.frombuffer(self._map, np.uint64, n, at)
             self.offsets = np.frombuffer(self._map, np.int64, n + 1, at + 8 * n)
             self.path_lengths = np.frombuffer(self._map, np.int64, p, at + 16 * n + 8)
-            self.allow = np.frombuffer(self._map, np.uint8, n, at + 16 * n + 8 + 8 * p)
-            self.strings_at = int(at + 16 * n + 8 + 8 * p + n)
+            self.label_counts = np.frombuffer(self._map, np.int64, d, at + 16 * n + 8 + 8 * p)
+            self.allow = np.frombuffer(self._map, np.uint8, n, at + 16 * n + 8 + 8 * p + 8 * d)
+            self.strings_at = int(at + 16 * n + 8 + 8 * p + 8 * d + n)
             self._open = True
         return self
 
@@ -102,10 +105,12 @@ class DigestArray:
         for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
             if not host:
                 continue
-            labels = host.split(".")
+            labels = host.rsplit(".", int(self.label_counts[-1])) if len(self.label_counts) else []
             ends = [path[:k] for k in self.path_lengths[::-1] if k <= len(path)]
-            for j in range(len(labels)):  # longest host first
-                domain = ".".join(labels[j:])
+            for j in self.label_counts[::-1]:  # longest host first
+                if j > len(labels):
+                    continue
+                domain = ".".join(labels[len(labels) - int(j) :])
                 probes += [(domain + e).encode() for e in ends]
                 owner += [i] * len(ends)
         rules: list[str | None] = [None] * len(hosts)
