@@ -17,9 +17,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`; a local one only where that is unset."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`; a local one only where that is unset and Spark runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = getattr(spark.sparkContext, "_sparkloom_shared", None)
         if not folder:
             folder = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
