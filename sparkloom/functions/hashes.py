@@ -46,23 +46,23 @@ def ring_signed(c: Column) -> Column:
     return F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h)
 
 
-def ring_lookup(keys: DataFrame, key: str, nodes: DataFrame, node: str, replicas: int = 8) -> DataFrame:
+def ring_lookup(keys: DataFrame, key: str, nodes: DataFrame, node: str, replicas: int = 8, bits: int = 12) -> DataFrame:
     """keys with ring_node: the node of the first ring place at or after the key's hash, or else the first place.
 
-    Keys and places are sorted together within slices of the ring (an as-of search by window);
-    a slice without a place at or after a key takes the first place of the slices that follow.
+    Keys and places are sorted together, backwards, within 2 ** bits slices of the ring (an as-of search by
+    window, each row once); a slice without a place at or after a key takes the first place of the slices that follow.
     """
     places = nodes.select(F.col(node).alias("_node"), F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))).alias("_i"))
     places = places.select(ring_signed(F.concat(F.col("_node").cast("string"), F.col("_i").cast("string"))).alias("_h"), "_node")
-    part = (F.shiftright(F.col("_h"), 24)).alias("_part")
+    part = F.shiftright(F.col("_h"), 32 - bits).alias("_part")
     firsts = places.groupBy(part).agg(F.min(F.struct("_h", "_node")).alias("_first"))
-    # At most 256 slices: what follows each of them is a small table.
-    follow = Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
-    slices = keys.sparkSession.range(-128, 128).select(F.col("id").alias("_part")).join(firsts, "_part", "left")
+    # 2 ** bits slices: what follows each of them is a small table.
+    follow = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    slices = keys.sparkSession.range(-(1 << bits - 1), 1 << bits - 1).select(F.col("id").alias("_part")).join(firsts, "_part", "left")
     start = F.min("_first").over(Window.partitionBy())
-    slices = slices.select("_part", F.coalesce(F.first("_first", ignorenulls=True).over(follow), start).getField("_node").alias("_later"))
+    slices = slices.select("_part", F.coalesce(F.last("_first", ignorenulls=True).over(follow), start).getField("_node").alias("_later"))
     hashed = keys.withColumn("_h", ring_signed(F.col(key)))
-    both = hashed.withColumn("_node", F.lit(None).cast(places.schema["_node"].dataType)).withColumn("_kind", F.lit(0)).unionByName(places.withColumn("_kind", F.lit(1)), allowMissingColumns=True).withColumn("_part", F.shiftright(F.col("_h"), 24))
-    ahead = Window.partitionBy("_part").orderBy("_h", F.col("_kind")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = both.withColumn("_at", F.first("_node", ignorenulls=True).over(ahead)).where("_kind = 0")
+    both = hashed.withColumn("_node", F.lit(None).cast(places.schema["_node"].dataType)).withColumn("_kind", F.lit(0)).unionByName(places.withColumn("_kind", F.lit(1)), allowMissingColumns=True).withColumn("_part", part)
+    ahead = Window.partitionBy("_part").orderBy(F.desc("_h"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_at", F.last("_node", ignorenulls=True).over(ahead)).where("_kind = 0")
     return found.join(F.broadcast(slices), "_part", "left").select(*keys.columns, F.coalesce("_at", "_later").alias("ring_node"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graph, similarity
+from ..operators import calls, graph, similarity
 from ..operators.windows import gaps
 from .registry import query
 from .relational import table
@@ -81,6 +81,35 @@ def g06(spark, d):
     return graph.cascade_nodes(e, seeds)
 
 
+# Five groups of five nodes: four rings and, last, a chain. Node 100 calls the first of groups 0, 1 and 4, node 200 those of
+# groups 2 and 3 and the third of group 1: so that node 8 hangs on node 7, which has a caller outside, and ring 0 on the root alone.
+_RINGS = """e(src, dst) AS (SELECT n_nationkey::VARCHAR, CASE WHEN n_nationkey % 5 < 4 THEN n_nationkey + 1 ELSE n_nationkey - 4 END::VARCHAR FROM nation WHERE n_nationkey <> 24
+UNION SELECT * FROM (VALUES ('100', '0'), ('100', '5'), ('100', '20'), ('200', '10'), ('200', '15'), ('200', '7')) v)"""
+
+
+def _rings(spark, d) -> DataFrame:
+    k = F.col("n_nationkey")
+    ring = table(spark, d, "nation").where("n_nationkey <> 24").select(k.cast("string").alias("src"), F.when(k % 5 < 4, k + 1).otherwise(k - 4).cast("string").alias("dst"))
+    return ring.unionByName(spark.createDataFrame([("100", "0"), ("100", "5"), ("100", "20"), ("200", "10"), ("200", "15"), ("200", "7")], "src string, dst string"))
+
+
+@query("g07_exclusive_on_cycles", f"WITH RECURSIVE {_RINGS}, c(node) AS (SELECT '100' UNION SELECT dst FROM c JOIN e ON node = src) SELECT dst AS node FROM e WHERE dst <> '100' GROUP BY dst HAVING bool_and(src IN (SELECT node FROM c)) AND dst IN (SELECT node FROM c)")
+def g07_exclusive(spark, d):
+    e = _rings(spark, d)
+    return graph.exclusive_nodes(e, graph.closure(e, _roots(spark, "100")).select("node"), _roots(spark, "100"))
+
+
+@query("g07_removable_on_cycles", _removable("['100']", "''", "node <> '100'").replace(_EDGES, _RINGS))
+def g07_removable(spark, d):
+    return graph.removable_nodes(_rings(spark, d), _roots(spark, "100"))
+
+
+@query("g07_cascade_on_cycles", f"""WITH RECURSIVE {_RINGS}, r(a, b) AS (SELECT src, dst FROM e UNION SELECT a, dst FROM r JOIN e ON b = src),
+bad AS (SELECT b AS node FROM r WHERE a IN (SELECT a FROM r WHERE a = b)) SELECT node FROM (SELECT src AS node FROM e UNION SELECT dst FROM e) WHERE node NOT IN (SELECT node FROM bad)""")
+def g07_cascade(spark, d):
+    return graph.cascade_nodes(_rings(spark, d), _roots(spark, "100", "200"))
+
+
 _TREE = "SELECT n_regionkey AS tree, n_nationkey AS pos, CASE WHEN n_nationkey = (SELECT min(n2.n_nationkey) FROM nation n2 WHERE n2.n_regionkey = n.n_regionkey) THEN 0 ELSE 1 + (n_nationkey % 3) END AS level, n_name AS content FROM nation n"
 
 
@@ -165,6 +194,29 @@ def g15(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max_by("l_linenumber", score).alias("pick"))
 
 
+# Overloads of one method, with a variable tail in the last two; argument types by line item.
+_METHODS = [(0, ["int", "String"], False), (1, ["Integer", "Object"], False), (2, ["a.b.Date", "Object"], False), (3, ["Object"], False), (4, ["long"], False), (5, ["String", "int"], True), (6, ["String"], True)]
+_TYPES = ["int", "Integer", "String", "null", "", "java.util.List<String>", "Date"]
+_SHORT = "regexp_replace(trim({0}), '<.*>', '').regexp_replace('^.*\\.', '')"
+_BOXED = ", ".join(f"('{a}', '{b}')" for k, v in calls.BOXED.items() for a, b in ((k, v), (v, k)))
+_PRIMITIVE = ", ".join(f"'{k}'" for k in calls.BOXED)
+
+
+@query("g15_overloads", f"""WITH m(pos, params, varargs) AS (VALUES {", ".join(f"({p}, {ts}, {str(v).lower()})" for p, ts, v in _METHODS)}), t AS (SELECT {_TYPES} AS ts),
+c AS (SELECT DISTINCT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS call, list_slice([ts[l_partkey % 7 + 1], ts[l_suppkey % 7 + 1], 'int'], 1, l_linenumber % 4) AS args FROM lineitem, t),
+x AS (SELECT call, pos, varargs, params, args, unnest(CASE WHEN len(args) = 0 OR len(params) = 0 THEN [0] ELSE range(1, least(len(params), len(args)) + 1) END) AS i FROM c, m WHERE CASE WHEN varargs THEN len(args) >= len(params) - 1 ELSE len(args) = len(params) END),
+y AS (SELECT *, CASE WHEN i > 0 THEN {_SHORT.format("params[i]")} END AS p, CASE WHEN i > 0 THEN {_SHORT.format("args[i]")} END AS a FROM x),
+z AS (SELECT call, pos, varargs, len(any_value(params)) AS width, sum(CASE WHEN coalesce(a, '') = '' THEN 0 WHEN a = 'null' THEN CASE WHEN p IN ({_PRIMITIVE}) THEN -50 ELSE 1 END WHEN a = p THEN 8 WHEN (a, p) IN ({_BOXED}) THEN 6 WHEN p = 'Object' THEN 1 ELSE -4 END) AS score FROM y GROUP BY call, pos, varargs)
+SELECT call, pos FROM (SELECT *, row_number() OVER (PARTITION BY call ORDER BY varargs, CASE WHEN varargs THEN width ELSE score END DESC, pos) AS n FROM z) WHERE n = 1""")
+def g15_overloads(spark, d):
+    kinds = F.array(*[F.lit(t) for t in _TYPES])
+    kind = lambda c: F.element_at(kinds, (F.col(c) % 7 + 1).cast("int"))
+    args = F.slice(F.array(kind("l_partkey"), kind("l_suppkey"), F.lit("int")), F.lit(1), (F.col("l_linenumber") % 4).cast("int"))
+    found = table(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("call"), F.lit("A").alias("owner"), F.lit("f").alias("name"), args.alias("args"))
+    methods = spark.createDataFrame([("A", "f", *m) for m in _METHODS], "owner string, name string, pos int, params array<string>, varargs boolean")
+    return calls.best_overload(found, methods)
+
+
 @query("g16_permutations", "SELECT [a.r_name, b.r_name, c.r_name, d.r_name, e.r_name] AS perm FROM region a JOIN region b ON b.r_name <> a.r_name JOIN region c ON c.r_name NOT IN (a.r_name, b.r_name) JOIN region d ON d.r_name NOT IN (a.r_name, b.r_name, c.r_name) JOIN region e ON e.r_name NOT IN (a.r_name, b.r_name, c.r_name, d.r_name)")
 def g16(spark, d):
     return graph.permutations(table(spark, d, "region").select("r_name"), "r_name")

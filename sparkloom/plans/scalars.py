@@ -216,6 +216,15 @@ def h04(spark, d):
     return hashes.ring_lookup(table(spark, d, "customer").select("c_custkey"), "c_custkey", table(spark, d, "nation"), "n_name").select("c_custkey", "ring_node")
 
 
+@query("h07_tokens", "SELECT c_custkey, c_custkey::VARCHAR AS id, true AS same FROM customer")
+def h07(spark, d):
+    # A token is the cipher text of an id; equal ids have equal tokens.
+    key, iv = b"0123456789abcdef", b"fedcba9876543210"
+    sealed = hashes.aes_base64(F.col("c_custkey").cast("string"), key, iv)
+    tokens = table(spark, d, "customer").select("c_custkey", sealed.alias("token"), sealed.alias("again"))
+    return tokens.select("c_custkey", hashes.aes_text(F.col("token"), key, iv).alias("id"), ((F.col("token") == F.col("again")) & F.col("token").rlike("^[A-Za-z0-9+/]{22}==$")).alias("same"))
+
+
 @query("h05_short_uuid")
 def h05(spark, d):
     return table(spark, d, "region").select("r_regionkey", numbers.random_id(32).alias("id"))

@@ -71,11 +71,13 @@ def s09(spark, d):
     return table(spark, d, "nation").select("n_nationkey", F.inline(readers.mapper_statements(xml))).select("n_nationkey", "id", "sql")
 
 
-@query("s15_binary_files", "SELECT count(*) > 0 AS found FROM nation")
+@query("s15_binary_files", "SELECT n_name, length(n_name) + 1 AS length FROM nation")
 def s15(spark, d):
     path = _folder(spark, "binary")
-    table(spark, d, "nation").select("n_name").write.text(path)
-    return readers.binary_files(spark, path, "*.txt").agg((F.sum("length") > 0).alias("found"))
+    # One file a folder, each with one name and a line feed.
+    table(spark, d, "nation").select("n_name", F.col("n_name").alias("name")).write.partitionBy("name").text(path)
+    files = readers.binary_files(spark, f"{path}/name=*", "*.txt")
+    return files.select(F.rtrim(F.regexp_replace(F.col("content").cast("string"), "\n$", "")).alias("n_name"), "length")
 
 
 @query("s16_one_hop", "SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_suppkey = 1")
@@ -105,6 +107,31 @@ def k10(spark, d):
     return spark.read.text(path).select(F.unbase64("value").cast("string").alias("n_name"))
 
 
+@query("k05_jdbc", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+def k05(spark, d):
+    # An embedded database in memory, unless spark.sparkloom.jdbc names another. Its rows are replaced, then read with the filter pushed down.
+    url = spark.conf.get("spark.sparkloom.jdbc", "jdbc:derby:memory:sparkloom;create=true")
+    rows = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    for part in (rows.limit(3), rows):
+        writers.table_by_jdbc(part, url, "sparkloom_nation", {})
+    return readers.table_by_jdbc(spark, url, "sparkloom_nation", {}).where("n_regionkey = 1").select("n_nationkey", "n_name")
+
+
+@query("k09_upsert", """SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events)
+WHERE n = 1 AND ts + INTERVAL 7 DAY > (SELECT max(ts) FROM events)""")
+def k09(spark, d):
+    path = _folder(spark, "upsert")
+    events = table(spark, d, "events").select("user_id", "event_id", "event_type", "ts")
+    write = writers.upsert_parquet(path, "user_id", "event_id")
+    for number in (0, 1, 2, 1):  # the second batch is given again after a failure
+        write(events.where(F.col("event_id") % 3 == number), number)
+    newest = events.agg(F.max("ts")).first()[0]
+    alive = F.col("ts") + F.expr("interval 7 days") > F.lit(newest)
+    target = _folder(spark, "compacted")
+    writers.compact(spark, path, "user_id", "event_id", target)
+    return writers.upserted(spark, target, "user_id", "event_id", alive).select("user_id", "event_id", "event_type")
+
+
 @query("k07_pushed", "SELECT event_id, 'ch' || c AS channel FROM events JOIN (VALUES (0), (1)) v(c) ON user_id IN (c, c + 2)")
 def k07(spark, d):
     subs = spark.createDataFrame([(f"ch{c}", [c, c + 2]) for c in range(2)], "channel string, accounts array<long>")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators.storage import stored
+from ..sources import readers, writers
 from ..streaming import ticks
 from .registry import query
 from .relational import table
@@ -18,9 +19,14 @@ def _stream(spark, d):
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
 
 
+def _work(spark) -> str:
+    """An unused folder below the shared one."""
+    return stored(spark.range(1)).inputFiles()[0].rsplit("/", 2)[0] + f"/stream-{uuid.uuid4().hex}"
+
+
 def _drained(spark, df, mode: str):
     """Run a stream to its end; the rows that its batches gave, with their batch number."""
-    folder = stored(spark.range(1)).inputFiles()[0].rsplit("/", 2)[0] + f"/stream-{uuid.uuid4().hex}"
+    folder = _work(spark)
 
     def keep(batch, number):
         batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/out/n={number}")
@@ -84,3 +90,64 @@ def r12(spark, d):
     cache = c.select(F.col("c_custkey").alias("k"), F.lit("old").alias("v"))
     fresh = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("v"))
     return ticks.refreshed(cache, fresh, "k")
+
+
+@query("s10_subscriber", "SELECT range AS number, 'tick,' || range AS body FROM range(1000) WHERE range % 7 <> 0 AND range % 5 <> 0")
+def s10(spark, d):
+    spark.dataSource.register(readers.MessageSource)
+    messages = spark.readStream.format("messages").option("factory", "sparkloom.sources.replay:read").option("count", "sparkloom.sources.replay:count").option("spans", 4).load()
+    return _drained(spark, ticks.without_heartbeats(messages, "body"), "append").drop("_batch")
+
+
+@query("s12_topic_tags", "SELECT event_id FROM events WHERE user_id % 2 = 0 AND event_type IN ('click', 'view')")
+def s12(spark, d):
+    topic = F.when(F.col("user_id") % 2 == 0, "orders").otherwise("quotes")
+    messages = _stream(spark, d).select("event_id", topic.alias("topic"), F.col("event_type").alias("tag"))
+    return _drained(spark, readers.selected(messages, "orders", "click || view").select("event_id"), "append").drop("_batch")
+
+
+@query("s13_commands", "SELECT event_id::VARCHAR AS data FROM events WHERE event_type = 'click' AND event_id % 5 <> 0")
+def s13(spark, d):
+    cmd = F.when(F.col("event_type") == "click", 200).otherwise(100)
+    body = F.when(F.col("event_id") % 5 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(cmd.alias("cmd"), F.col("event_id").cast("string").alias("data"))))
+    return _drained(spark, readers.accepted(_stream(spark, d).select(body.alias("line")), "line").select("data"), "append").drop("_batch")
+
+
+@query("s14_delayed_queue", """SELECT event_id, event_type AS body, epoch_us(ts) // 1000 + (event_id % 10) * 3600000 AS due FROM events
+WHERE epoch_us(ts) // 1000 + (event_id % 10) * 3600000 < (SELECT max(epoch_us(ts) // 1000) - 3600000 FROM events)""")
+def s14(spark, d):
+    sent = _stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+    held = sent.select("event_id", F.col("event_type").alias("body"), (F.unix_millis("ts") + (F.col("event_id") % 10) * 3600000).alias("due"), "ts")
+    return _drained(spark, ticks.delayed(held, "event_id", "body", "due"), "append").drop("_batch")
+
+
+@query("r03_exact_distinct_counts", "SELECT date_trunc('second', ts)::TIMESTAMP AS start, user_id, count(*) AS n FROM events GROUP BY 1, 2")
+def r03(spark, d):
+    out = _drained(spark, ticks.tumbling_counts(_stream(spark, d), "ts", "user_id"), "update")
+    return out.groupBy("start", "user_id").agg(F.max_by("n", "_batch").alias("n")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("r06_fan_out", "SELECT 'all' AS sink, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events UNION ALL SELECT 'clicks', count(*), sum(event_id)::BIGINT FROM events WHERE event_type = 'click'")
+def r06(spark, d):
+    folder = _work(spark)
+    everything = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/all/n={n}")
+    clicks = lambda batch, n: batch.where("event_type = 'click'").write.mode("overwrite").parquet(f"{folder}/clicks/n={n}")
+    run = _stream(spark, d).select("event_id", "event_type").writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(writers.fan_out(everything, clicks)).start()
+    run.awaitTermination()
+    one, two = (spark.read.parquet(f"{folder}/{sink}/n=*").agg(F.lit(sink).alias("sink"), F.count("*").alias("n"), F.sum("event_id").alias("ids")) for sink in ("all", "clicks"))
+    return one.unionByName(two)
+
+
+@query("r13_bounded_cache", """SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events)
+WHERE n = 1 AND ts + INTERVAL 1 DAY > (SELECT max(ts) FROM events) ORDER BY ts DESC, event_id DESC LIMIT 8""")
+def r13(spark, d):
+    events = table(spark, d, "events").select("user_id", "event_id", "ts")
+    now = F.lit(events.agg(F.max("ts")).first()[0])
+    return ticks.bounded_cache(events, "user_id", "ts", ["event_id"], now, 8, "1 day").select("user_id", "event_id")
+
+
+@query("r14_every_consumer", "SELECT g AS consumer, event_id FROM events, (VALUES ('one'), ('two')) v(g) WHERE event_type = 'purchase'")
+def r14(spark, d):
+    # Each consumer is a stream with a checkpoint of its own, so that both see every message.
+    seen = [_drained(spark, _stream(spark, d).where("event_type = 'purchase'").select("event_id"), "append").select(F.lit(name).alias("consumer"), "event_id") for name in ("one", "two")]
+    return seen[0].unionByName(seen[1])

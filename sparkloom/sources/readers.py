@@ -92,7 +92,8 @@ class MessageSource(DataSource):
     """A stream of text messages from a subscriber that the option `factory` names as `module:function`.
 
     The function takes (start, end) and returns the messages with those numbers, so that a batch can
-    be read again after a failure; `count` is a function that returns how many there are by now.
+    be read again after a failure; `count` is a function that returns how many there are by now. The
+    option `spans` (1) is the number of tasks that read a batch, each its own run of numbers.
     """
 
     @classmethod
@@ -128,7 +129,10 @@ class _MessageReader(DataSourceStreamReader):
         return {"at": self._named("count")()}
 
     def partitions(self, start: dict, end: dict) -> list:
-        return [_Span(start["at"], end["at"])] if end["at"] > start["at"] else []
+        lo, hi = start["at"], end["at"]
+        n = max(1, min(int(self.options.get("spans", 1)), hi - lo))
+        cuts = [lo + (hi - lo) * k // n for k in range(n + 1)]
+        return [_Span(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
     def read(self, span: _Span):
         for i, body in enumerate(self._named("factory")(span.start, span.end)):
@@ -139,6 +143,18 @@ class _MessageReader(DataSourceStreamReader):
         pass
 
 
+def selected(messages: DataFrame, topic: str, tags: str = "*") -> DataFrame:
+    """messages(topic, tag, ...) of one topic with one of the tags, given as `a || b`; * stands for any tag, none included."""
+    wanted = [t.strip() for t in tags.split("||")]
+    of_topic = messages.where(F.col("topic") == topic)
+    return of_topic if "*" in wanted else of_topic.where(F.col("tag").isin(wanted))
+
+
+def accepted(frames: DataFrame, column: str, commands: tuple[int, ...] = (200,)) -> DataFrame:
+    """cmd and data of text frames with a JSON command among those given; malformed frames are dropped."""
+    return frames.select(json_body(F.col(column), "cmd int, data string").alias("_frame")).select("_frame.*").where(F.col("cmd").isin(*commands))
+
+
 def socket_lines(spark: SparkSession, host: str, port: int) -> DataFrame:
     """Lines of a TCP socket, for development."""
     return spark.readStream.format("socket").option("host", host).option("port", port).load()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -56,15 +56,35 @@ def fan_out(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, in
 
 
 def upsert_parquet(path: str, key: str, version: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that keeps the latest row of each key as Parquet snapshots `batch=n` below path."""
+    """A foreachBatch function that writes the latest row of each key of a batch as the delta `batch=n` below path.
+
+    A batch that runs again replaces its own delta; `upserted` merges the deltas.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        latest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), version).alias("row")).select("row.*")
-        latest.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        _latest(batch, key, version).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
 
 
+def _latest(rows: DataFrame, key: str, version: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), version).alias("row")).select("row.*")
+
+
+def upserted(spark: SparkSession, path: str, key: str, version: str, alive: Column | None = None) -> DataFrame:
+    """The latest row of each key over all deltas that `upsert_parquet` wrote; `alive` tells which rows' time to live isn't over.
+
+    An old row of a key whose latest one has expired doesn't come back.
+    """
+    merged = _latest(spark.read.parquet(f"{path}/batch=*"), key, version)
+    return merged if alive is None else merged.where(alive)
+
+
+def compact(spark: SparkSession, path: str, key: str, version: str, target: str, alive: Column | None = None) -> None:
+    """Write the merged rows as the first delta below another folder, for a sink to go on from."""
+    upserted(spark, path, key, version, alive).write.mode("overwrite").parquet(f"{target}/batch=0")
+
+
 def pushed(batch: DataFrame, subscriptions: DataFrame, account: str) -> DataFrame:
     """Rows of a batch for each channel whose accounts hold the row's; subscriptions(channel, accounts)."""
     return batch.join(subscriptions.select("channel", F.explode("accounts").alias(account)), account)

@@ -99,6 +99,35 @@ def due_messages(messages: DataFrame, due: str, now: Column) -> DataFrame:
     return messages.where(F.col(due) <= now)
 
 
+def delayed(messages: DataFrame, key: str, body: str, due: str) -> DataFrame:
+    """key, body, due of each message once event time has passed its due time (epoch milliseconds), as state with a timer.
+
+    messages carry a watermark on their time of sending. Each message is a state of its own, removed
+    on delivery; of messages with one key that wait together, the last is delivered.
+    """
+
+    def hold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            text, at = state.get
+            state.remove()
+            yield pd.DataFrame({key: [k[0]], body: [text], due: [at]})
+            return
+        held = state.get if state.exists else None
+        for frame in frames:
+            held = (frame[body].iloc[-1], int(frame[due].iloc[-1]))
+        state.update(held)
+        state.setTimeoutTimestamp(max(held[1], state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: [], body: [], due: []})
+
+    kind = messages.schema[key].dataType.simpleString()
+    return messages.groupBy(key).applyInPandasWithState(hold, f"{key} {kind}, {body} string, {due} long", "body string, due long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def with_delay(messages: DataFrame, ts: str, longest: int = 9) -> DataFrame:
+    """messages with `due`, epoch milliseconds: 0 to `longest` whole seconds, at random, after their time of sending."""
+    return messages.withColumn("due", F.unix_millis(F.col(ts).cast("timestamp")) + F.floor(F.rand() * (longest + 1)) * 1000)
+
+
 def order_messages(bodies: DataFrame, column: str, payload: str) -> DataFrame:
     """Envelope(cmd, sendTime, data) and its payload, both from JSON: refreshed orders for reasons 0, 1 or 6 with a payload."""
     envelope = bodies.select(F.from_json(column, "cmd string, sendTime long, data string").alias("e"))
@@ -106,6 +135,13 @@ def order_messages(bodies: DataFrame, column: str, payload: str) -> DataFrame:
     return full.where(F.col("order.dealReason").isin(0, 1, 6))
 
 
+def bounded_cache(loads: DataFrame, key: str, ts: str, order: list[str], now: Column, size: int = 8, expire: str = "10 seconds") -> DataFrame:
+    """The rows that a cache of bounded size holds at a time: the last load of each key, not expired, the latest `size` of them."""
+    past = loads.where(F.col(ts) <= now)
+    last = past.groupBy(key).agg(F.max_by(F.struct(*loads.columns), F.struct(ts, *order)).alias("row")).select("row.*")
+    return last.where(F.col(ts) + F.expr(f"interval {expire}") > now).orderBy(F.desc(ts), *[F.desc(c) for c in order]).limit(size)
+
+
 def refreshed(cache: DataFrame, source: DataFrame, key: str) -> DataFrame:
     """A cache after a refresh from its source: source rows win, keys that the source has with nulls only are deleted."""
     values = [c for c in source.columns if c != key]

@@ -7,6 +7,9 @@ from sparkloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
 
+# No two of the generated vectors are that near; tests/test_similarity.py has some that are.
+EMPTY = {"x02_density_clusters"}
+
 
 @pytest.fixture(scope="module")
 def duck():
@@ -20,7 +23,7 @@ def test_query(spark, duck, name):
     if sql:
         assert same(df, sql, duck)
     else:
-        assert len(df.columns) and df.count() >= 0
+        assert len(df.columns) and (df.count() > 0 or name in EMPTY)
 
 
 def test_entry_point_has_them_all(spark):

@@ -51,3 +51,52 @@ def test_refresh_deletes_what_the_source_lacks(spark):
     source = spark.createDataFrame([(1, "new"), (2, None)], "k int, v string")
     assert sorted(map(tuple, ticks.refreshed(cache, source, "k").collect())) == [(1, "new"), (3, "old")]
     assert ticks.due_messages(spark.range(5), "id", F.lit(2)).count() == 3
+
+
+def test_spans_cover_each_number_once():
+    reader = readers._MessageReader({"spans": "3"})
+    for n in (0, 1, 2, 3, 10):
+        spans = [(p.start, p.end) for p in reader.partitions({"at": 5}, {"at": 5 + n})]
+        assert [i for a, b in spans for i in range(a, b)] == list(range(5, 5 + n))
+        assert len(spans) == min(3, n)
+
+
+def test_upserts_merge_and_expire(spark, tmp_path):
+    write = writers.upsert_parquet(str(tmp_path / "kv"), "k", "at")
+    rows = lambda *r: spark.createDataFrame(r, "k int, at int, v string")
+    write(rows((1, 1, "a"), (2, 1, "b")), 0)
+    write(rows((1, 5, "c"), (3, 4, "d")), 1)
+    write(rows((1, 5, "c"), (3, 4, "d")), 1)
+    write(rows((1, 3, "late")), 2)
+    got = lambda df: sorted(map(tuple, df.collect()))
+    assert got(writers.upserted(spark, str(tmp_path / "kv"), "k", "at")) == [(1, 5, "c"), (2, 1, "b"), (3, 4, "d")]
+    assert got(writers.upserted(spark, str(tmp_path / "kv"), "k", "at", F.col("at") > 4)) == [(1, 5, "c")]
+    writers.compact(spark, str(tmp_path / "kv"), "k", "at", str(tmp_path / "next"))
+    assert got(spark.read.parquet(str(tmp_path / "next" / "batch=0"))) == [(1, 5, "c"), (2, 1, "b"), (3, 4, "d")]
+
+
+def test_delayed_messages_wait_for_their_time(spark, tmp_path):
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
+    ms = lambda m: int(at(m).replace(tzinfo=datetime.UTC).timestamp() * 1000)
+    for n, rows in enumerate([[(1, "soon", at(0), ms(2)), (2, "later", at(0), ms(30))], [(3, "tick", at(10), ms(50))], [(4, "tick", at(20), ms(20))]]):
+        spark.createDataFrame(rows, "id int, body string, ts timestamp, due long").coalesce(1).write.parquet(str(tmp_path / "in" / f"n={n}"))
+    stream = spark.readStream.schema("id int, body string, ts timestamp, due long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "n=*")).withWatermark("ts", "0 seconds")
+    got = drained(ticks.delayed(stream, "id", "body", "due"), tmp_path, "append")
+    assert [(r["id"], r["body"], r["due"]) for r in got] == [(1, "soon", ms(2))]
+
+
+def test_random_delays_are_whole_seconds(spark):
+    sent = spark.range(200).select(F.timestamp_millis(F.lit(1_000_000)).alias("ts"))
+    assert {r["due"] - 1_000_000 for r in ticks.with_delay(sent, "ts").collect()} <= {1000 * k for k in range(10)}
+
+
+def test_selected_and_accepted(spark):
+    m = spark.createDataFrame([("t", "a", 1), ("t", "b", 2), ("t", None, 3), ("u", "a", 4)], "topic string, tag string, n int")
+    assert [r["n"] for r in readers.selected(m, "t", "a || b").collect()] == [1, 2]
+    assert [r["n"] for r in readers.selected(m, "t").collect()] == [1, 2, 3]
+    frames = spark.createDataFrame([('{"cmd":200,"data":"x"}',), ('{"cmd":100}',), ("{",), (None,)], "line string")
+    assert [r["data"] for r in readers.accepted(frames, "line").collect()] == ["x"]
+
+
+def test_stamped_name(spark):
+    assert spark.range(1).select(writers.stamped("out").alias("n")).where(r"n rlike '^out-\\d{8}-\\d{2}-\\d{2}-\\d{2}$'").count() == 1
