@@ -17,15 +17,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import stored
+from .common import inner, stored
 
 #: Stands for a null doc_id in the order.
 NO_ID = -(1 << 63)
-#: Ranges of doc_id at most: the split points are part of the plan.
-MAX_RANGES = 2000
+#: Rows of a range of doc_id: all but its last, and the two that may meet another range.
+INSIDE, FIRST, LAST = 0, 1, 2
 
 
 def canonical(text: str | None) -> bytes:
@@ -81,66 +83,66 @@ def collisions(documents: DataFrame, found: DataFrame) -> DataFrame:
     return forms.groupBy("fingerprint").agg(F.min("form").alias("lo"), F.max("form").alias("hi")).where("lo != hi").select("fingerprint")
 
 
-def ranges(documents: DataFrame, rows: int = 4000) -> list[int]:
-    """Ascending split points of doc_id, about one for so many rows; a few numbers for the driver, by partial quantile sketches."""
-    n, lo = documents.agg(F.count("doc_id"), F.min("doc_id")).first()
-    if not n:
-        return []
-    parts = min(MAX_RANGES, max(1, -(-n // rows)))
-    if parts == 1:
-        return [lo]
-    qs = [i / parts for i in range(1, parts)]
-    cuts = documents.agg(F.percentile_approx("doc_id", qs, max(1000, 4 * parts))).first()[0]
-    return sorted({lo, *cuts})
-
-
 def with_next(documents: DataFrame, function, schema: str, rows: int = 4000) -> DataFrame:
     """Apply function(list of (doc_id, text, next text)) -> RecordBatch to all rows in descending doc_id order; after the last comes the first.
 
-    Rows are dealt out by ranges of doc_id. The first row of each range also goes to the range
-    before it, as the next document of that range's last row: one text for each range is sent twice.
+    Rows are dealt out by ranges of doc_id, about one for so many rows, and stream through their task
+    in order. A range's last row can't see the next range's first: of each range these two rows are
+    written out as well, and a small join pairs them up. Only the ids of those rows are ever sorted
+    in one place, two for each range.
     """
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cuts = ranges(docs, rows)
-    spark = documents.sparkSession
-    if not cuts:
-        return spark.createDataFrame([], schema)
-    # Range k holds cuts[k] <= doc_id < cuts[k + 1]; a search over the sorted cuts by a chain of array functions would cost O(cuts), so a binary search tree of conditions is built.
-    def tree(a: int, b: int):
-        if b - a == 1:
-            return F.lit(a)
-        mid = (a + b) // 2
-        return F.when(F.col("doc_id") < cuts[mid], tree(a, mid)).otherwise(tree(mid, b))
-
-    docs = docs.withColumn("range", tree(0, len(cuts)))
-    tops = {r["range"]: r["top"] for r in docs.groupBy("range").agg(F.max("doc_id").alias("top")).collect()}
-    held = sorted(tops, reverse=True)
-    # In descending order the range before k is the next higher one that has rows; the highest follows the lowest.
-    goes_to = {tops[k]: held[i - 1] for i, k in enumerate(held)}
-    extra = F.create_map(*[x for k, v in goes_to.items() for x in (F.lit(k).cast("long"), F.lit(v))])
-    sent = docs.withColumn("also", F.try_element_at(extra, F.col("doc_id")))
-    # Rows with a repeated top id are all sent; the reader takes the first in order.
-    sent = sent.withColumn("to", F.explode(F.when(F.col("also").isNull(), F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("ahead")))).otherwise(F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("ahead")), F.struct(F.col("also").alias("range"), F.lit(1).alias("ahead"))))))
-    sent = sent.select(F.col("to.range").alias("range"), F.col("to.ahead").alias("ahead"), "doc_id", "text")
-    laid = sent.repartition(len(cuts), "range").sortWithinPartitions(F.desc("range"), "ahead", F.desc("doc_id"), "text")
+    n = docs.count()
+    if not n:
+        return documents.sparkSession.createDataFrame([], schema)
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    laid = docs.repartitionByRange(-(-n // rows), F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id"), "text")
+    edge, edge_id, edge_text = inner("edge"), inner("doc"), inner("text")
+    names = [*kinds.names, edge, edge_id, edge_text]
+
+    def inside(found: list) -> pa.RecordBatch:
+        own = function(found)
+        k = own.num_rows
+        return pa.RecordBatch.from_arrays([*own.columns, pa.array([INSIDE] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string())], names=names)
+
+    def at_edge(kind: int, doc: int, text: str) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*[pa.nulls(1, f.type) for f in kinds], pa.array([kind], pa.int32()), pa.array([doc], pa.int64()), pa.array([text], pa.string())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = None  # the row whose next text isn't known yet
         out: list = []
         size = 0
         for b in batches:
-            for k, ahead, doc, text in zip(b.column("range").to_pylist(), b.column("ahead").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if waiting is not None and waiting[0] == k:
-                    out.append((waiting[1], waiting[2], text))
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if waiting is None:
+                    yield at_edge(FIRST, doc, text)
+                else:
+                    out.append((*waiting, text))
                     size += len(text)
-                waiting = None if ahead else (k, doc, text)
+                waiting = (doc, text)
                 if size > 4_000_000:
-                    yield function(out)
+                    yield inside(out)
                     out, size = [], 0
         if out:
-            yield function(out)
+            yield inside(out)
+        if waiting is not None:
+            yield at_edge(LAST, *waiting)
+
+    def run_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield function(list(zip(*(c.to_pylist() for c in b.columns), strict=True)))
 
-    return laid.mapInArrow(run, schema)
+    step = stored(laid.mapInArrow(run, f"{schema}, {edge} int, {edge_id} long, {edge_text} string"), "ranges")
+    # In order, each range's first row stands before its last, and the next range's first row after that.
+    ids = step.where(F.col(edge) != INSIDE).select(edge, edge_id)
+    after = F.coalesce(F.lead(edge_id).over(Window.orderBy(F.desc(edge_id), edge)), F.max(edge_id).over(Window.partitionBy()))
+    links = ids.select(edge, edge_id, after.alias(inner("after"))).where(F.col(edge) == LAST).select(F.col(edge_id).alias(inner("last")), inner("after"))
+    firsts = step.where(F.col(edge) == FIRST).select(F.col(edge_id).alias(inner("after")), F.col(edge_text).alias(inner("next")))
+    lasts = step.where(F.col(edge) == LAST).select(F.col(edge_id).alias(inner("last")), edge_text)
+    pairs = lasts.join(links, inner("last")).join(firsts, inner("after")).select(inner("last"), edge_text, inner("next"))
+    ends = stored(pairs.mapInArrow(run_edges, schema), "range-ends")
+    return step.where(F.col(edge) == INSIDE).select(*kinds.names).unionByName(ends)
 
 
 def edited(text: str, after: str) -> str:
@@ -169,7 +171,7 @@ def edit_likeness(documents: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
-        return stored(with_next(documents, measure, schema), "fingerprints")
+        return with_next(documents, measure, schema)
 
     found = measured(frozenset())
     # Expected to be empty: two different texts with one 128-bit digest.

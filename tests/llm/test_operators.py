@@ -467,6 +467,20 @@ def test_fingerprints_over_many_ranges(spark):
     assert seen == {i * 3: f"text {(i - 1) % 50}" for i in range(50)}
 
 
+def test_next_documents_with_repeated_and_null_ids(spark):
+    import pyarrow as pa
+
+    rows = [(None, "none", None, None), *[(7, f"same {i % 2}", None, None) for i in range(9)], *[(i, f"text {i}", None, None) for i in range(20, 40)], (1, None, None, None)]
+    note = lambda batch: pa.RecordBatch.from_arrays([pa.array([r[k] for r in batch], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["doc_id", "text", "after"])
+    low = fingerprint.NO_ID
+    order = sorted(((low if i is None else i, t or "") for i, t, *_ in rows), key=lambda r: (-r[0], r[1]))
+    want = sorted((*r, order[(k + 1) % len(order)][1]) for k, r in enumerate(order))
+    for size in (1, 3, 1000):
+        assert sorted(map(tuple, fingerprint.with_next(documents(spark, rows), note, "doc_id long, text string, after string", rows=size).collect())) == want
+    one = fingerprint.with_next(documents(spark, rows[:1]), note, "doc_id long, text string, after string").collect()
+    assert [tuple(r) for r in one] == [(low, "none", "none")]
+
+
 def test_colliding_digests_are_found(spark, monkeypatch):
     df = documents(spark, [(1, "a", None, None), (2, "b", None, None), (3, "a", None, None)])
     found = spark.createDataFrame([(1, "k"), (2, "k"), (3, "k")], "doc_id long, fingerprint string")
