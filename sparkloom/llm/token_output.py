@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,10 @@ _SIGNS = tuple(".,;:!?")
 # Fixed value: how a byte-level tokenizer cuts text into runs that it encodes one by one.
 _RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
+# Fixed value: the character by which a byte-level tokenizer writes each byte: printable ones as they are, the others from U+0100 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = dict(zip([b for b in range(256) if b not in _PRINTABLE], range(256, 512)))
+_SPACE = chr(_BYTES[32])
 
 # Fixed value: texts with marks of special tokens, or other white space than single spaces and newlines between words.
 _WHOLE = r"<\||^[ \n]|[ \n]$|[ \n][ \n]|[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -56,6 +61,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.end = np.array([end_id], "<u4").tobytes()
         self.cache = cache
         self.known: dict[str, bytes] = {}  # ids of a space and this piece; of pieces that begin with a newline or NUL, without a space
@@ -65,15 +71,22 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _letters(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters, each behind a space: encoded as one text, whose words they are."""
-        e = self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False)
-        own = np.array(e.word_ids)
-        ends = np.flatnonzero(np.diff(own, append=-1)) + 1
-        if len(ends) != len(words):
-            return self.whole([" " + w for w in words])
-        raw = np.array(e.ids, "<u4").tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    def _runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs: the model takes those of Latin letters, spaces and ASCII directly, the rest pass the whole tokenizer."""
+        model, ids, ends, far = self.model.tokenize, [], [0], []
+        for i, r in enumerate(runs):
+            if r.isascii() and r.isprintable():
+                ids += [t.id for t in model(r.replace(" ", _SPACE))]
+            elif max(r) < "\u0250":
+                ids += [t.id for t in model(r.encode().decode("latin-1").translate(_BYTES))]
+            else:
+                far.append(i)
+            ends.append(4 * len(ids))
+        raw = np.array(ids, "<u4").tobytes()
+        out = [raw[a:b] for a, b in pairwise(ends)]
+        for i, x in zip(far, self.whole([runs[i] for i in far]), strict=True):
+            out[i] = x
+        return out
 
     def _fill(self, pieces: list[str]) -> None:
         """Ids of new pieces: words of letters, such words with a sign behind them, and others by way of their runs."""
@@ -83,13 +96,13 @@ class Encoder:
         fresh = list(plain.union([p[:-1] for p in signed]).difference(known))
         for a in range(0, len(fresh), 2000):
             some = fresh[a : a + 2000]
-            known.update(zip(some, self._letters(some), strict=True))
+            known.update(zip(some, self._runs([" " + w for w in some]), strict=True))
         split = {p: _RUNS.findall(p[1:] if p[:1] == "\0" else p if p[:1] == "\n" else " " + p) for p in set(pieces).difference(plain, signed)}
         runs = set(_SIGNS).union(*split.values())
         if len(parts) > self.cache // 4:
             parts.clear()
         absent = list(runs.difference(parts))
-        parts.update(zip(absent, self.whole(absent), strict=True))
+        parts.update(zip(absent, self._runs(absent), strict=True))
         known.update((p, known[p[:-1]] + parts[p[-1]]) for p in signed)
         known.update((p, b"".join([parts[r] for r in own])) for p, own in split.items())
 
@@ -116,7 +129,7 @@ class Encoder:
         lines = pc.replace_substring(pc.if_else(odd, "", texts), "\n", " \n")
         lists = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\0"), lines, pa.scalar("")), " ")
         coded = lists.values.dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         blobs = self._blobs(pieces)
         blobs.append(self.end)
         blobs += self.whole(texts.take(pa.array(apart)).to_pylist()) if len(apart) else []

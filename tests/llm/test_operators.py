@@ -422,6 +422,18 @@ def test_encoder_equals_whole_texts():
     assert got == [w + e.end for w in e.whole([t or "" for t in odd])] * 3
 
 
+def test_runs_equal_the_whole_tokenizer():
+    e = token_output.Encoder(tokenizer(), 2)
+    rng = random.Random(5)
+    marks = [chr(c) for c in range(1, 0x260) if not chr(c).isspace()]
+    runs = {x for c in marks for x in (c, " " + c, c * 3, " " + c * 2)}
+    for kind in (str.isalpha, str.isnumeric, lambda c: not c.isalnum()):
+        own = [c for c in marks if kind(c)]
+        runs |= {rng.choice(("", " ")) + "".join(rng.choices(own, k=rng.randint(1, 9))) for _ in range(2000)}
+    runs = [r for r in sorted(runs) if token_output._RUNS.findall(r) == [r] and "<|" not in r]
+    assert len(runs) > 4000 and e._runs(runs) == e.whole(runs)
+
+
 def test_token_output(spark, corpus):
     from tokenizers import Tokenizer
 
