@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, html_extract, language_id, mixing, near_dedup, quality, token_output, toxicity, url_filter
+from . import alignment, decontaminate, fingerprint, html_extract, language_id, mixing, near_dedup, neighbours, quality, token_output, toxicity, url_filter, whitening
 
 #: The rules that the url query applies, as (verdict, host, path).
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -65,8 +66,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"), tokenizer_file(), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op2_html_extraction, op3_near_dedup, op4_mixing, op5_token_output, op6_fingerprints, op7_decontamination, op8_quality_classifier, op9_url_filter, op10_language_id]
+    found = [op1_toxicity, op2_html_extraction, op3_near_dedup, op4_mixing, op5_token_output, op6_fingerprints, op7_decontamination, op8_quality_classifier, op9_url_filter, op10_language_id, op11_alignment, op12_whitening, op13_neighbours]
     return {f.__name__: f for f in found}
 
 
