@@ -1,7 +1,11 @@
-"""Vector and text similarity: cosine, threshold pairs in blocks, density clusters."""
+"""Vector and text similarity: cosine, pairs by edit distance from a segment index, density clusters by pivots."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,23 +38,53 @@ def sparse_cosine(counts: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     return full.select("a", "b", F.coalesce(F.col("dot") / (F.col("norm_a") * F.col("norm_b")), F.lit(0.0)).alias("cosine"))
 
 
+def _banded(texts: DataFrame, key: str, text: str, rate: float, within: list[str]) -> DataFrame:
+    """Candidate pairs of texts whose lengths allow the rate: for rates of 50 and less, where edits can hit every part of a text."""
+    n = F.greatest(F.length(text), F.lit(1))
+    grown = texts.withColumn("_band", F.floor(F.log(n) / F.log(F.lit(max(1.05, rate and 100 / (rate - 0.05))))).cast("int"))
+    x = grown.select(*within, F.col(key).alias("a"), F.col(text).alias("ta"), F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)).alias("_band"))
+    return x.join(grown.select(*within, F.col(key).alias("b"), F.col(text).alias("tb"), "_band"), [*within, "_band"]).where("a < b")
+
+
+def candidate_texts(texts: DataFrame, key: str, text: str, rate: float, within: list[str]) -> DataFrame:
+    """a, ta, b, tb: pairs of texts that share a segment at a place where a matching rate of `rate` percent would leave it.
+
+    A text of length l has partners of up to l / p code points (p: the rate as a share), so at most t = l (1 - p) / p edits
+    from it; cut into t + 1 even segments, one of these is untouched in every such partner. A partner d code points longer
+    has segment i at most i places from where it was, counted from the left, and t - i counted from the right. So texts
+    are joined on (length of the shorter one, segment number, segment): an equal key for every pair sought, and a number
+    of keys for each text that doesn't depend on how many texts there are. Pairs may come more than once.
+    """
+    if rate <= 50:
+        return _banded(texts, key, text, rate, within)
+    p = (rate - 0.05) / 100  # rates are rounded to one decimal
+    edits = lambda n: F.floor(n * ((1 - p) / p) + 1e-9).cast("int")
+    sized = texts.where(F.col(text).isNotNull()).select(*within, F.col(key).alias("_key"), F.col(text).alias("_text"), F.length(text).alias("_n")).where("_n > 0")
+    begin = lambda i: F.floor(i * F.col("_l") / (F.col("_t") + 1)).cast("int")
+    numbered = lambda df: df.withColumn("_t", edits(F.col("_l"))).select("*", F.explode(F.sequence(F.lit(0), F.col("_t"))).alias("_i")).withColumns({"_from": begin(F.col("_i")), "_size": begin(F.col("_i") + 1) - begin(F.col("_i"))})
+    segment = lambda at: F.substring("_text", at + 1, F.col("_size")).alias("_segment")
+    index = numbered(sized.withColumn("_l", F.col("_n"))).select(*within, F.col("_key").alias("a"), F.col("_text").alias("ta"), "_l", "_i", segment(F.col("_from")))
+    shortest = F.greatest(F.ceil(F.col("_n") * p - 1e-9).cast("int"), F.lit(1))
+    probe = numbered(sized.select("*", F.explode(F.sequence(shortest, F.col("_n"))).alias("_l"))).withColumn("_d", F.col("_n") - F.col("_l"))
+    lo = F.greatest(F.lit(0), F.col("_from") - F.col("_i"), F.col("_from") + F.col("_d") - F.col("_t") + F.col("_i"))
+    hi = F.least(F.col("_n") - F.col("_size"), F.col("_from") + F.col("_i"), F.col("_from") + F.col("_d") + F.col("_t") - F.col("_i"))
+    placed = probe.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi").select("*", F.explode(F.sequence("_lo", "_hi")).alias("_at"))
+    probes = placed.select(*within, F.col("_key").alias("b"), F.col("_text").alias("tb"), F.col("_n").alias("_nb"), "_l", "_i", segment(F.col("_at"))).distinct()
+    # Pairs of one length meet both ways: the smaller key comes first.
+    return index.join(probes, [*within, "_l", "_i", "_segment"]).where("_l < _nb or a < b").select("a", "ta", "b", "tb")
+
+
 def close_texts(texts: DataFrame, key: str, text: str, rate: float, within: list[str]) -> DataFrame:
     """Pairs (a, b), a < b, with the same `within` columns and a matching rate of at least `rate` percent.
 
-    The columns, if any, are a condition of the pairs sought, and lengths are joined in bands: texts of
-    one pair can't differ in length by more than the rate (one decimal, rounded) allows.
+    Candidates share a segment (see `candidate_texts`) and are confirmed by their edit distance. Null and empty texts have
+    no partners. Texts that share one segment with very many others are compared with all of these: collapse equal texts
+    first, as `text_groups` does.
     """
     from ..functions.texts import matching_rate
 
-    n = F.greatest(F.length(text), F.lit(1))
-    grown = texts.withColumn("_band", F.floor(F.log(n) / F.log(F.lit(max(1.05, rate and 100 / (rate - 0.05))))).cast("int"))
-    x = grown.select(*[F.col(c).alias(f"x_{c}") for c in within], F.col(key).alias("a"), F.col(text).alias("ta"), F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)).alias("_band"))
-    y = grown.select(*[F.col(c).alias(f"y_{c}") for c in within], F.col(key).alias("b"), F.col(text).alias("tb"), F.col("_band").alias("_band_b"))
-    same = [F.col(f"x_{c}") == F.col(f"y_{c}") for c in within] + [F.col("_band") == F.col("_band_b")]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    return x.join(y, on & (F.col("a") < F.col("b"))).where(matching_rate(F.col("ta"), F.col("tb")) >= rate).select("a", "b")
+    found = candidate_texts(texts, key, text, rate, within).where(matching_rate(F.col("ta"), F.col("tb")) >= rate)
+    return found.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def groups(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -69,24 +103,136 @@ def text_groups(texts: DataFrame, key: str, text: str, rate: float) -> DataFrame
     return groups(close_texts(reps, "a", "_text", rate, []).unionByName(equal), texts.select(F.col(key).alias("node")))
 
 
-#: Parts that all pairs are dealt over on each side: BLOCKS * BLOCKS groups.
-BLOCKS = 8
+#: Points that stand for regions of space at most, and rows of one block of a region.
+PIVOTS, BLOCK = 1024, 4_000
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _regions(points: DataFrame, pivots: np.ndarray, eps: float) -> DataFrame:
+    """points with region and home: each point in the region of its nearest pivot (home), and in every region that has points within eps.
 
+    A point within eps of one that is nearer to pivot j than to pivot i is at most 2 eps farther from j than from i: the
+    triangle inequality both ways.
+    """
+    square = (pivots**2).sum(axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2_000):
+                part = batch.slice(a, 2_000)
+                v = _matrix(pa.chunked_array([part.column("vec")]))
+                far = np.sqrt(np.maximum(0, (v**2).sum(axis=1)[:, None] + square[None] - 2 * v @ pivots.T))
+                near = far.argmin(axis=1)
+                # A little more than 2 eps, for rounding: more regions never change a result.
+                own, region = np.nonzero(far <= far.min(axis=1, keepdims=True) + 2 * eps + 1e-6 * (1 + far.max()))
+                rows = part.take(pa.array(own))
+                yield pa.RecordBatch.from_arrays([pa.array(region.astype(np.int32)), pa.array(near[own] == region), *rows.columns], names=["region", "home", *rows.schema.names])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
+    return points.mapInArrow(run, f"region int, home boolean, {kinds}")
 
-def density_clusters(points: DataFrame, key: str, vector: str, eps: float) -> DataFrame:
-    """(node, component) of points with another point within eps (Euclidean); isolated points are noise and dropped.
 
-    Equal vectors are one representative, their least key; all pairs of representatives are compared, dealt in blocks.
+def _within(points: DataFrame, pivots: np.ndarray, eps: float, work: Callable[[pa.Table, pa.Table, Callable], pa.Table], schema: str) -> DataFrame:
+    """work(home points, other points, near) on each block of a region; near(a) gives pairs (home, other) within eps of home points from a on.
+
+    Regions with many rows are cut on both sides, so that a block has at most 2 x BLOCK rows on average.
+    """
+    dealt = _regions(points, pivots, eps)
+    sizes = dealt.groupBy("region").agg(F.count("*").alias("all"), F.count_if("home").alias("own")).select("region", F.ceil(F.col("own") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("all") / BLOCK).cast("int").alias("columns"))
+    sized = dealt.join(F.broadcast(sizes), "region")  # a row for each pivot
+    part = lambda c: F.pmod(F.xxhash64("rep"), F.greatest(c, F.lit(1))).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.greatest(c, F.lit(1)) - 1))
+    own = sized.where("home").withColumn("r", part(F.col("rows"))).withColumn("c", every(F.col("columns")))
+    sized = sized.select(*[F.col(c).alias(c) for c in sized.columns])  # columns of their own, so that both sides can be told apart
+    other = sized.withColumn("c", part(F.col("columns"))).withColumn("r", every(F.col("rows")))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, y = _matrix(left["vec"]), _matrix(right["vec"])
+
+        def near(a: int) -> tuple[np.ndarray, np.ndarray]:
+            d = np.zeros((min(len(x) - a, 250), len(y)))
+            for i in range(x.shape[1]):
+                d += (x[a : a + 250, i, None] - y[None, :, i]) ** 2
+            i, j = np.nonzero(np.sqrt(d) <= eps)
+            return i + a, j
+
+        return work(left, right, near)
+
+    block = ["region", "r", "c"]
+    return own.groupBy(*block).cogroup(other.groupBy(*block)).applyInArrow(run, schema)
+
+
+def _counted(left: pa.Table, right: pa.Table, near: Callable) -> pa.Table:
+    """Each home point with the number of points near it."""
+    n, weight = np.zeros(left.num_rows, np.int64), right["n"].to_numpy()
+    for a in range(0, left.num_rows, 250):
+        i, j = near(a)
+        np.add.at(n, i, weight[j])
+    return pa.table({"rep": left["rep"], "near": n})
+
+
+def _linked(left: pa.Table, right: pa.Table, near: Callable) -> pa.Table:
+    """(rep, core, other): a forest of the links between core points of the block, and for each other point one core of every tree near it."""
+    ids, other = left["rep"].to_numpy(), right["rep"].to_numpy()
+    hard, other_hard = left["core"].to_numpy(zero_copy_only=False), right["core"].to_numpy(zero_copy_only=False)
+    names, place = np.unique(np.r_[ids, other], return_inverse=True)
+    root = np.arange(len(names))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out: set[tuple[int, bool, int]] = set()
+    loose: list[tuple[np.ndarray, np.ndarray]] = []
+    for a in range(0, left.num_rows, 250):
+        i, j = near(a)
+        both = hard[i] & other_hard[j]
+        for p, q in zip(place[i[both]].tolist(), place[len(ids) + j[both]].tolist(), strict=True):
+            x, y = top(p), top(q)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.add((int(names[p]), True, int(names[q])))
+        edge = ~hard[i] & other_hard[j]
+        loose.append((i[edge], place[len(ids) + j[edge]]))
+    for i, q in loose:
+        out |= {(int(ids[p]), False, int(names[top(x)])) for p, x in zip(i.tolist(), q.tolist(), strict=True)}
+    rows = sorted(out)
+    return pa.table({"rep": pa.array([r[0] for r in rows], pa.int64()), "core": pa.array([r[1] for r in rows], pa.bool_()), "other": pa.array([r[2] for r in rows], pa.int64())})
+
+
+def density_clusters(points: DataFrame, key: str, vector: str, eps: float, min_points: int = 2) -> DataFrame:
+    """(node, component, core) of points in clusters: a point is core if `min_points` points, itself included, are within eps (Euclidean).
+
+    Core points within eps of each other are one cluster, named by the least of them; a point that is not core belongs to the
+    cluster of a core point within eps, of several the least; noise is dropped. Equal vectors are one representative that
+    counts for all of them. Space is cut by pivots, a bounded sample of the points: each point is compared with those of
+    its pivot's region and with copies of those within reach of its border. Blocks give back counts and forests, never
+    their pairs. Rows with a null, empty or non-finite vector or one of another length than most take no part.
     """
-    filled = points.where(F.col(vector).isNotNull()).select(F.col(key).alias("b"), F.col(vector).alias("_vector"))
-    reps = filled.groupBy("_vector").agg(F.min("b").alias("a"))
-    equal = filled.join(reps, "_vector").where("a != b").select("a", "b")
-    part = F.pmod(F.hash("a"), F.lit(BLOCKS))
-    every = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
-    x = reps.select("a", F.col("_vector").alias("va"), part.alias("_x"), every.alias("_y")).repartition(BLOCKS * BLOCKS, "_x", "_y")
-    y = reps.select(F.col("a").alias("b"), F.col("_vector").alias("vb"), part.alias("_y"), every.alias("_x")).repartition(BLOCKS * BLOCKS, "_x", "_y")
-    far = F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v.cast("double")))
-    pairs = x.hint("merge").join(y, ["_x", "_y"]).where((F.col("a") < F.col("b")) & (far <= eps)).select("a", "b").unionByName(equal)
-    pairs = stored(pairs)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return groups(pairs, nodes)
+    wide = points.select(F.col(key).alias("_node"), F.transform(F.col(vector).cast("array<double>"), lambda x: x + 0.0).alias("vec"))
+    good = wide.where((F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.col("_node").isNotNull())
+    usual = good.groupBy(F.size("vec").alias("dims")).count().orderBy(F.desc("count"), F.desc("dims")).first()
+    good = good.where(F.size("vec") == (usual["dims"] if usual else 0))
+    reps = stored(good.groupBy("vec").agg(F.count("*").alias("n"), F.min("_node").alias("least")).select(F.monotonically_increasing_id().alias("rep"), "vec", "n", "least"))
+    some = reps.orderBy(F.xxhash64("vec"), "rep").limit(min(PIVOTS, int(reps.count() ** 0.5) + 1)).select("vec").collect()
+    if not some:
+        return good.select(F.col("_node").alias("node"), F.col("_node").alias("component"), F.lit(True).alias("core"))
+    pivots = np.array([r["vec"] for r in some])
+    counts = _within(reps.select("rep", "vec", "n"), pivots, eps, _counted, "rep long, near long").groupBy("rep").agg(F.sum("near").alias("near"))
+    known = stored(reps.join(counts, "rep").withColumn("core", F.col("near") >= min_points))
+    links = stored(_within(known.select("rep", "vec", "core"), pivots, eps, _linked, "rep long, core boolean, other long"))
+    cores = known.where("core").select(F.col("rep").alias("node"))
+    found = stored(components(links.where("core").select(F.col("rep").alias("src"), F.col("other").alias("dst")), cores))
+    # A cluster's name is its least core point.
+    border = links.where("not core").join(found, F.col("other") == F.col("node")).select("rep", "component")
+    named = known.select("rep", "least", "core").join(found.withColumnRenamed("node", "rep"), "rep")
+    names = named.groupBy("component").agg(F.min("least").alias("name"))
+    edge = border.join(names, "component").groupBy("rep").agg(F.min("name").alias("name")).withColumn("core", F.lit(False))
+    every = stored(named.join(names, "component").select("rep", "name", "core").unionByName(edge))
+    return good.join(reps.join(every, "rep").select("vec", "name", "core"), "vec").select(F.col("_node").alias("node"), F.col("name").alias("component"), "core")

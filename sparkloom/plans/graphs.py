@@ -250,7 +250,18 @@ def x01_tokens(spark, d):
 
 @query("x02_density_clusters")
 def x02(spark, d):
-    return similarity.density_clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 0.5)
+    return similarity.density_clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 0.5).drop("core")
+
+
+@query("x02_density_points", """WITH RECURSIVE p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+n AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.01),
+c AS (SELECT a AS id FROM n GROUP BY a HAVING count(*) >= 4), l AS (SELECT a, b FROM n WHERE a IN (SELECT id FROM c) AND b IN (SELECT id FROM c)),
+g(a, b) AS (SELECT a, b FROM l UNION SELECT g.a, l.b FROM g JOIN l ON l.a = g.b), m AS (SELECT a AS id, min(b) AS component FROM g GROUP BY a)
+SELECT id AS node, component, true AS core FROM m UNION ALL SELECT n.a, min(m.component), false FROM n JOIN m ON m.id = n.b WHERE n.a NOT IN (SELECT id FROM c) GROUP BY n.a""")
+def x02_points(spark, d):
+    # Two coordinates of each vector, as points of the plane.
+    points = table(spark, d, "embeddings").withColumn("point", F.slice("embedding", 1, 2))
+    return similarity.density_clusters(points, "vec_id", "point", 0.01, 4)
 
 
 @query("x03_text_groups", """WITH RECURSIVE t AS (SELECT p_type, min(p_partkey) AS low FROM part WHERE p_type <> '' GROUP BY p_type), l AS (SELECT a.low AS a, b.low AS b FROM t a JOIN t b ON round((1 - levenshtein(a.p_type, b.p_type)::DOUBLE / greatest(length(a.p_type), length(b.p_type))) * 100, 1) >= 80),

@@ -248,6 +248,41 @@ def j09(spark, d):
     return a.join(b, ["p_brand", "p_size"]).where((F.col("a") < F.col("b")) & (rate >= 70)).select("a", "b")
 
 
+@query("j09_similar_names", """WITH t AS (SELECT p_name, min(p_partkey) AS low FROM part WHERE p_name <> '' GROUP BY p_name)
+SELECT a.low AS a, b.low AS b FROM t a JOIN t b ON a.low < b.low AND round((1 - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name))) * 100, 1) >= 70""")
+def j09_names(spark, d):
+    from ..operators.similarity import close_texts
+
+    names = table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("low"))
+    return close_texts(names, "low", "p_name", 70.0, [])
+
+
+@query("j09_similar_hosts", r"""WITH t AS (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, min(page_id) AS low FROM pages GROUP BY 1)
+SELECT a.low AS a, b.low AS b FROM t a JOIN t b ON a.low < b.low AND a.host <> '' AND b.host <> '' AND round((1 - levenshtein(a.host, b.host)::DOUBLE / greatest(length(a.host), length(b.host))) * 100, 1) >= 85""")
+def j09_hosts(spark, d):
+    from ..operators.similarity import close_texts
+
+    hosts = table(spark, d, "pages").groupBy(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host")).agg(F.min("page_id").alias("low"))
+    return close_texts(hosts, "low", "host", 85.0, [])
+
+
+# Paths with their host as the first part, and two templates from each: its host with any language and page, and any host with its own.
+_PATHS = r"""p AS (SELECT page_id, '/' || regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://', '') AS path FROM pages),
+s AS (SELECT split_part(path, '/', 2) AS host, split_part(path, '/', 3) AS lang, split_part(path, '/', 4) AS page FROM p),
+t AS (SELECT DISTINCT unnest(['/' || host || '/{lang}/{page}', '/{host}/' || lang || '/' || page, '/' || host || '/' || lang || '/{page}.html']) AS template FROM s)"""
+
+
+@query("j10_template_masks", rf"WITH {_PATHS} SELECT page_id, template FROM p JOIN t ON regexp_full_match(path, regexp_replace(regexp_replace(template, '([.+*?^$()|])', '\\\1', 'g'), '\{{[^}}]*\}}', '[^/]+', 'g'))")
+def j10_masks(spark, d):
+    from ..operators.templates import match_templates
+
+    bare = F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), "^[a-z]+://", "")
+    paths = table(spark, d, "pages").select("page_id", F.concat(F.lit("/"), bare).alias("path"))
+    host, lang, page = (F.split_part("path", F.lit("/"), F.lit(i)) for i in (2, 3, 4))
+    kinds = F.array(F.concat(F.lit("/"), host, F.lit("/{lang}/{page}")), F.concat(F.lit("/{host}/"), lang, F.lit("/"), page), F.concat(F.lit("/"), host, F.lit("/"), lang, F.lit("/{page}.html")))
+    return match_templates(paths, "path", paths.select(F.explode(kinds).alias("template")), "template").select("page_id", "template")
+
+
 @query("j10_path_templates", """SELECT page_id, t AS template FROM (SELECT page_id, '/' || split_part(regexp_replace(split_part(split_part(url, '?', 1), '#', 1), '^[a-z]+://', ''), '/', 2) || '/' || split_part(regexp_replace(split_part(split_part(url, '?', 1), '#', 1), '^[a-z]+://', ''), '/', 3) AS path FROM pages)
 JOIN (VALUES ('/en/{id}', '^/en/[^/]+$'), ('/{lang}/825', '^/[^/]+/825$'), ('/fr/{id}', '^/fr/[^/]+$')) v(t, p) ON regexp_matches(path, p)""")
 def j10(spark, d):
