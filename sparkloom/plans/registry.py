@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from . import corpus, graphs, relational, scalars, storage, streams  # noqa: F401
+    from . import corpus, exchange, graphs, relational, scalars, storage, streams  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
