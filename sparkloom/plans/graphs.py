@@ -270,6 +270,14 @@ def x03(spark, d):
     return similarity.text_groups(table(spark, d, "part"), "p_partkey", "p_type", 80.0)
 
 
+@query("x03_host_groups", r"""WITH RECURSIVE h AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages), t AS (SELECT host, min(page_id) AS low FROM h WHERE host <> '' GROUP BY host),
+l AS (SELECT a.low AS a, b.low AS b FROM t a JOIN t b ON round((1 - levenshtein(a.host, b.host)::DOUBLE / greatest(length(a.host), length(b.host))) * 100, 1) >= 85),
+g(a, b) AS (SELECT a, b FROM l UNION SELECT g.a, l.b FROM g JOIN l ON l.a = g.b) SELECT page_id AS node, coalesce((SELECT min(b) FROM g JOIN t ON g.a = t.low WHERE t.host = h.host), page_id) AS component FROM h""")
+def x03_hosts(spark, d):
+    hosts = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"))
+    return similarity.text_groups(hosts, "page_id", "host", 85.0)
+
+
 @query("r05_gaps", """SELECT event_id, round(gap, 3) AS gap FROM (SELECT event_id, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 1000000.0 AS gap FROM events) WHERE gap > 3600""")
 def r05(spark, d):
     return gaps(table(spark, d, "events"), "user_id", "ts", ["event_id"], 3600).select("event_id", F.round("gap", 3).alias("gap"))

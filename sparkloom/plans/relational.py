@@ -257,15 +257,6 @@ def j09_names(spark, d):
     return close_texts(names, "low", "p_name", 70.0, [])
 
 
-@query("j09_similar_hosts", r"""WITH t AS (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, min(page_id) AS low FROM pages GROUP BY 1)
-SELECT a.low AS a, b.low AS b FROM t a JOIN t b ON a.low < b.low AND a.host <> '' AND b.host <> '' AND round((1 - levenshtein(a.host, b.host)::DOUBLE / greatest(length(a.host), length(b.host))) * 100, 1) >= 85""")
-def j09_hosts(spark, d):
-    from ..operators.similarity import close_texts
-
-    hosts = table(spark, d, "pages").groupBy(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host")).agg(F.min("page_id").alias("low"))
-    return close_texts(hosts, "low", "host", 85.0, [])
-
-
 # Paths with their host as the first part, and two templates from each: its host with any language and page, and any host with its own.
 _PATHS = r"""p AS (SELECT page_id, '/' || regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://', '') AS path FROM pages),
 s AS (SELECT split_part(path, '/', 2) AS host, split_part(path, '/', 3) AS lang, split_part(path, '/', 4) AS page FROM p),

@@ -127,3 +127,20 @@ def test_csv_fields_keep_empties(spark):
 
 def test_sql_tables_keep_comments_to_their_line(spark):
     assert one(spark, texts.sql_tables(F.lit("select 1 -- from a\nfrom b join B2")))[0] == ["b", "b2"]
+
+
+def test_components_of_chains_and_hubs(spark):
+    """Few rounds for a long chain, one hub, loops, edges both ways and nodes without edges; the least node names each."""
+    chain = [(i + 1, i) if i % 2 else (i, i + 1) for i in range(1000, 1600)]
+    hub = [(50, i) for i in range(51, 700)]
+    e = spark.createDataFrame([*chain, *hub, (7, 7), (8, 9), (9, 8), (8, 9)], "src long, dst long")
+    nodes = spark.range(1700).select(F.col("id").alias("node"))
+    want = {i: 1000 if 1000 <= i <= 1600 else 50 if 50 <= i < 700 else 8 if i == 9 else i for i in range(1700)}
+    kept, graph_stored = [], graph.stored
+    graph.stored = lambda df: kept.append(1) or graph_stored(df)
+    try:
+        assert {r["node"]: r["component"] for r in graph.components(e, nodes).collect()} == want
+    finally:
+        graph.stored = graph_stored
+    assert len(kept) <= 16
+    assert graph.components(e.limit(0), nodes.limit(3)).count() == 3
