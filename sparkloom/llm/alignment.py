@@ -6,7 +6,7 @@ into groups, `transform` over `sequence` collects each group's ids, and every pa
 group is a link. A pair's count is the number of documents that hold it.
 
 A document's work is linear in its tokens: shared ends find their tokens by sorting them into the
-tokens' ends, not by searching. Counts are matched by a broadcast of the frequent pairs, at most
+other ends, not by searching. Counts are matched by a broadcast of the frequent pairs, at most
 HEAVY of them, and by a shuffle of the rest, whose keys are rare by definition.
 
 Edge cases: texts that are null or empty, or whose tokens' bytes differ from a space and the text
@@ -157,37 +157,34 @@ def tokens(documents: DataFrame, first: str, second: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, a array<int>, a_end array<long>, b array<int>, b_end array<long>")
 
 
-def _places(ends: Column, cuts: Column) -> Column:
-    """For each cut the place of the token that ends there, plus the cut's own number, plus one.
+def _last(ends: Column, cuts: Column) -> Column:
+    """For each cut the index of the token that ends there.
 
-    Cuts are sorted in among the ends (even numbers), each behind its equal: before it stand all ends up to it and all
-    earlier cuts.
+    Cuts are sorted in among the ends that are no cut: before cut g stand g cuts and the other tokens up to it, and each of
+    these cuts is a token too, so its place is the index of its token.
     """
-    marks = F.sort_array(F.concat(ends, F.transform(cuts, lambda c: c + 1)))
+    marks = F.sort_array(F.concat(F.array_except(ends, cuts), F.transform(cuts, lambda c: c + 1)))
     return F.array_compact(F.transform(marks, lambda v, i: F.when(v.bitwiseAND(1) == 1, i)))
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, texts (each group's ids, `a1,a2|b1`), links (first id * 2^32 + second id)."""
     cut = tokens.withColumn("cuts", F.array_intersect("a_end", "b_end"))
-    placed = cut.withColumns({"pa": _places(F.col("a_end"), F.col("cuts")), "pb": _places(F.col("b_end"), F.col("cuts"))})
-    # Each cut's places and those of the cut before; the lists of those before are longer by one.
-    spans = F.arrays_zip("pa", "pb", F.array_prepend("pa", F.lit(-1)).alias("qa"), F.array_prepend("pb", F.lit(-1)).alias("qb"))
+    placed = cut.withColumns({"la": _last(F.col("a_end"), F.col("cuts")), "lb": _last(F.col("b_end"), F.col("cuts"))})
+    # Each group's last tokens (la, lb) and those of the group before (pa, pb); the lists of those before are longer by one.
+    spans = F.arrays_zip("la", "lb", F.array_prepend("la", F.lit(-1)).alias("pa"), F.array_prepend("lb", F.lit(-1)).alias("pb"))
     at = placed.withColumns({"spans": F.slice(spans, F.lit(1), F.size("cuts")), "first": F.col("a").cast("array<long>"), "a_text": F.col("a").cast("array<string>"), "b_text": F.col("b").cast("array<string>")})
 
-    def group(z: Column, g: Column) -> Column:
-        # The group's last tokens are pa - g - 1 and pb - g - 1, those of the group before qa - g and qb - g (or -1, where g is 0).
-        last_a, last_b = z["pa"] - g - 1, z["pb"] - g - 1
-        first_a, first_b = F.greatest(z["qa"] - g + 1, F.lit(0)), F.greatest(z["qb"] - g + 1, F.lit(0))
-        pick = lambda column, lo, hi: F.transform(F.sequence(lo, hi), lambda i: F.get(column, i))
+    def group(z: Column) -> Column:
+        pick = lambda column, before, last: F.slice(column, before + 2, last - before)
         link = lambda x, y: F.shiftleft(x, 32) + y
-        text = F.concat(F.array_join(pick("a_text", first_a, last_a), ","), F.lit("|"), F.array_join(pick("b_text", first_b, last_b), ","))
-        links = F.flatten(F.transform(pick("first", first_a, last_a), lambda x: F.transform(pick("b", first_b, last_b), lambda y: link(x, y))))
+        text = F.concat(F.array_join(pick("a_text", z["pa"], z["la"]), ","), F.lit("|"), F.array_join(pick("b_text", z["pb"], z["lb"]), ","))
+        links = F.flatten(F.transform(pick("first", z["pa"], z["la"]), lambda x: F.transform(pick("b", z["pb"], z["lb"]), lambda y: link(x, y))))
         # Most groups are of one token each: no lists are made for those.
-        one_text = F.concat(F.get("a_text", last_a), F.lit("|"), F.get("b_text", last_b))
-        one_link = F.array(link(F.get("first", last_a), F.get("b", last_b)))
-        both = F.struct(text.alias("text"), links.alias("links"))
-        return F.when((last_a == first_a) & (last_b == first_b), F.struct(one_text.alias("text"), one_link.alias("links"))).otherwise(both)
+        one_text = F.concat(F.get("a_text", z["la"]), F.lit("|"), F.get("b_text", z["lb"]))
+        one_link = F.array(link(F.get("first", z["la"]), F.get("b", z["lb"])))
+        alone = (z["la"] - z["pa"] == 1) & (z["lb"] - z["pb"] == 1)
+        return F.when(alone, F.struct(one_text.alias("text"), one_link.alias("links"))).otherwise(F.struct(text.alias("text"), links.alias("links")))
 
     found = at.select("doc_id", *[F.size(c).cast("long").alias(n) for c, n in (("a", "n_a"), ("b", "n_b"), ("cuts", "n_groups"))], F.transform("spans", group).alias("own"))
     pairs = F.aggregate("own.links", F.lit(0).cast("long"), lambda s, x: s + F.size(x))
