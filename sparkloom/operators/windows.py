@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,3 +23,20 @@ def gaps(rows: DataFrame, key: str, ts: str, order: list[str], seconds: float) -
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     gap = (micros(F.col(ts)) - micros(F.lag(ts).over(w))) / F.lit(1_000_000.0)
     return rows.withColumn("gap", gap).where(F.col("gap") > seconds)
+
+
+def common_prefix(rows: DataFrame, key: str, text: str, separator: str = "/") -> DataFrame:
+    """key, depth, prefix: the leading parts that all texts of a key share, however many, by one aggregation.
+
+    With the separator behind every text, what the least and the greatest text share all texts between them share too.
+    Null texts don't count; a key of nulls only has depth 0.
+    """
+    ended = F.concat(F.col(text), F.lit(separator))
+    ends = rows.groupBy(key).agg(F.split(F.min(ended), re.escape(separator)).alias("_lo"), F.split(F.max(ended), re.escape(separator)).alias("_hi"))
+    same = F.zip_with("_lo", "_hi", lambda a, b: F.coalesce(a == b, F.lit(False)))
+    # The last part of each is the empty one behind the last separator; it's no part of a text.
+    parts = F.least(F.size("_lo"), F.size("_hi")) - 1
+    first = F.array_position(same, F.lit(False)).cast("int") - 1
+    depth = F.coalesce(F.when(first >= 0, F.least(first, parts)).otherwise(parts), F.lit(0))
+    found = ends.withColumn("depth", F.greatest(depth, F.lit(0)))
+    return found.select(key, "depth", F.when(F.col("depth") > 0, F.array_join(F.slice("_lo", F.lit(1), F.col("depth")), separator)).otherwise(F.lit("")).alias("prefix"))

@@ -410,6 +410,17 @@ def a11(spark, d):
 _SPANS = "SELECT user_id, event_id // 7 AS lo, event_id // 7 + event_id % 5 AS hi FROM events"
 
 
+@query("a11_prefix_of_groups", """WITH u AS (SELECT page_id % 40 AS grp, str_split(split_part(url, '?', 1), '/') AS parts FROM pages WHERE url IS NOT NULL), n AS (SELECT grp, count(*) AS n FROM u GROUP BY grp),
+p AS (SELECT grp, i, count(*) AS c, count(DISTINCT part) AS k, min(part) AS part FROM (SELECT grp, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS part FROM u) GROUP BY grp, i),
+o AS (SELECT p.*, bool_and(c = n AND k = 1) OVER (PARTITION BY grp ORDER BY i) AS ok FROM p JOIN n USING (grp))
+SELECT grp, count(i) FILTER (WHERE ok)::INTEGER AS depth, coalesce(string_agg(part, '/' ORDER BY i) FILTER (WHERE ok), '') AS prefix FROM o GROUP BY grp""")
+def a11_groups(spark, d):
+    from ..operators.windows import common_prefix
+
+    urls = table(spark, d, "pages").where("url is not null").select((F.col("page_id") % 40).alias("grp"), F.split_part("url", F.lit("?"), F.lit(1)).alias("path"))
+    return common_prefix(urls, "grp", "path")
+
+
 @query("a12_merged_intervals", f"""SELECT user_id, min(lo) AS lo, max(hi) AS hi FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS g FROM
 (SELECT *, CASE WHEN lo <= coalesce(max(hi) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -10) + 1 THEN 0 ELSE 1 END AS new FROM ({_SPANS}))) GROUP BY user_id, g""")
 def a12(spark, d):

@@ -158,6 +158,23 @@ def t10(spark, d):
     return rows.select("name", texts.sql_tables_or_contained(F.col("statement"), ["part", "nation"]).alias("tables"))
 
 
+# Statements made of the rows of a table, with names in comments, strings of several lines and other cases of letters.
+_STATEMENT = """'/* from x */ Select k -- join nothing' || chr(10) || 'FROM ' || upper(event_type) || ' e Join `users_' || (user_id % 9) || '` u ON e.k = u.k' || CASE WHEN event_id % 2 = 0 THEN ' join ' || event_type || ' again' ELSE '' END"""
+
+
+@query("t09_statement_tables", "SELECT event_id, [event_type, 'users_' || (user_id % 9)] AS tables FROM events")
+def t09_statements(spark, d):
+    return table(spark, d, "events").select("event_id", texts.sql_tables(F.expr(_STATEMENT)).alias("tables"))
+
+
+@query("t10_statement_tables", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN [event_type] ELSE ['users_' || (user_id % 9)] END AS tables FROM events")
+def t10_statements(spark, d):
+    # Half of the statements are of a kind that names no table behind a keyword: then the known names that they contain count.
+    events = table(spark, d, "events")
+    statement = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("truncate "), "event_type")).otherwise(F.concat(F.lit("select 1 from users_"), (F.col("user_id") % 9).cast("string")))
+    return events.select("event_id", texts.sql_tables_or_contained(statement, ["click", "view", "purchase", "error", "signup"]).alias("tables"))
+
+
 @query("t11_placeholders", "SELECT item_id, 'id = ''REPLACED'' and n = ''REPLACED''' AS filled FROM benchmark")
 def t11(spark, d):
     return table(spark, d, "benchmark").select("item_id", texts.placeholders_filled(F.concat(F.lit("id = #{"), F.col("item_id").cast("string"), F.lit("} and n = ${n}"))).alias("filled"))

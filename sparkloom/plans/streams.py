@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators.storage import stored
-from ..sources import readers, writers
+from ..sources import readers, replay, writers
 from ..streaming import ticks
 from .registry import query
 from .relational import table
@@ -92,10 +92,15 @@ def r12(spark, d):
     return ticks.refreshed(cache, fresh, "k")
 
 
-@query("s10_subscriber", "SELECT range AS number, 'tick,' || range AS body FROM range(1000) WHERE range % 7 <> 0 AND range % 5 <> 0")
+@query("s10_subscriber", "SELECT event_id AS number, event_type || ',' || user_id AS body FROM events WHERE event_type <> 'view' AND event_type <> 'error'")
 def s10(spark, d):
+    # The events as a subscriber's messages: views are heartbeats, errors come as empty messages.
     spark.dataSource.register(readers.MessageSource)
-    messages = spark.readStream.format("messages").option("factory", "sparkloom.sources.replay:read").option("count", "sparkloom.sources.replay:count").option("spans", 4).load()
+    folder = _work(spark)
+    body = F.when(F.col("event_type") == "view", "HEARTBEAT").when(F.col("event_type") != "error", F.concat_ws(",", "event_type", F.col("user_id").cast("string")))
+    replay.write(table(spark, d, "events").select(F.col("event_id").alias("number"), body.alias("body")), f"{folder}/log")
+    named = {"factory": "sparkloom.sources.replay:read", "count": "sparkloom.sources.replay:count", "argument": f"{folder}/log", "spans": "4"}
+    messages = spark.readStream.format("messages").options(**named).load()
     return _drained(spark, ticks.without_heartbeats(messages, "body"), "append").drop("_batch")
 
 

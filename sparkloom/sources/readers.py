@@ -93,7 +93,8 @@ class MessageSource(DataSource):
 
     The function takes (start, end) and returns the messages with those numbers, so that a batch can
     be read again after a failure; `count` is a function that returns how many there are by now. The
-    option `spans` (1) is the number of tasks that read a batch, each its own run of numbers.
+    option `spans` (1) is the number of tasks that read a batch, each its own run of numbers; the
+    option `argument`, if given, is passed to both functions as their last argument.
     """
 
     @classmethod
@@ -120,7 +121,9 @@ class _MessageReader(DataSourceStreamReader):
         import importlib
 
         module, _, function = self.options[option].partition(":")
-        return getattr(importlib.import_module(module), function)
+        found = getattr(importlib.import_module(module), function)
+        more = [self.options["argument"]] if "argument" in self.options else []
+        return lambda *args: found(*args, *more)
 
     def initialOffset(self) -> dict:
         return {"at": 0}

@@ -144,3 +144,10 @@ def test_components_of_chains_and_hubs(spark):
         graph.stored = graph_stored
     assert len(kept) <= 16
     assert graph.components(e.limit(0), nodes.limit(3)).count() == 3
+
+
+def test_common_prefix(spark):
+    cases = {0: ["a", "b/c"], 1: ["a/b", "a/c/d"], 2: ["a/b", "a/b-x"], 3: ["a/b", "a/b/c", "a/b-x/c", "a/b/"], 4: ["x/y/z/1/2/3/4", "x/y/z/1/2/3/5"], 5: ["one/two"], 6: [None], 7: [None, "p/q", "p/q"], 8: ["", "a"], 9: ["a/b", "a/b/c"]}
+    df = spark.createDataFrame([(k, t) for k, ts in cases.items() for t in ts], "k int, t string")
+    got = {r["k"]: (r["depth"], r["prefix"]) for r in windows.common_prefix(df, "k", "t").collect()}
+    assert got == {0: (0, ""), 1: (1, "a"), 2: (1, "a"), 3: (1, "a"), 4: (6, "x/y/z/1/2/3"), 5: (2, "one/two"), 6: (0, ""), 7: (2, "p/q"), 8: (0, ""), 9: (2, "a/b")}
