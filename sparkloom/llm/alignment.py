@@ -2,7 +2,7 @@
 
 Python only encodes: it gives each text's ids and the byte offsets at which its tokens end, for both
 tokenizers. All else is Spark's array functions: the shared ends (`array_intersect`) cut the text
-into groups, `transform` over `sequence` collects each group's ids, and every pair of ids of one
+into groups, `transform` takes the ids of each from slices, and every pair of ids of one
 group is a link. A pair's count is the number of documents that hold it.
 
 A document's work is linear in its tokens: shared ends find their tokens by sorting them into the
