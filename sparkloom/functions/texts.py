@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -150,18 +149,6 @@ def template_pattern(c: Column) -> Column:
     return F.concat(F.lit("^"), F.regexp_replace(literal, r"\{[^}]*\}", "[^/]+"), F.lit("$"))
 
 
-def line_diff(before: Column, after: Column) -> Column:
-    """Changed lines with three lines of context, as unified diff lines; batches go through pandas."""
-
-    @F.pandas_udf("array<string>")
-    def diff(x: pd.Series, y: pd.Series) -> pd.Series:
-        import difflib
-
-        return pd.Series([list(difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), lineterm="", n=3))[2:] for a, b in zip(x, y, strict=True)])
-
-    return diff(before, after)
-
-
 def json_text(c: Column, is_text: bool = False) -> Column:
     """JSON of a struct, map or array; texts pass unchanged."""
     return c if is_text else F.to_json(c)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import dates, hashes, numbers, texts
+from ..functions import dates, diffs, hashes, numbers, texts
 from .registry import query
 from .relational import table
 
@@ -127,7 +127,16 @@ def t07(spark, d):
     return table(spark, d, "part").select("p_partkey", texts.matching_rate(F.col("p_type"), F.col("p_brand")).alias("rate"))
 
 
-@query("t08_route_similarity")
+_TOKENS = r"list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace({0}, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[\s/_.\-{{}}]+'), lambda w: w <> ''))"
+
+
+@query("t08_route_similarity", rf"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '[?#].*$', ''), '/+', '/', 'g') AS bare FROM pages),
+l AS (SELECT page_id, CASE WHEN starts_with(bare, '/') THEN bare ELSE '/' || bare END AS led FROM p),
+r AS (SELECT page_id, CASE WHEN length(led) > 1 THEN regexp_replace(led, '/$', '') ELSE led END AS a, '/en/825/view' AS b FROM l),
+t AS (SELECT *, {_TOKENS.format("a")} AS x, {_TOKENS.format("b")} AS y, list_reverse(string_split(regexp_replace(a, '^/', ''), '/')) AS pa, list_reverse(string_split(regexp_replace(b, '^/', ''), '/')) AS pb FROM r),
+s AS (SELECT *, len(list_intersect(x, y)) AS shared, len(list_distinct(list_concat(x, y))) AS n, list_transform(range(1, least(len(pa), len(pb)) + 1), lambda i: pa[i] = pb[i]) AS same FROM t)
+SELECT page_id, round(CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE 3 * (shared::DOUBLE / n) END + 2 * coalesce(list_position(same, false) - 1, len(same)) / greatest(len(pa), len(pb))::DOUBLE
++ CASE WHEN contains(a, b) THEN 1.0::DOUBLE WHEN contains(b, a) THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END, 6) AS likeness FROM s""")
 def t08(spark, d):
     route = texts.route(F.regexp_replace("url", "^[a-z]+://[^/?#]*", ""))
     return table(spark, d, "pages").select("page_id", route.alias("route")).select("page_id", texts.route_similarity(F.col("route"), F.lit("/en/825/view")).alias("likeness"))
@@ -200,9 +209,26 @@ def t15(spark, d):
     return table(spark, d, "part").select("p_partkey", texts.fuzzy_label(F.col("p_type"), ["Brass", "TIN"]).alias("label"))
 
 
-@query("t16_line_diff")
+@query("t16_line_diff", r"""WITH l AS (SELECT item_id, string_split(text, chr(10)) AS x FROM benchmark), c AS (SELECT *, len(x) AS n, least(len(x), 3) AS k FROM l)
+SELECT item_id, list_concat(['@@ -' || (n - k + 1) || CASE WHEN k = 1 THEN '' ELSE ',' || k END || ' +' || (n - k + 1) || ',' || (k + 1) || ' @@'], list_transform(x[n - k + 1:], lambda v: ' ' || v), ['+end']) AS diff FROM c""")
 def t16(spark, d):
-    return table(spark, d, "benchmark").select("item_id", texts.line_diff(F.col("text"), F.concat("text", F.lit("\nend"))).alias("diff"))
+    return table(spark, d, "benchmark").select("item_id", diffs.line_diff(F.col("text"), F.concat("text", F.lit("\nend"))).alias("diff"))
+
+
+# Texts against themselves without every fifth line and with their first lines once more at the end. The SQL has the lengths of
+# longest common subsequences, a row of the table a round: each entry is the highest up to it of those above and the diagonals.
+@query("t16_shortest_script", r"""WITH RECURSIVE l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+t AS (SELECT doc_id, x, list_concat(list_filter(x, lambda v, i: i % 5 <> 4), x[:2]) AS y FROM l),
+g AS (SELECT doc_id, x, y, 0 AS i, list_transform(y, lambda v: 0) AS r FROM t
+UNION ALL SELECT doc_id, x, y, i + 1, list_transform(c, lambda v, j: list_max(c[:j])) FROM (SELECT *, list_transform(r, lambda v, j: greatest(v, CASE WHEN y[j] = x[i + 1] THEN CASE WHEN j = 1 THEN 0 ELSE r[j - 1] END + 1 ELSE 0 END)) AS c FROM g WHERE i < len(x)))
+SELECT doc_id, len(x) - r[len(r)] AS removed, len(y) - r[len(r)] AS added, md5(array_to_string(y, chr(10))) AS made FROM g WHERE i = len(x)""")
+def t16_script(spark, d):
+    x, y = F.col("x"), F.col("y")
+    both = table(spark, d, "documents").select("doc_id", diffs.lines(F.col("text")).alias("x"))
+    both = both.withColumn("y", F.concat(F.filter(x, lambda _, i: i % 5 != 3), F.slice(x, 1, 2)))
+    found = both.withColumn("script", diffs.edit_script(x, y))
+    total = lambda size: F.aggregate("script", F.lit(0).cast("long"), lambda n, s: n + size(s))
+    return found.select("doc_id", total(lambda s: s["removed"]).alias("removed"), total(lambda s: F.size(s["added"])).alias("added"), F.md5(F.array_join(diffs.patched(x, F.col("script")), "\n")).alias("made"))
 
 
 @query("h01_md5", "SELECT c_custkey, md5(c_name || 'salt') AS digest FROM customer")
