@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.storage import stored
-from ..sources import readers, writers
+from ..sources import readers, workbook, writers
 from .registry import query
 from .relational import table
 
@@ -25,6 +25,22 @@ def s01(spark, d):
     return readers.sheet(spark, path, "c_custkey long, c_name string, c_mktsegment string")
 
 
+@query("s01_workbook", "SELECT c_custkey, c_name, c_acctbal, nullif(trim(c_mktsegment), '') AS c_mktsegment, c_custkey::DOUBLE::VARCHAR AS shown FROM customer")
+def s01_workbook(spark, d):
+    path = _folder(spark, "workbook")
+    rows = table(spark, d, "customer").select("c_custkey", F.concat(F.lit(" "), "c_name").alias("c_name"), "c_acctbal", "c_mktsegment", F.col("c_custkey").alias("shown"))
+    workbook.write(rows, path, {"c_custkey": "Number", "c_name": "Name"})
+    return workbook.read(spark, path, "c_custkey long, c_name string, c_acctbal double, c_mktsegment string, shown string")
+
+
+@query("k01_workbook", """SELECT event_id, epoch_us(ts) // 1000 AS ms, date_trunc('milliseconds', ts) AS at, user_id, event_type, value, nullif(trim(props), '') AS props FROM events""")
+def k01_workbook(spark, d):
+    # Times come back as numbers of milliseconds, and as times.
+    path = _folder(spark, "workbook")
+    workbook.write(table(spark, d, "events").select("event_id", F.col("ts").alias("ms"), F.col("ts").alias("at"), "user_id", "event_type", "value", "props"), path)
+    return workbook.read(spark, path, "event_id long, ms long, at timestamp_ntz, user_id long, event_type string, value double, props string")
+
+
 @query("s02_csv_records", "SELECT p_partkey::VARCHAR AS k, p_name AS name FROM part WHERE p_partkey % 3 = 0")
 def s02(spark, d):
     lines = table(spark, d, "part").select(F.when(F.col("p_partkey") % 3 == 0, F.concat_ws(",", F.col("p_partkey").cast("string"), F.concat(F.lit('"'), "p_name", F.lit('"')), F.lit("x"))).when(F.col("p_partkey") % 3 == 1, " ").otherwise("short").alias("line"))

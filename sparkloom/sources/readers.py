@@ -20,13 +20,6 @@ def cleaned_rows(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.nullif(F.trim(F.col(c)), F.lit("")) for c in texts}).dropna(how="all")
 
 
-def excel(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """First sheet of an .xlsx file, where pandas has a reader for it; small files only, as it is read on the driver."""
-    import pandas as pd
-
-    return cleaned_rows(spark.createDataFrame(pd.read_excel(path, dtype=object), schema))
-
-
 def number_text(c: Column) -> Column:
     """Numbers as a spreadsheet reader shows them in text columns: 123 as 123.0."""
     return c.cast("double").cast("string")
