@@ -8,7 +8,9 @@ against a threshold. The paths above it are content and name the content contain
 other paths (headings, short paragraphs, lists) come along, paths below the threshold that are marked
 or stand outside of it go. A mark gives way where its element holds most of the page's <article> or
 <main> text, or, for roles, classes and forms, most of its text; and all roles and classes do where
-they would take more of the high-scoring text than they leave.
+they would take more of the high-scoring text than they leave. Marks of reader comments give way only on
+pages that have no sentence beside them, however long the comments are; a heading with nothing but
+comments below it goes with them.
 
 Edge cases: null or empty html and pages without text give an empty text; unclosed and stray tags
 are repaired as a browser would (a block closes an open paragraph); a tag without `>` ends at the next
@@ -38,6 +40,8 @@ WRAPPERS = set("nav header footer aside form menu fieldset".split())
 BOILER_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 # Words in class names and ids that name boilerplate.
 BOILER_WORDS = set("ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus discussion footer form gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification pagination pager paywall popup promo promoted promotion reactions recommended related replies reply respond search share sharing sidebar signup sitenav skip social sponsor sponsored subscribe subscription tags teaser toolbar widget widgets".split())
+#: Of these, words that name reader comments.
+TALK_WORDS = set("comment comments discussion disqus reactions replies reply respond".split())
 
 #: Weight of a marked path's score.
 MARKED = 0.02
@@ -50,7 +54,7 @@ _PUNCT = re.compile(r"[.,;:!?…。，、！？؟،]")
 
 
 def _mark(tag: str, attributes: str, by_words: bool) -> str:
-    """What names an element as boilerplate: "tag", "word" (a class, id, role or hidden attribute) or nothing."""
+    """What names an element as boilerplate: "tag", "talk" (a class or id of reader comments), "word" (another class or id, a role or hidden attribute) or nothing."""
     if tag in BOILER_TAGS:
         return "tag"
     if not by_words or not attributes or tag in ("html", "body", "main", "article"):
@@ -60,6 +64,8 @@ def _mark(tag: str, attributes: str, by_words: bool) -> str:
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return "word"
         words = _SPLIT.split(_CAMEL.sub(" ", value).lower())
+        if name != "role" and not TALK_WORDS.isdisjoint(words):
+            return "talk"
         if not BOILER_WORDS.isdisjoint(words) if name != "role" else not BOILER_ROLES.isdisjoint(words):
             return "word"
     return ""
@@ -68,7 +74,7 @@ def _mark(tag: str, attributes: str, by_words: bool) -> str:
 class _Node:
     """An element: path is a number for its tag path, inside whether an <article> or <main> holds it."""
 
-    __slots__ = ("tag", "parent", "path", "mark", "boiler", "depth", "inside", "plain", "body", "named", "block", "home")
+    __slots__ = ("tag", "parent", "path", "mark", "boiler", "depth", "inside", "plain", "talk", "body", "named", "block", "home")
 
     def __init__(self, tag: str, parent: _Node | None, mark: str, paths: dict):
         self.tag, self.parent, self.mark = tag, parent, mark
@@ -77,6 +83,7 @@ class _Node:
         self.inside = tag in ("article", "main") or bool(parent and parent.inside)
         # Not in a navigation or the like, though maybe in a form.
         self.plain = not (mark == "tag" and tag != "form") and (parent is None or parent.plain)
+        self.talk = mark == "talk" or bool(parent and parent.talk)
         self.boiler = bool(mark) or bool(parent and parent.boiler)
         self.body = self.named = 0
         #: The innermost block element, and the innermost that is a block or marked.
@@ -84,8 +91,10 @@ class _Node:
         self.home = self if self.block is self or mark else parent.home
 
 
-def _settle(nodes: list[_Node], blocks: list[tuple[_Node, str]]) -> None:
-    """Free the marked elements that hold most of the page's content, and what isn't marked itself inside them."""
+def _free(nodes: list[_Node], blocks: list[tuple[_Node, str]], named_by: tuple[str, ...]) -> None:
+    """Free the elements so marked that hold most of the blocks' content, and what isn't marked itself inside them."""
+    for x in nodes:
+        x.body = x.named = 0
     for x, text in blocks:
         x.body += len(text) * x.plain
         x.named += len(text) * x.inside
@@ -96,14 +105,24 @@ def _settle(nodes: list[_Node], blocks: list[tuple[_Node, str]]) -> None:
     freed = False
     for x in nodes:
         if x.mark:
-            wraps = 2 * x.named > named and (x.mark == "word" or x.tag in WRAPPERS)
-            if wraps or ((x.mark == "word" or x.tag == "form") and 2 * x.body > total and 4 * (named - x.named) < total):
+            wraps = 2 * x.named > named and (x.mark in named_by or x.tag in WRAPPERS)
+            if wraps or ((x.mark in named_by or x.tag == "form") and 2 * x.body > total and 4 * (named - x.named) < total):
                 x.mark, freed = "", True
     if freed:
         for x in nodes:
             x.boiler = bool(x.mark) or bool(x.parent and x.parent.boiler)
 
 
+def _settle(nodes: list[_Node], blocks: list[tuple[_Node, str]]) -> None:
+    """Free the marked elements that hold most of the page's content; those of reader comments only where no sentence is beside them."""
+    told = [b for b in blocks if not b[0].talk]
+    if len(told) < len(blocks):
+        _free(nodes, told, ("word",))
+        if any(not x.boiler and text.count(" ") >= 4 and _PUNCT.search(text) for x, text in told):
+            return
+    _free(nodes, blocks, ("word", "talk"))
+
+
 def blocks_of(html: str, by_words: bool = True) -> list[tuple[_Node, str]]:
     """Text blocks in page order: the block element they stand in, and their white-space-folded text."""
     paths: dict = {}
@@ -212,7 +231,7 @@ def path_scores(blocks: list[tuple[_Node, str]]) -> dict[tuple[int, bool], float
     """Fused, smoothed and weighed text and punctuation ratios of the tag paths, by path and whether it is marked."""
     sums: dict[tuple[int, bool], list] = {}
     for node, text in blocks:
-        of = sums.setdefault((node.path, node.boiler), [0, 0, 0])
+        of = sums.setdefault((node.path, node.boiler), [0, 0, 0, 0 if node.talk else MARKED])
         of[0] += len(text)
         of[1] += len(_PUNCT.findall(text))
         of[2] += 1
@@ -224,7 +243,7 @@ def path_scores(blocks: list[tuple[_Node, str]]) -> dict[tuple[int, bool], float
             near = [(raw[i + d], w) for d, w in ((-1, 0.15), (0, 0.7), (1, 0.15)) if 0 <= i + d < len(paths)]
             total = sum(w for _, w in near)
             length, punct = (sum(r[k] * w for r, w in near) / total for k in (0, 1))
-            out[p] = length * (1 + punct) * math.sqrt(sums[p][2]) * (MARKED if marked else 1)
+            out[p] = length * (1 + punct) * math.sqrt(sums[p][2]) * (sums[p][3] if marked else 1)
     return out
 
 
@@ -243,12 +262,13 @@ def _taken_and_left(blocks: list[tuple[_Node, str]], by_tags: list[tuple[_Node,
     high = _high(path_scores(by_tags))
     taken = left = 0
     for (x, text), (y, _) in zip(blocks, by_tags, strict=True):  # the same blocks, with and without marks by words
-        if not y.boiler and (y.path, False) in high:
+        if not y.boiler and (y.path, False) in high and not (x.boiler and x.talk):
             taken += len(text)
             left += len(text) * (not x.boiler)
     return taken > 2 * left
 
 
+HEADS = set("h2 h3 h4 h5 h6".split())
 _NEVER_BOX = set("p li h1 h2 h3 h4 h5 h6 pre td b span blockquote a ul ol strong em i".split())
 
 
@@ -259,7 +279,7 @@ def extract(html: str | None) -> str:
         by_tags = blocks_of(html, by_words=False)
         if all(x.boiler for x, _ in blocks) or _taken_and_left(blocks, by_tags):  # classes or ids named the content itself: go by tags alone
             blocks = by_tags
-    if all(x.boiler and x.mark != "word" and not x.plain for x, _ in blocks):
+    if all(x.boiler and x.mark not in ("word", "talk") and not x.plain for x, _ in blocks):
         return ""
     high = _high(path_scores(blocks))
     mass: dict[int, list] = {}
@@ -281,8 +301,10 @@ def extract(html: str | None) -> str:
     held = [m[0] for row in deep for m in row if m[1] >= 0.9 * total]
     box = ([x for x in held if x.tag in ("article", "main")] or [x for x in held if x.tag not in _NEVER_BOX] or [None])[-1]
     inside = {id(box)}
-    kept = []
+    kept: list[str] = []
+    head = talk = False  # whether the last kept block is a heading, and reader comments came since
     for node, text in blocks:
+        talk = talk or (head and node.boiler and node.talk)
         way, x = [], node
         while x is not None and id(x) not in inside and x.depth > (box.depth if box else -1):
             way.append(x)
@@ -290,7 +312,12 @@ def extract(html: str | None) -> str:
         if x is not None and id(x) in inside:
             inside.update(map(id, way))
             if not node.boiler or (node.path, True) in high:
+                if talk and node.tag in HEADS:  # nothing came between two headings but comments
+                    kept.pop()
                 kept.append(text)
+                head, talk = node.tag in HEADS, False
+    if talk:
+        kept.pop()
     return "\n".join(kept)
 
 

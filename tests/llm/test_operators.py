@@ -670,3 +670,24 @@ def test_digest_array_confirms_strings(monkeypatch):
     assert [array.find([f"h{i}.org/".encode()])[0] >= 0 for i in (0, 5, 19)] == [True] * 3
     assert array.find([b"h77.org/"])[0] == -1
     assert array.judge(["h3.org", "x.h3.org", "q.org"], ["/", "/a", "/"])[1] == ["block", "block", "allow"]
+
+
+def test_reader_comments():
+    from sparkloom.llm.html_extract import extract
+
+    story = [f"Paragraph {i} tells what happened, with a comma and a stop." for i in range(3)]
+    told = "".join(f"<p>{x}</p>" for x in story)
+    said = "".join(f"<p>Comment {i} is much longer than the story's paragraphs: it goes on and on, friends, with many commas, as I was there, you know, and saw all of it; best regards, a reader from far away.</p>" for i in range(8))
+    want = "\n".join(["Title", *story])
+    pages = [
+        f"<body><nav><a>Home</a></nav><div class='post'><h1>Title</h1>{told}</div><div class='comments'>{said}</div></body>",
+        f"<body><div class='post'><h1>Title</h1>{told}<div id='disqus_thread'>{said}</div></div></body>",
+        f"<body><article><h1>Title</h1>{told}<h3>Comments</h3><div class='comments'>{said}</div></article></body>",
+        f"<body class='comments-open'><div><h1>Title</h1>{told}</div><section id='comments'><h2>8 replies</h2><ol class='comment-list'>{said}</ol></section></body>",
+        f"<body><div class='hentry comments-open'><h1>Title</h1>{told}</div><div class='menu'><p>Menu</p></div></body>",
+    ]
+    assert [extract(p) for p in pages] == [want] * len(pages)
+    assert extract(f"<body><article><h1>Title</h1><p>{story[0]}</p><div class='comment'>{said[:150]}</div></article></body>") == f"Title\n{story[0]}"
+    # A heading that stands above text too stays, and comments are the text where there is no other.
+    assert extract(f"<body><article><h2>Title</h2><span class='comment-count'>8</span>{told}</article></body>") == want
+    assert extract(f"<body><div class='comments'>{told}</div></body>") == "\n".join(story)
