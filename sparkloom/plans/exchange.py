@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from ..sources import publisher
-from ..streaming import caches, joins
+from ..streaming import caches, joins, ticks
 from .registry import query
 from .relational import table
 from .streams import _drained, _work
@@ -109,3 +109,13 @@ def k06_published(spark, d):
     run = messages.writeStream.format("publish").option("path", f"{folder}/out").option("batch", "events").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return publisher.published(spark, f"{folder}/out")
+
+
+# A silence is told by the first slice without the key whose watermark, that of the slices before, is past its end; or after the last.
+@query("r05_silent_keys", f"""WITH {_SLICED}, w AS (SELECT s.slice, (SELECT max(ms) FROM c WHERE c.slice <= s.slice) - 3600000 AS mark FROM (SELECT DISTINCT slice FROM c) s),
+l AS (SELECT w.slice, w.mark, user_id, max(ms) AS last FROM w JOIN c ON c.slice <= w.slice GROUP BY ALL)
+SELECT DISTINCT user_id::VARCHAR AS key, last FROM l WHERE last + 21600000 < mark AND NOT EXISTS (SELECT 1 FROM c WHERE c.user_id = l.user_id AND c.slice = l.slice + 1)""")
+def r05_silent(spark, d):
+    # Users of whom nothing came for six hours, with an hour for late events.
+    events = _replayed(spark, d).select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "1 hour")
+    return _drained(spark, ticks.silent_keys(events, "key", "ts", 6 * 3600 * 1000), "append").drop("_batch")
