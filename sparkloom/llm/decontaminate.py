@@ -13,7 +13,8 @@ without any usable window is one window as a whole, and matches with its own val
 
 Edge cases: null or empty texts are clean; items with fewer than five template words match
 nothing; windows with fewer than three plain words don't count; rows are judged each by its own text, also where a
-doc_id is null or repeats with another text; empty tables give no rows, or no contaminated ones.
+doc_id is null or repeats with another text, and so are items, repeated ones once; null item_ids contaminate but
+aren't listed; empty tables give no rows, or no contaminated ones.
 """
 
 from __future__ import annotations
@@ -112,7 +113,9 @@ def _row(prefix: str = "") -> list[Column]:
 
 def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, copy (hash of the text), item_id, coverage and consistent of every text and item that share windows to the share asked."""
-    windows = stored(benchmark_windows(benchmark), "benchmark-windows")
+    # Each item_id and text is an item of its own; stored, so that its number stays the same.
+    items = stored(benchmark.select("item_id", F.col("text").cast("string").alias("text")).distinct().withColumn("item", F.monotonically_increasing_id()), "benchmark-items")
+    windows = stored(benchmark_windows(items.select(F.col("item").alias("item_id"), "text")), "benchmark-windows")
     size = windows.count()
     totals = windows.groupBy("item_id").agg(F.count("*").alias("total"))
     keys = windows.select("hash", "item_id", "spot")
@@ -138,7 +141,8 @@ def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     # An item whose own values stand in the document is contained as it is, whatever else matches.
     judged = values.groupBy(*one).agg((F.bool_and((F.col("lo") == F.col("hi")) & ~F.col("whole")) | F.bool_and("same")).alias("ok"))
     found = enough.join(judged, one, "left").withColumn("ok", F.coalesce("ok", F.lit(True)))
-    best = found.groupBy(*_PAIR).agg(F.max(F.when(F.col("ok"), F.col("coverage"))).alias("held"), F.max("coverage").alias("most"), F.bool_or("ok").alias("consistent"))
+    named = found.withColumnRenamed("item_id", "item").join(items.select("item", "item_id"), "item")
+    best = named.groupBy(*_PAIR).agg(F.max(F.when(F.col("ok"), F.col("coverage"))).alias("held"), F.max("coverage").alias("most"), F.bool_or("ok").alias("consistent"))
     return best.select(*_PAIR, F.coalesce("held", "most").alias("coverage"), "consistent")
 
 

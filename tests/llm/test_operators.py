@@ -524,6 +524,20 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(documents(spark, rows).limit(0), bench).count() == 0
 
 
+def test_null_and_repeated_item_ids(spark):
+    long = "the old lamp burned through the quiet night while seven birds slept above the narrow door and nobody in the whole street saw them leave"
+    other = "a runner covers 5 km before breakfast and another 8 km after lunch so how far did she run"
+    short = "who wrote the red book"
+    bench = spark.createDataFrame([(None, long), (1, other), (1, short), (1, long + " again that day"), (2, other), (2, other), (3, None)], "item_id long, text string")
+    rows = [(1, long, None, None), (2, "So: " + other + ", please", None, None), (3, short, None, None), (4, "nothing of all that is in this text here", None, None)]
+    got = {r["doc_id"]: (r["contaminated"], r["items"], round(r["coverage"], 6)) for r in decontaminate.contaminated(documents(spark, rows), bench).collect()}
+    assert got == {1: (True, [1], 1.0), 2: (True, [1, 2], 1.0), 3: (True, [1], 1.0), 4: (False, [], 0.0)}
+    assert [r["doc_id"] for r in decontaminate.decontaminate(documents(spark, rows), bench).collect()] == [4]
+    only = bench.where("item_id is null")
+    got = {r["doc_id"]: (r["contaminated"], r["items"]) for r in decontaminate.contaminated(documents(spark, rows), only).collect()}
+    assert got == {1: (True, []), 2: (False, []), 3: (False, []), 4: (False, [])}
+
+
 def test_inconsistent_slots_do_not_match(spark):
     text = "if 5 apples cost 5 coins and each of the 5 children buys some apples then who pays the bill"
     bench = spark.createDataFrame([(1, text)], "item_id long, text string")
