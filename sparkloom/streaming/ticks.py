@@ -16,6 +16,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 # Fields of a quote line, in order, with their kinds.
 QUOTE_FIELDS = "symbol string, pre decimal(20,8), ask decimal(20,8), bid decimal(20,8), open decimal(20,8), close decimal(20,8), high decimal(20,8), low decimal(20,8), spread int, time long, change decimal(20,8), change_rate decimal(20,8), timezone int, precision int, vol decimal(20,8), turnover decimal(20,8), tick_type int"
 
+#: Keyed states of an operator that holds many keys. A running stream can't change it.
+SHARDS = 256
+
 
 def quote(c: Column) -> Column:
     """A quote line as a struct; null if fewer than 16 fields or no market in the symbol, null fields where a number is malformed."""
@@ -72,26 +75,38 @@ def last_subscriptions(commands: DataFrame, channel: str, accounts: str, ts: str
     return commands.select(channel, accounts, ts).groupBy(channel).applyInPandasWithState(keep, f"{channel} string, {accounts} string, {ts} long", "at long, accounts string", "update", GroupStateTimeout.NoTimeout)
 
 
+def _shard(key: str) -> Column:
+    """The shard of a key: keyed state holds a share of the keys each, as a state for every key would cost a call of Python each. Nulls have their own."""
+    return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(key), F.lit(SHARDS))).cast("int").alias("_shard")
+
+
 def silent_keys(ticks: DataFrame, key: str, ts: str, timeout_ms: int) -> DataFrame:
     """key, last of keys from which nothing came for timeout_ms of event time; each silence is told once.
 
-    ticks carry a watermark on ts.
+    ticks carry a watermark on ts. A state holds the keys of one shard.
     """
 
-    def watch(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            last = state.get[0]
+    def watch(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {k: (last, due) for k, last, due in zip(*state.get, strict=True)} if state.exists else {}
+        mark, seen = state.getCurrentWatermarkMs(), {}
+        for frame in () if state.hasTimedOut else frames:
+            for k, last in zip(frame[key].tolist(), (frame[ts].astype("datetime64[ns]").astype("int64") // 1_000_000).tolist(), strict=True):
+                seen[k] = max(last, seen.get(k, last))
+        # What came now isn't told in the same batch, however old it is.
+        gone = [k for k, (_, due) in held.items() if due < mark and k not in seen]
+        told = pd.DataFrame({key: gone, "last": [held.pop(k)[0] for k in gone]})
+        for k, last in seen.items():
+            last = max(last, held[k][0]) if k in held else last
+            held[k] = last, max(last + timeout_ms, mark + 1)
+        if held:
+            state.update((list(held), [last for last, _ in held.values()], [due for _, due in held.values()]))
+            state.setTimeoutTimestamp(min(due for _, due in held.values()))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame({key: [k[0]], "last": [last]})
-            return
-        last = state.get[0] if state.exists else 0
-        for frame in frames:
-            last = max(last, int(frame[ts].astype("int64").max() // 1_000_000))
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last + timeout_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: [], "last": []})
+        yield told
 
-    return ticks.select(key, ts).groupBy(key).applyInPandasWithState(watch, f"{key} string, last long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    named = ticks.withColumn(key, F.col(key).cast("string")).select(key, ts, _shard(key))
+    return named.groupBy("_shard").applyInPandasWithState(watch, f"{key} string, last long", f"{key} array<string>, last array<long>, due array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def due_messages(messages: DataFrame, due: str, now: Column) -> DataFrame:
@@ -100,27 +115,32 @@ def due_messages(messages: DataFrame, due: str, now: Column) -> DataFrame:
 
 
 def delayed(messages: DataFrame, key: str, body: str, due: str) -> DataFrame:
-    """key, body, due of each message once event time has passed its due time (epoch milliseconds), as state with a timer.
+    """key, body, due of each message once event time has passed its due time (epoch milliseconds), as state with timers.
 
-    messages carry a watermark on their time of sending. Each message is a state of its own, removed
-    on delivery; of messages with one key that wait together, the last is delivered.
+    messages carry a watermark on their time of sending. A state holds the messages of one shard of the keys; each leaves it
+    on delivery. Of messages with one key that wait together, the last is delivered.
     """
 
-    def hold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            text, at = state.get
+    def hold(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {k: rest for k, *rest in zip(*state.get, strict=True)} if state.exists else {}
+        mark, sent = state.getCurrentWatermarkMs(), {}
+        for frame in () if state.hasTimedOut else frames:
+            sent |= {k: (text, at, max(at, mark + 1)) for k, text, at in zip(frame[key].astype(object).where(frame[key].notna(), None).tolist(), frame[body].tolist(), frame[due].tolist(), strict=True)}
+        # What came now waits for the next batch, however early it was due.
+        ripe = [k for k, (_, _, timer) in held.items() if timer < mark and k not in sent]
+        out = [(k, *held.pop(k)[:2]) for k in ripe]
+        held |= sent
+        if held:
+            texts, dues, timers = zip(*held.values(), strict=True)
+            state.update((list(held), list(texts), list(dues), list(timers)))
+            state.setTimeoutTimestamp(min(timers))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame({key: [k[0]], body: [text], due: [at]})
-            return
-        held = state.get if state.exists else None
-        for frame in frames:
-            held = (frame[body].iloc[-1], int(frame[due].iloc[-1]))
-        state.update(held)
-        state.setTimeoutTimestamp(max(held[1], state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: [], body: [], due: []})
+        yield pd.DataFrame(out, columns=[key, body, due])
 
     kind = messages.schema[key].dataType.simpleString()
-    return messages.groupBy(key).applyInPandasWithState(hold, f"{key} {kind}, {body} string, {due} long", "body string, due long", "append", GroupStateTimeout.EventTimeTimeout)
+    dealt = messages.select("*", _shard(key))
+    return dealt.groupBy("_shard").applyInPandasWithState(hold, f"{key} {kind}, {body} string, {due} long", f"{key} array<{kind}>, {body} array<string>, {due} array<long>, timer array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def with_delay(messages: DataFrame, ts: str, longest: int = 9) -> DataFrame:

@@ -100,3 +100,32 @@ def test_selected_and_accepted(spark):
 
 def test_stamped_name(spark):
     assert spark.range(1).select(writers.stamped("out").alias("n")).where(r"n rlike '^out-\\d{8}-\\d{2}-\\d{2}-\\d{2}$'").count() == 1
+
+
+def shards_held(df, tmp_path):
+    """The rows of a stream and the most states that it held at once."""
+    out = []
+    q = df.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(lambda b, n: out.extend(map(tuple, b.collect()))).start()
+    q.awaitTermination()
+    return out, max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress)
+
+
+def test_delayed_states_do_not_grow_with_messages(spark, tmp_path):
+    start = 1_704_067_200_000
+    rows = spark.range(3000).select(F.when(F.col("id") != 7, F.col("id") + 2**60).alias("id"), F.format_string("b%d", "id").alias("body"), F.timestamp_millis(F.lit(start) + F.col("id") * 1000).alias("ts"), (F.lit(start) + F.col("id") * 1000 + F.col("id") % 3 * 1_000_000).alias("due"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")).withWatermark("ts", "0 seconds")
+    got, states = shards_held(ticks.delayed(stream, "id", "body", "due"), tmp_path)
+    assert states <= ticks.SHARDS + 1
+    assert sorted(got, key=repr) == sorted(map(tuple, rows.where(F.col("due") < start + 2_999_000).select("id", "body", "due").collect()), key=repr) and any(r[0] is None for r in got)
+
+
+def test_silent_states_do_not_grow_with_keys(spark, tmp_path):
+    start = 1_704_067_200_000
+    for n in range(3):  # every third key comes once more at each turn
+        spark.range(2000).where(F.col("id") % 3 >= n).select(F.when(F.col("id") != 6, F.col("id").cast("string")).alias("k"), F.timestamp_millis(F.lit(start + n * 600_000)).alias("ts")).coalesce(1).write.parquet(str(tmp_path / "in" / f"n={n}"))
+    stream = spark.readStream.schema("k string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "n=*")).withWatermark("ts", "1 minute")
+    got, states = shards_held(ticks.silent_keys(stream, "k", "ts", 120_000), tmp_path)
+    assert states <= ticks.SHARDS + 1
+    want = [(None if i == 6 else str(i), start + i % 3 * 600_000) for i in range(2000) if i % 3 < 2]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
