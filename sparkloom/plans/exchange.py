@@ -13,6 +13,8 @@ from .relational import table
 from .streams import _drained, _work
 
 SLICES = 3
+#: Rows of one file of a slice, about.
+FILE_ROWS = 100_000
 
 
 def _cut(spark, d):
@@ -24,12 +26,18 @@ def _cut(spark, d):
 
 
 def _replayed(spark, d):
-    """The events as a stream of one batch for each slice, in order of time."""
+    """The events as a stream of one batch for each slice, in order of time: as many files for each slice, all of them one batch."""
     folder, cut = _work(spark), _cut(spark, d)
+    most = max((r["count"] for r in cut.groupBy("slice").count().collect()), default=0)
+    files = max(1, -(-most // FILE_ROWS))
     for k in range(SLICES):
-        cut.where(F.col("slice") == k).coalesce(1).write.parquet(f"{folder}/in/n={k}")
+        path = f"{folder}/in/n={k}"
+        cut.where(F.col("slice") == k).repartition(files, "event_id").write.parquet(path)
+        # Parts without rows have no file: empty ones stand for them.
+        for _ in range(files - len(spark.read.schema(cut.schema).parquet(path).inputFiles())):
+            spark.createDataFrame([], cut.schema).write.mode("append").parquet(path)
         time.sleep(0.05)  # files are taken by the time of writing
-    return spark.readStream.schema(cut.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/n=*")
+    return spark.readStream.schema(cut.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in/n=*")
 
 
 # The slices in SQL.

@@ -156,3 +156,16 @@ def test_while_subscribed(spark, tmp_path):
     commands = replay(spark, tmp_path, [[(7, "x", at(10))], [(7, "x", at(20)), (7, "y", at(5)), (8, "x", at(21)), (7, "x", at(75))]], "account long, channel string, at timestamp", "commands")
     got = drained(joins.while_subscribed(events, "id", "account", "ts", commands, "channel", "at", "30 seconds"), tmp_path)
     assert sorted(got) == [(1, "y"), (3, "x"), (5, "x"), (5, "y")]
+
+
+def test_slices_are_one_batch_of_several_files(spark, tmp_path, monkeypatch):
+    """Slices of 1000, 3 and 400 events in files of about 50: each slice is one batch, and no file holds it whole."""
+    from sparkloom.plans import exchange
+
+    monkeypatch.setattr(exchange, "FILE_ROWS", 50, raising=False)
+    at = F.expr("case when id < 1000 then id when id < 1003 then 400000 + id else 800000 + id end")
+    events = spark.range(1403).select(F.col("id").alias("event_id"), F.timestamp_seconds(at + EPOCH // 1000).cast("timestamp_ntz").alias("ts"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    stream = exchange._replayed(spark, str(tmp_path)).select("event_id", "slice", F.input_file_name().alias("file"))
+    got = exchange._drained(spark, stream, "append")
+    assert {(r["_batch"], r["slice"]): (r["n"], r["files"] > 1) for r in got.groupBy("_batch", "slice").agg(F.count("*").alias("n"), F.count_distinct("file").alias("files")).collect()} == {(0, 0): (1000, True), (1, 1): (3, True), (2, 2): (400, True)}
