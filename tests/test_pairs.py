@@ -25,3 +25,9 @@ def test_types_are_compared_once_each(spark, parts):
     assert same(df, registry.oracle_sql()["j09_theta_pairs"], connect(parts))
     compared = plan(df).split("levenshtein", 1)[1]
     assert compared.count("Aggregate [p_brand") == 2  # both sides of the comparison are distinct types
+
+
+def test_named_pairs_are_not_made_distinct_again(spark, parts):
+    df = registry.queries()["j16_resolved_and_named"](spark, parts)
+    assert same(df, registry.oracle_sql()["j16_resolved_and_named"], connect(parts))
+    assert plan(df).startswith("Union")
