@@ -104,7 +104,9 @@ def text_groups(texts: DataFrame, key: str, text: str, rate: float) -> DataFrame
 
 
 #: Points that stand for regions of space at most, and rows of one block of a region.
-PIVOTS, BLOCK = 1024, 4_000
+PIVOTS, BLOCK = 1024, 16_000
+#: Comparisons that cost as much as dealing out one row.
+COPY = 500
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -112,6 +114,28 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _chosen(vectors: np.ndarray, eps: float, n: int) -> np.ndarray:
+    """As many of the sampled vectors for pivots as make the n points' comparisons cheapest, told by the rest of the sample.
+
+    Where distances are much alike, as in many dimensions, no pivot is far enough from any point to leave its region out:
+    more pivots then only make more copies, and one region that is cut into blocks costs least.
+    """
+    rest = vectors[len(vectors) // 2 :]
+    best, least = vectors[:1], float("inf")
+    size = 1
+    while size <= max(1, len(vectors) // 2):
+        pivots = vectors[:size]
+        far = np.sqrt(np.maximum(0, (rest**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1)[None] - 2 * rest @ pivots.T))
+        every = (far <= far.min(axis=1, keepdims=True) + 2 * eps).sum(axis=0) * (n / len(rest))
+        own = np.bincount(far.argmin(axis=1), minlength=size) * (n / len(rest))
+        # A row that is dealt out costs about as much as COPY comparisons.
+        cost = (own * every).sum() + COPY * (own * np.ceil(every / BLOCK) + every * np.maximum(1, np.ceil(own / BLOCK))).sum()
+        if cost < least:
+            best, least = pivots, cost
+        size *= 4
+    return best
+
+
 def _regions(points: DataFrame, pivots: np.ndarray, eps: float) -> DataFrame:
     """points with region and home: each point in the region of its nearest pivot (home), and in every region that has points within eps.
 
@@ -136,8 +160,8 @@ def _regions(points: DataFrame, pivots: np.ndarray, eps: float) -> DataFrame:
     return points.mapInArrow(run, f"region int, home boolean, {kinds}")
 
 
-def _within(points: DataFrame, pivots: np.ndarray, eps: float, work: Callable[[pa.Table, pa.Table, Callable], pa.Table], schema: str) -> DataFrame:
-    """work(home points, other points, near) on each block of a region; near(a) gives pairs (home, other) within eps of home points from a on.
+def _within(points: DataFrame, pivots: np.ndarray, eps: float, work: Callable[[pa.Table, pa.Table, Callable], pa.Table], schema: str, others: str = "true") -> DataFrame:
+    """work(home points, those of the other points that `others` takes, near) on each block of a region; near(a) gives pairs (home, other) within eps of home points from a on.
 
     Regions with many rows are cut on both sides, so that a block has at most 2 x BLOCK rows on average.
     """
@@ -148,17 +172,27 @@ def _within(points: DataFrame, pivots: np.ndarray, eps: float, work: Callable[[p
     every = lambda c: F.explode(F.sequence(F.lit(0), F.greatest(c, F.lit(1)) - 1))
     own = sized.where("home").withColumn("r", part(F.col("rows"))).withColumn("c", every(F.col("columns")))
     sized = sized.select(*[F.col(c).alias(c) for c in sized.columns])  # columns of their own, so that both sides can be told apart
-    other = sized.withColumn("c", part(F.col("columns"))).withColumn("r", every(F.col("rows")))
+    other = sized.where(others).withColumn("c", part(F.col("columns"))).withColumn("r", every(F.col("rows")))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return work(left, right, lambda a: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
         x, y = _matrix(left["vec"]), _matrix(right["vec"])
+        xx, yy = (x**2).sum(axis=1), (y**2).sum(axis=1)
+        # Products of matrices leave out what is too far by more than their rounding; the rest is measured entry by entry.
+        slack = lambda unit: 10 * unit * (x.shape[1] + 8) * (xx.max(initial=0.0) + yy.max(initial=0.0))
+        short = slack(2.0**-24) < eps * eps / 4
+        kind, limit = (np.float32, eps * eps + slack(2.0**-24)) if short else (np.float64, eps * eps * (1 + 1e-12) + slack(2.0**-53))
+        u = np.c_[-2 * x, xx, np.ones(len(x))].astype(kind)
+        w = np.ascontiguousarray(np.c_[y, np.ones(len(y)), yy].astype(kind).T)
 
         def near(a: int) -> tuple[np.ndarray, np.ndarray]:
-            d = np.zeros((min(len(x) - a, 250), len(y)))
-            for i in range(x.shape[1]):
-                d += (x[a : a + 250, i, None] - y[None, :, i]) ** 2
-            i, j = np.nonzero(np.sqrt(d) <= eps)
-            return i + a, j
+            i, j = np.divmod(np.flatnonzero(~(u[a : a + 250] @ w > kind(limit))), len(y))
+            exact = np.zeros(len(i))
+            for k in range(x.shape[1]):
+                exact += (x[i + a, k] - y[j, k]) ** 2
+            close = np.sqrt(exact) <= eps
+            return i[close] + a, j[close]
 
         return work(left, right, near)
 
@@ -220,13 +254,14 @@ def density_clusters(points: DataFrame, key: str, vector: str, eps: float, min_p
     usual = good.groupBy(F.size("vec").alias("dims")).count().orderBy(F.desc("count"), F.desc("dims")).first()
     good = good.where(F.size("vec") == (usual["dims"] if usual else 0))
     reps = stored(good.groupBy("vec").agg(F.count("*").alias("n"), F.min("_node").alias("least")).select(F.monotonically_increasing_id().alias("rep"), "vec", "n", "least"))
-    some = reps.orderBy(F.xxhash64("vec"), "rep").limit(min(PIVOTS, int(reps.count() ** 0.5) + 1)).select("vec").collect()
+    total = reps.count()
+    some = reps.orderBy(F.xxhash64("vec"), "rep").limit(2 * min(PIVOTS, int(total**0.5) + 1)).select("vec").collect()
     if not some:
         return good.select(F.col("_node").alias("node"), F.col("_node").alias("component"), F.lit(True).alias("core"))
-    pivots = np.array([r["vec"] for r in some])
+    pivots = _chosen(np.array([r["vec"] for r in some]), eps, total)
     counts = _within(reps.select("rep", "vec", "n"), pivots, eps, _counted, "rep long, near long").groupBy("rep").agg(F.sum("near").alias("near"))
     known = stored(reps.join(counts, "rep").withColumn("core", F.col("near") >= min_points))
-    links = stored(_within(known.select("rep", "vec", "core"), pivots, eps, _linked, "rep long, core boolean, other long"))
+    links = stored(_within(known.select("rep", "vec", "core"), pivots, eps, _linked, "rep long, core boolean, other long", "core"))
     cores = known.where("core").select(F.col("rep").alias("node"))
     found = stored(components(links.where("core").select(F.col("rep").alias("src"), F.col("other").alias("dst")), cores))
     # A cluster's name is its least core point.

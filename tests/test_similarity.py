@@ -86,3 +86,25 @@ def test_templates_need_no_nested_loop(spark):
     t = spark.range(3000).select(F.concat(F.lit("/p"), F.col("id"), F.lit("/{x}")).alias("template"))
     found = match_templates(p, "path", t, "template")
     assert found.count() == 2000 and "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_copies_where_pivots_leave_nothing_out():
+    """Vectors of unit length in 64 dimensions have much the same distances: one region; points of the plane have many."""
+    rng = np.random.default_rng(3)
+    wide = rng.normal(size=(400, 64))
+    assert len(similarity._chosen(wide / np.sqrt((wide**2).sum(axis=1, keepdims=True)), 0.5, 40_000)) == 1
+    assert len(similarity._chosen(rng.uniform(size=(400, 2)), 0.01, 40_000)) > 16
+
+
+def test_density_clusters_in_many_dimensions(spark, monkeypatch):
+    """Pairs nearer and farther than eps by a little, of long and of short vectors, in one block and in several."""
+    rng = np.random.default_rng(8)
+    for scale, shift, block in ((1.0, 0.0, 50), (1.0, 1e7, 4000)):
+        base = rng.normal(size=(40, 32))
+        step = rng.normal(size=(40, 32))
+        step *= 0.5 * (1 + rng.choice([-1e-3, 1e-3], size=(40, 1))) / np.sqrt((step**2).sum(axis=1, keepdims=True))
+        rows = [(k, [float(x) for x in v * scale + shift]) for k, v in enumerate(np.r_[base, base + step])]
+        df = spark.createDataFrame(rows, "k long, v array<double>")
+        monkeypatch.setattr(similarity, "BLOCK", block)
+        want = plain_clusters(rows, 0.5 * scale, 2)
+        assert {tuple(r) for r in similarity.density_clusters(df, "k", "v", 0.5 * scale).collect()} == want and 0 < len(want) < 80
