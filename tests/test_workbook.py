@@ -90,3 +90,12 @@ def test_streamed_rows():
         (name, part), = workbook.sheets(book)
         rows = list(workbook.cells(book, part))
     assert n == 20000 and name == "Sheet1" and len(rows) == 20001 and rows[-1] == {0: ("19999",), 1: "19999"}
+
+
+def test_tasks_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(workbook, "TASK", 100)
+    path = str(tmp_path / "w")
+    workbook.write(spark.range(2500).coalesce(1), path)
+    back = workbook.read(spark, path, "id long")
+    sizes = [r["count"] for r in back.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 25 and max(sizes) <= 150 and back.agg(F.sum("id")).first()[0] == 2499 * 1250
