@@ -1,7 +1,9 @@
 """Shortest line scripts against a table of longest common subsequences, and against what they make of the first text."""
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sparkloom.functions import diffs
@@ -66,3 +68,16 @@ def test_hunks(spark):
         assert diffs.hunks(a, b, 3) == list(difflib.unified_diff(a, b, lineterm="", n=3))[2:]
     got = spark.createDataFrame([("a\nb", "a"), ("a", "a"), (None, "z")], "a string, b string").select(diffs.line_diff(F.col("a"), F.col("b"), 1)).collect()
     assert [r[0] for r in got] == [["@@ -1,2 +1 @@", " a", "-b"], [], ["@@ -1 +1 @@", "-", "+z"]]
+
+
+def test_few_lines_are_held_at_once():
+    """A batch's scripts take Python's memory for some of its texts only."""
+    rows = [[f"line {i} of text {k}" for i in range(100)] for k in range(2000)]
+    x, y = (pa.array(r) for r in (rows, [r[:50] + ["new"] + r[51:] for r in rows]))
+    del rows
+    tracemalloc.start()
+    got = diffs.scripts(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == [[{"at": 50, "removed": 1, "added": ["new"]}]] * 2000 and peak < 8_000_000
+    assert diffs.scripts(x[:0], y[:0]).to_pylist() == []
